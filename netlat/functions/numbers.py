@@ -37,12 +37,12 @@ def number_or_zero(c, type: str = "double") -> Column:
 
 
 def human_bytes(c) -> Column:
-    """Bytes as GB, MB or KB with two decimals, or whole bytes."""
+    """Bytes as GB, MB or KB with two decimals (halves to even), or whole bytes."""
     c = _col(c)
     return (
-        F.when(c >= GB, F.format_string("%.2fGB", c / GB))
-        .when(c >= MB, F.format_string("%.2fMB", c / MB))
-        .when(c >= KB, F.format_string("%.2fKB", c / KB))
+        F.when(c >= GB, F.format_string("%.2fGB", F.bround(c / GB, 2)))
+        .when(c >= MB, F.format_string("%.2fMB", F.bround(c / MB, 2)))
+        .when(c >= KB, F.format_string("%.2fKB", F.bround(c / KB, 2)))
         .otherwise(F.format_string("%dB", c.cast("bigint")))
     )
 

@@ -45,15 +45,17 @@ def align(series: dict[str, DataFrame], keys, fill: float | None = 0) -> DataFra
 
 
 def zip_positional(
-    base: DataFrame, series: DataFrame, run="run_id", order="time", series_order=None, span: float = 3600
+    base: DataFrame, series: DataFrame, run="run_id", order="time", series_order=None, pos: str | None = None,
+    span: float = 3600,
 ) -> DataFrame:
     """n-th sample of the series to the n-th row of the base, within each run.
 
     Samples beyond the base are cut, rows beyond the samples get 0. Samples from
-    a split file are ordered by (block, line_no).
+    a split file are ordered by (block, line_no). `pos` names an existing position
+    column of the base, which stays.
     """
     run = names(run)
-    left = with_position(base, run, order, name="_pos", span=span)
+    left = base.withColumn("_pos", F.col(pos)) if pos else with_position(base, run, order, name="_pos", span=span)
     if series_order is None:
         right = with_position(series, run, ["block", "line_no"], name="_pos", bucket=F.col("block"))
         right = right.drop("block", "line_no")

@@ -1,11 +1,11 @@
 """Smoothing, resampling and noise for training series."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlat.operators.series import CHUNK_ROWS, names, over_series, rolling_mean, with_position
-
-__all__ = ["add_noise", "augment_series", "exempt", "gauss", "replicate", "rolling_mean", "upsample"]
+from netlat.operators.series import CHUNK_ROWS, names, over_series, with_position
 
 
 def exempt(col: str) -> bool:
@@ -36,25 +36,38 @@ def _grid(k: Column, size: Column, factor: int) -> Column:
     return F.when(size > 1, k.cast("double") * (size - 1) / points).otherwise(F.lit(0.0))
 
 
-def _expand(df: DataFrame, run, order, num, text, factor: int, reach: int, span, rows) -> DataFrame:
-    """One row per grid point, still holding the old rows around it.
+def _neighbours(df, run, order, num, text, reach: int, back: int, span, rows) -> DataFrame:
+    """Each old row with its place `_i`, its series' length `_size` and the rows
+    around it.
 
-    Column `_near_c` holds the values of rows i - reach + 1 .. i + reach, so the
-    value at the point and at its neighbours needs no further window.
+    Column `_near_c` holds the values of rows i - reach + 1 .. i + reach, after a
+    trailing mean over `back` more rows, so that values at and next to any grid
+    point need no further window.
     """
-    run = names(run)
     placed = with_position(df, run, order, name="_i", span=span, size="_size")
     offsets = range(1 - reach, reach + 1)
 
-    def near(c, kind):
+    def mean(c):
+        return lambda w: F.avg(c).over(w.rowsBetween(-back, 0))
+
+    def near(c):
         def make(w):
-            at = lambda o: F.lag(c, -o).over(w) if o < 0 else (F.lead(c, o).over(w) if o else F.col(c))
-            return F.array(*[at(o) for o in offsets]) if kind else at(1)
+            return F.array(*[F.lag(c, -o).over(w) if o < 0 else F.lead(c, o).over(w) for o in offsets])
 
         return make
 
-    columns = {f"_near_{c}": near(c, True) for c in num} | {f"_next_{c}": near(c, False) for c in text}
-    made = over_series(placed, run, "_i", columns, back=reach - 1, ahead=reach, pos="_i", rows=rows)
+    def following(c):
+        return lambda w: F.lead(c, 1).over(w)
+
+    source = {c: f"_mean_{c}" if back else c for c in num}
+    stages = [{f"_mean_{c}": mean(c) for c in num}] if back else []
+    stages.append({f"_near_{c}": near(source[c]) for c in num} | {f"_next_{c}": following(c) for c in text})
+    made = over_series(placed, run, "_i", stages, back=back + reach - 1, ahead=reach, pos="_i", rows=rows)
+    return made.select(*run, "_i", "_size", *[f"_near_{c}" for c in num], *text, *[f"_next_{c}" for c in text])
+
+
+def _points(made: DataFrame, factor: int) -> DataFrame:
+    """One row per grid point `k`."""
     # First grid point at or after old row i, in whole numbers that cannot overflow.
     first = "(({i}) * {f} + (({i}) * ({f} - 1) + greatest(_size - 2, 0)) div greatest(_size - 1, 1))"
     n = F.col("_size")
@@ -90,7 +103,7 @@ def upsample(
     evenly from the first to the last row of each series. Columns of `text` take
     the nearest row."""
     run, num, text = names(run), names(num), names(text)
-    points = _expand(df, run, order, num, text, factor, 1, span, rows)
+    points = _points(_neighbours(df, run, order, num, text, 1, 0, span, rows), factor)
     return points.select(
         *run,
         "k",
@@ -134,6 +147,7 @@ def augment_series(
     span: float = 3600,
     rows: int = CHUNK_ROWS,
     salts: int = 16,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Smooth, resample and vary each series.
 
@@ -141,12 +155,13 @@ def augment_series(
     of 3 and a floor of 0; columns named like a time or label take none of the
     last three, and labels are rounded. The centred mean is worked out from the
     old rows around each point, so the resampled rows, `factor` times as many,
-    are never shuffled. `level=0` adds no noise.
+    are never shuffled. `level=0` adds no noise; with noise the smoothed rows are
+    read twice, and `store` may write them to a table first.
     """
     run, num, text = names(run), names(num), names(text)
-    smooth = rolling_mean(df, num, run, order, back=3, span=span, rows=rows)
     noisy = [c for c in num if not exempt(c)]
-    points = _expand(smooth, run, order, num, text, factor, 2, span, rows)
+    smooth = _neighbours(df, run, order, num, text, 2, 3, span, rows)
+    points = _points(store(smooth) if store else smooth, factor)
     sigmas = {}
     if level:
         sums = points.groupBy(*run).agg(

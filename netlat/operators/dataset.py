@@ -42,17 +42,38 @@ def unscale(df: DataFrame, mm: DataFrame, cols, like: str) -> DataFrame:
     return at.select(*[back(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def scale_steps(df: DataFrame, mm: DataFrame, cols, features: str = "features") -> DataFrame:
-    """Scale a flat step-by-step array in place, column by its index modulo the
-    number of columns."""
+def scale_steps(df: DataFrame, mm: DataFrame, cols, features: str = "features", also: str | None = None) -> DataFrame:
+    """Scale a flat step-by-step array in place, each value by the column its
+    index falls on, and one more column besides."""
     cols = names(cols)
+    n = len(cols)
     at = _attach(df, mm)
-    low = F.array(*[F.col(f"_mm.min_{c}") for c in cols])
-    width = F.array(*[_width(c) for c in cols])
+    at = at.withColumns(
+        {
+            "_low": F.array(*[F.col(f"_mm.min_{c}") for c in cols]),
+            "_width": F.array(*[_width(c) for c in cols]),
+        }
+    )
+    made = {features: F.transform(features, lambda x, i: (x - F.get("_low", i % n)) / F.get("_width", i % n))}
+    if also:
+        made[also] = (F.col(also) - F.col(f"_mm.min_{also}")) / _width(also)
+    return at.select(*[made[c].alias(c) if c in made else F.col(c) for c in df.columns])
+
+
+def fit_steps(df: DataFrame, cols, features: str = "features", also: str | None = None) -> DataFrame:
+    """fit_minmax over the values held in flat step-by-step arrays."""
+    cols = names(cols)
     n = len(cols)
-    at = at.withColumn("_low", low).withColumn("_width", width)
-    scaled = F.transform(features, lambda x, i: (x - F.get("_low", i % n)) / F.get("_width", i % n))
-    return at.select(*[scaled.alias(c) if c == features else F.col(c) for c in df.columns])
+    column = lambda j: F.filter(features, lambda x, i: i % n == j)
+    ends = df.select(
+        *[F.array_min(column(j)).alias(f"lo_{c}") for j, c in enumerate(cols)],
+        *[F.array_max(column(j)).alias(f"hi_{c}") for j, c in enumerate(cols)],
+        *([F.col(also).alias(f"lo_{also}"), F.col(also).alias(f"hi_{also}")] if also else []),
+    )
+    every = [*cols, also] if also else cols
+    return ends.agg(
+        *[F.min(f"lo_{c}").alias(f"min_{c}") for c in every], *[F.max(f"hi_{c}").alias(f"max_{c}") for c in every]
+    )
 
 
 def long_enough(df: DataFrame, run, min_rows: int = 61, salts: int = 16) -> DataFrame:
@@ -77,6 +98,8 @@ def position_split(
     gap: int = 0,
     span: float = 3600,
     prefix: int = 25,
+    in_run: str | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """First `train` share of all rows by series name and order is `train`, the
     rest `test`; training rows also get one of `folds` contiguous blocks.
@@ -86,11 +109,16 @@ def position_split(
 
     Positions over all series come from counts: per series, and per group of
     series that share the first `prefix` characters of their name (the date, for
-    run directories). Only the table of groups meets in one task.
+    run directories). Only the table of groups meets in one task. `in_run` names
+    an existing position in the series, counted from 0. `counted` is a cheaper
+    table with as many rows per series, if there is one.
     """
     order = names(order)
-    placed = with_position(df, run, order, name="_in_run", span=span)
-    runs = df.groupBy(run).agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.substring(run, 1, prefix))
+    if in_run:
+        placed = df.withColumn("_in_run", F.col(in_run))
+    else:
+        placed = with_position(df, run, order, name="_in_run", span=span)
+    runs = (df if counted is None else counted).groupBy(run).agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.substring(run, 1, prefix))
     groups = runs.groupBy("_group").agg(F.sum("_n").alias("_gn")).withColumn("_all", F.lit(0))
     over_groups = Window.partitionBy("_all").orderBy("_group")
     groups = groups.select(

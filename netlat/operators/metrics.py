@@ -108,20 +108,20 @@ def pair_counters(a: DataFrame, b: DataFrame, keys=SECOND) -> DataFrame:
     return a.join(b, list(keys), "full").fillna(0)
 
 
-def connection_rates(lines: DataFrame, fill_first: bool = False, **places) -> DataFrame:
+def connection_rates(counters: dict[str, DataFrame], fill_first: bool = False) -> DataFrame:
     """Failed attempts and listen drops per sample.
 
     Each counter is differenced over its own samples and joined afterwards. With
     `fill_first` missing samples count as 0 before the difference, as in tables
     made by zero-filling first.
     """
-    c = connection_counters(lines, **places)
+    fails, drops = counters["fails"], counters["drops"]
     if fill_first:
-        both = counter_delta(pair_counters(c["fails"], c["drops"]), ["fails", "drops"], "run_id", "time")
+        both = counter_delta(pair_counters(fails, drops), ["fails", "drops"], "run_id", "time")
     else:
         both = pair_counters(
-            counter_delta(c["fails"], "fails", "run_id", "time").drop("fails"),
-            counter_delta(c["drops"], "drops", "run_id", "time").drop("drops"),
+            counter_delta(fails, "fails", "run_id", "time").drop("fails"),
+            counter_delta(drops, "drops", "run_id", "time").drop("drops"),
         )
     return both.select(
         *SECOND,
@@ -144,8 +144,9 @@ def softirq_sums(lines: DataFrame) -> DataFrame:
     return sums.where((F.col("rx") > 0) | (F.col("tx") > 0))
 
 
-def softirq_rates(lines: DataFrame) -> DataFrame:
-    rates = counter_delta(softirq_sums(lines), ["rx", "tx"], "run_id", "time")
+def softirq_rates(sums: DataFrame) -> DataFrame:
+    """Interrupts per sample from the cumulative sums."""
+    rates = counter_delta(sums, ["rx", "tx"], "run_id", "time")
     return rates.select(
         *SECOND,
         F.col("rx_per_sec").alias("softirq_net_rx_per_sec"),
@@ -153,23 +154,30 @@ def softirq_rates(lines: DataFrame) -> DataFrame:
     )
 
 
-def throttle_rates(lines: DataFrame) -> DataFrame:
-    """Throttled periods per sample."""
+def throttle_totals(lines: DataFrame) -> DataFrame:
+    """Throttled periods, cumulative."""
     hit = F.col("value").contains("nr_throttled")
     header = F.col("value").startswith(RULER) & clock("value").isNotNull()
     rows = carry_section(lines.where(header | hit), header)
     n = token("value", 1, type="bigint")
-    total = rows.where(hit & n.isNotNull()).groupBy("run_id", _at("head")).agg(
+    return rows.where(hit & n.isNotNull()).groupBy("run_id", _at("head")).agg(
         F.max_by(n, F.struct("block", "line_no")).alias("cpu_throttle")
     )
-    return counter_delta(total, "cpu_throttle", "run_id", "time").drop("cpu_throttle")
+
+
+def throttle_rates(totals: DataFrame) -> DataFrame:
+    """Throttled periods per sample."""
+    return counter_delta(totals, "cpu_throttle", "run_id", "time").drop("cpu_throttle")
 
 
 def loss_rate(packets: DataFrame, retrans: DataFrame, keys=SECOND) -> DataFrame:
     """Retransmits next to the packets of the same second, and their share in
     percent. Seconds without a retransmit have 0."""
-    both = packets.join(retrans, list(keys), "left").fillna(0, ["retrans_count"])
-    return both.select(
+    return loss_columns(packets.join(retrans, list(keys), "left"), keys)
+
+
+def loss_columns(df: DataFrame, keys=SECOND) -> DataFrame:
+    return df.fillna(0, ["retrans_count"]).select(
         *keys,
         "total_packets_per_sec",
         ratio("retrans_count", "total_packets_per_sec", 100).alias("packet_loss_rate_pct"),

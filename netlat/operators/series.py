@@ -69,7 +69,7 @@ def over_series(
     df: DataFrame,
     by: str | Sequence[str],
     order: str | Sequence[str],
-    columns: dict[str, Callable[[WindowSpec], Column]],
+    columns: dict[str, Callable[[WindowSpec], Column]] | list[dict[str, Callable[[WindowSpec], Column]]],
     back: int = 0,
     ahead: int = 0,
     pos: str | None = None,
@@ -79,8 +79,10 @@ def over_series(
     """Add window columns that look at most `back` rows back and `ahead` forward.
 
     Each entry of `columns` gets the chunk's window and returns an expression on
-    it. `pos` names an existing position column, else positions are made and
-    dropped again.
+    it. A list of such dicts is worked off in turn on the same chunks, where later
+    ones may use the columns of earlier ones; `back` and `ahead` then cover the
+    whole reach. `pos` names an existing position column, else positions are made
+    and dropped again.
     """
     if rows <= back + ahead:
         raise ValueError("a chunk must be longer than the frame")
@@ -91,7 +93,9 @@ def over_series(
     last = F.expr(f"({pos or '_pos'} + {int(back)}) div {int(rows)}")
     chunks = placed.withColumn("_chunk", F.explode(F.sequence(first, last)))
     w = Window.partitionBy(*by, "_chunk").orderBy(at)
-    out = chunks.select("*", *[make(w).alias(name) for name, make in columns.items()])
+    out = chunks
+    for stage in [columns] if isinstance(columns, dict) else columns:
+        out = out.select("*", *[make(w).alias(name) for name, make in stage.items()])
     out = out.where(F.col("_chunk") == F.expr(f"{pos or '_pos'} div {int(rows)}")).drop("_chunk")
     return out if pos else out.drop("_pos")
 
@@ -151,6 +155,7 @@ def sequences(
     pad: bool = False,
     keep_last: bool = False,
     name: str = "features",
+    pos: str | None = None,
     span: float = 3600,
     rows: int = CHUNK_ROWS,
 ) -> DataFrame:
@@ -158,12 +163,14 @@ def sequences(
 
     Without `pad` only full windows stay, and the last one of a series is left
     out unless `keep_last`. With `pad` every row stays and the first row of the
-    series fills the front of short windows. The position of the row in its
-    series stays as `pos`. Call this late: a row grows to steps * cols doubles.
+    series fills the front of short windows. `pos` names an existing position
+    column, else one is added under that name. Call this late: a row grows to
+    steps * cols doubles.
     """
     cols = names(cols)
     step = F.array(*[F.col(c).cast("double") for c in cols])
-    placed = with_position(df, run, order, span=span)
+    placed = df if pos else with_position(df, run, order, span=span)
+    pos = pos or "pos"
     made = over_series(
         placed,
         run,
@@ -174,14 +181,14 @@ def sequences(
         },
         back=steps - 1,
         ahead=1,
-        pos="pos",
+        pos=pos,
         rows=rows,
     )
     if pad:
         front = F.array_repeat(F.element_at("_steps", 1), (F.lit(steps) - F.size("_steps")).cast("int"))
         made = made.withColumn(name, F.flatten(F.concat(front, F.col("_steps"))))
     else:
-        full = F.col("pos") >= steps - 1
+        full = F.col(pos) >= steps - 1
         made = made.where(full if keep_last else full & F.col("_more"))
         made = made.withColumn(name, F.flatten("_steps"))
     return made.drop("_steps", "_more")

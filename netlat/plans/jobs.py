@@ -12,7 +12,8 @@ from netlat.operators import load as ld
 from netlat.operators import metrics as mt
 from netlat.operators import model as md
 from netlat.operators import scores as sc
-from netlat.operators.series import CHUNK_ROWS, future_max, sequences
+from netlat.operators.series import CHUNK_ROWS, future_max, sequences, with_position
+from netlat.session import settle
 from netlat.schemas import CONN_SCHEMA, FEATURES, LABEL, SSL_SCHEMA, TARGET
 from netlat.sources.logs import optional, read_lines, read_optional_lines, read_zeek
 from netlat.sources.tables import mem_usage, parse_mem_usage, read_feature_csv
@@ -74,26 +75,49 @@ def feature_table(
 
     `logs` is keyed like RUN_FILES; `mem_usage` holds rows, the others lines.
     """
-    packets = mt.sum_per_second(logs["packets"], "total_packets_per_sec", rule)
-    retrans = mt.sum_per_second(logs["retrans"], "retrans_count", rule)
-    series = {
+    raw = settle(al.align(second_series(logs, rule, link_bps), ["run_id", "time"], fill=None), "seconds")
+    seconds = settle(al.align(second_rates(raw, fill_first), ["run_id", "time"]), "rates")
+    placed = with_position(seconds, "run_id", "time", name="_pos")
+    placed = al.zip_positional(placed, mt.run_queue_samples(logs["vmstat"]), pos="_pos")
+    placed = al.zip_positional(placed, mt.disk_samples(logs["iostat"], device), pos="_pos")
+    labelled = al.label_phases(placed, mt.phase_starts(logs["timeline"]))
+    return labelled.select(
+        "run_id", "time", *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col(LABEL).cast("int").alias(LABEL)
+    )
+
+
+def second_series(logs: dict[str, DataFrame], rule: str = "trailing", link_bps: int = 10**9) -> dict[str, DataFrame]:
+    """The series with a clock, one row per second each; counters as they stand."""
+    return {
         "nic": mt.nic_usage(logs["throughput"], link_bps, rule),
-        "loss": mt.loss_rate(packets, retrans),
+        "packets": mt.sum_per_second(logs["packets"], "total_packets_per_sec", rule),
+        "retrans": mt.sum_per_second(logs["retrans"], "retrans_count", rule),
         "mem_events": mt.sum_per_second(logs["mem_events"], "total_mem_events_per_sec", rule),
         "sockets": mt.socket_extremes(logs["sockets"]),
-        "connections": mt.connection_rates(logs["conn_fail"], fill_first),
-        "softirq": mt.softirq_rates(logs["softirqs"]),
+        **mt.connection_counters(logs["conn_fail"]),
+        "softirq": mt.softirq_sums(logs["softirqs"]),
         "memory": logs["mem_usage"],
         "rtt": mt.mean_per_second(logs["rtt"]),
-        "throttle": mt.throttle_rates(logs["throttle"]),
+        "throttle": mt.throttle_totals(logs["throttle"]),
+    }
+
+
+def second_rates(raw: DataFrame, fill_first: bool = False) -> dict[str, DataFrame]:
+    """Series of one table of seconds: loss rate, and each counter's growth over
+    the seconds that have it. Retransmits count only where packets were seen."""
+    keys = ["run_id", "time"]
+    has = lambda *cols: raw.where(" OR ".join(f"{c} IS NOT NULL" for c in cols)).select(*keys, *cols)
+    plain = ["nic_usage_pct", "total_mem_events_per_sec", "Recv_Q_Bytes_max", "Send_Q_Bytes_max", "cwnd_min",
+             "ssthresh_min", "used_MB", "available_MB", "RTT_ms_mean"]
+    # A second in which only retransmits were logged is not a row.
+    others = [c for c in raw.columns if c not in [*keys, "retrans_count"]]
+    return {
+        "plain": has(*others).select(*keys, *plain),
+        "loss": mt.loss_columns(has("total_packets_per_sec", "retrans_count").where("total_packets_per_sec IS NOT NULL")),
+        "connections": mt.connection_rates({"fails": has("fails"), "drops": has("drops")}, fill_first),
+        "softirq": mt.softirq_rates(has("rx", "tx")),
+        "throttle": mt.throttle_rates(has("cpu_throttle")),
     }
-    seconds = al.align(series, ["run_id", "time"])
-    seconds = al.zip_positional(seconds, mt.run_queue_samples(logs["vmstat"]))
-    seconds = al.zip_positional(seconds, mt.disk_samples(logs["iostat"], device))
-    labelled = al.label_phases(seconds, mt.phase_starts(logs["timeline"]))
-    return labelled.select(
-        "run_id", "time", *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col(LABEL).cast("int").alias(LABEL)
-    )
 
 
 def run_features(spark: SparkSession, root: str, runs: str = "*", **options) -> DataFrame:
@@ -116,7 +140,7 @@ def augment(
     """
     df = read_feature_csv(source, path) if path else source
     return au.augment_series(
-        df, [*FEATURES, LABEL], ["time"], "run_id", "time", factor, level, variations, seed, rows=rows
+        df, [*FEATURES, LABEL], ["time"], "run_id", "time", factor, level, variations, seed, rows=rows, store=settle
     )
 
 
@@ -143,23 +167,21 @@ def training_set(
     training windows only; together with a gap of steps + horizon - 1 rows the
     test rows then stay unseen.
     """
-    with_target = future_max(df.select(run, order, *cols), target, run, order, horizon, span=span, rows=rows)
-    usable = ds.long_enough(with_target.dropna(), run, steps + 1)
-    windows = sequences(
-        usable, [*cols, "y_target"], run, order, steps, keep_last=keep_last, name="_raw", span=span, rows=rows
-    ).select(run, order, target, "_raw", "y_target")
-    split = ds.position_split(windows, run, order, train, folds, gap, span=span)
+    with_target = future_max(df.select(run, order, *cols), target, run, order, horizon, span=span, rows=rows).dropna()
+    placed = with_position(with_target, run, order, name="_at", span=span, size="_size")
+    # Short series give no window; the narrow rows are stored once for all that follows.
+    usable = settle(placed.where(F.col("_size") > steps), "usable")
+    windows = sequences(usable, cols, run, order, steps, keep_last=keep_last, pos="_at", rows=rows)
+    windows = windows.withColumn("_at", F.col("_at") - (steps - 1))
+    counted = usable.where(F.col("_at") >= steps - 1 if keep_last else F.col("_at").between(steps - 1, F.col("_size") - 2))
+    split = ds.position_split(windows, run, order, train, folds, gap, in_run="_at", counted=counted)
     if fit_on == "all":
         mm = ds.fit_minmax(usable, [*cols, "y_target"])
     else:
-        # The last step of every training window, and the steps before the first.
-        n = len(cols) + 1
-        seen = split.where("split = 'train'").select(F.explode(F.expr(f"transform(sequence(0, {steps - 1}), s -> slice(_raw, s * {n} + 1, {n}))")).alias("s"))
-        mm = ds.fit_minmax(seen.select(*[F.get("s", i).alias(c) for i, c in enumerate([*cols, "y_target"])]), [*cols, "y_target"])
-    scaled = ds.scale(ds.scale_steps(split, mm, [*cols, "y_target"], "_raw"), mm, "y_target")
-    n = len(cols) + 1
-    features = F.filter("_raw", lambda x, i: i % n != n - 1).alias("features")
-    return scaled.select(run, order, F.col(target).alias("last_value"), features, "y_target", "pos", "split", "fold"), mm
+        mm = ds.fit_steps(split.where("split = 'train'"), cols, also="y_target")
+    mm = settle(mm, "scaler")
+    scaled = ds.scale_steps(split.withColumn("last_value", F.col(target)), mm, cols, also="y_target")
+    return scaled.select(run, order, "last_value", "features", "y_target", "pos", "split", "fold"), mm
 
 
 def train(df: DataFrame, grid: dict = md.GRID, parallelism: int = 1, **params):

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="netlat-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back, so that what follows
+    neither computes it again nor depends on the executors that made it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
