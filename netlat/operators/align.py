@@ -55,15 +55,15 @@ def zip_positional(
     column of the base, which stays.
     """
     run = names(run)
-    left = base.withColumn("_pos", F.col(pos)) if pos else with_position(base, run, order, name="_pos", span=span)
+    left = base.withColumn("_nth", F.col(pos)) if pos else with_position(base, run, order, name="_nth", span=span)
     if series_order is None:
-        right = with_position(series, run, ["block", "line_no"], name="_pos", bucket=F.col("block"))
+        right = with_position(series, run, ["block", "line_no"], name="_nth", bucket=F.col("block"))
         right = right.drop("block", "line_no")
     else:
         used = [c for c in names(series_order) if c not in run]
-        right = with_position(series, run, series_order, name="_pos", span=span).drop(*used)
-    added = [c for c in right.columns if c not in [*run, "_pos"]]
-    return left.join(right, [*run, "_pos"], "left").fillna(0, added).drop("_pos")
+        right = with_position(series, run, series_order, name="_nth", span=span).drop(*used)
+    added = [c for c in right.columns if c not in [*run, "_nth"]]
+    return left.join(right, [*run, "_nth"], "left").fillna(0, added).drop("_nth")
 
 
 def label_phases(

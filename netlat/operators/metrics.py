@@ -21,11 +21,18 @@ def _at(text):
     return stamp(F.col(text), F.col("run_id")).alias("time")
 
 
+def _timed(lines: DataFrame, header=None) -> DataFrame:
+    """Lines with the `time` of their section. Only headers are read for a time;
+    lines under a header without a valid one are dropped."""
+    rows = carry_section(lines, header, text=stamp(F.col("value"), F.col("run_id")))
+    return rows.withColumnRenamed("head", "time").where(F.col("time").isNotNull())
+
+
 def sum_per_second(lines: DataFrame, name: str, rule: str = "trailing") -> DataFrame:
     """Sum of the counters of all processes in each second."""
     n = counter_value("value", rule)
-    rows = carry_section(lines.where(clock("value").isNotNull() | n.isNotNull()))
-    return rows.where(n.isNotNull()).groupBy("run_id", _at("head")).agg(F.sum(n).alias(name))
+    rows = _timed(lines.where(clock("value").isNotNull() | n.isNotNull()))
+    return rows.where(n.isNotNull()).groupBy(*SECOND).agg(F.sum(n).alias(name))
 
 
 def nic_usage(lines: DataFrame, bps: int = 10**9, rule: str = "trailing") -> DataFrame:
@@ -39,8 +46,8 @@ def nic_usage(lines: DataFrame, bps: int = 10**9, rule: str = "trailing") -> Dat
     def last(side):
         return F.coalesce(F.max_by(n, F.when(side & n.isNotNull(), place)), F.lit(0))
 
-    rows = carry_section(lines.where(clock("value").isNotNull() | tx | rx))
-    used = rows.groupBy("run_id", _at("head"), "section").agg(link_pct(last(tx) + last(rx), bps).alias("pct"))
+    rows = _timed(lines.where(clock("value").isNotNull() | tx | rx))
+    used = rows.groupBy(*SECOND, "section").agg(link_pct(last(tx) + last(rx), bps).alias("pct"))
     return used.groupBy(*SECOND).agg(F.avg("pct").alias("nic_usage_pct"))
 
 
@@ -53,14 +60,13 @@ def socket_extremes(lines: DataFrame) -> DataFrame:
     recv, send = token("value", 1, type="bigint"), token("value", 2, type="bigint")
     both = established & recv.isNotNull() & send.isNotNull()
     window = value.contains("cwnd:")
-    rows = carry_section(
-        lines.where(value.startswith(RULER) | established | window), value.startswith(RULER) & clock("value").isNotNull()
-    )
+    header = value.startswith(RULER) & clock("value").isNotNull()
+    rows = _timed(lines.where(header | established | window), header)
 
     def zero(c):
         return F.coalesce(c, F.lit(0).cast("bigint"))
 
-    return rows.groupBy("run_id", _at("head")).agg(
+    return rows.groupBy(*SECOND).agg(
         zero(F.max(F.when(both, recv))).alias("Recv_Q_Bytes_max"),
         zero(F.max(F.when(both, send))).alias("Send_Q_Bytes_max"),
         zero(F.min(F.when(window, kv("value", "cwnd")))).alias("cwnd_min"),
@@ -134,10 +140,11 @@ def softirq_sums(lines: DataFrame) -> DataFrame:
     """Receive and send interrupts over all processors, cumulative; samples where
     both are 0 are dropped."""
     rx, tx = F.col("value").contains("NET_RX:"), F.col("value").contains("NET_TX:")
-    rows = carry_section(lines.where(F.col("value").rlike(FRACTION_HEADER) | rx | tx), FRACTION_HEADER)
+    header = F.col("value").rlike(FRACTION_HEADER)
+    rows = _timed(lines.where(header | rx | tx), header)
     place = F.struct("block", "line_no")
     n = int_sum("value")
-    sums = rows.groupBy("run_id", _at("head")).agg(
+    sums = rows.groupBy(*SECOND).agg(
         F.coalesce(F.max_by(n, F.when(rx, place)), F.lit(0)).alias("rx"),
         F.coalesce(F.max_by(n, F.when(tx & ~rx, place)), F.lit(0)).alias("tx"),
     )
@@ -158,9 +165,9 @@ def throttle_totals(lines: DataFrame) -> DataFrame:
     """Throttled periods, cumulative."""
     hit = F.col("value").contains("nr_throttled")
     header = F.col("value").startswith(RULER) & clock("value").isNotNull()
-    rows = carry_section(lines.where(header | hit), header)
+    rows = _timed(lines.where(header | hit), header)
     n = token("value", 1, type="bigint")
-    return rows.where(hit & n.isNotNull()).groupBy("run_id", _at("head")).agg(
+    return rows.where(hit & n.isNotNull()).groupBy(*SECOND).agg(
         F.max_by(n, F.struct("block", "line_no")).alias("cpu_throttle")
     )
 

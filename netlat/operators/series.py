@@ -28,6 +28,8 @@ def time_span(df: DataFrame, order: str, span: float) -> Column:
     c = F.col(order)
     if kind in _TIME_TYPES:
         c = F.unix_micros(c.cast("timestamp")) / 1_000_000
+    elif kind == "string":
+        raise ValueError(f"order by a time or a number, not by the text {order}")
     # Nulls sort first, so their span comes first too.
     return F.coalesce(F.floor(c / span), F.lit(-(1 << 62)))
 

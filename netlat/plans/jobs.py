@@ -131,17 +131,23 @@ def run_features(spark: SparkSession, root: str, runs: str = "*", **options) ->
 
 
 def augment(
-    source: DataFrame | SparkSession, path: str | None = None, factor: int = 10, level: float = 0.02, variations: int = 1,
-    seed: int = 0, rows: int = CHUNK_ROWS,
+    df: DataFrame, order="time", factor: int = 10, level: float = 0.02, variations: int = 1, seed: int = 0,
+    span: float = 3600, rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Augmented feature tables from a feature table, or from a folder of them.
+    """Augmented rows of a feature table; `time` is the nearest old row's time.
 
-    `k` orders the rows of a series; `time` is the nearest old row's time.
+    `series` names each variation of a run and `k` orders its rows, so the result
+    is ready for training_set(df, "series", "k").
     """
-    df = read_feature_csv(source, path) if path else source
-    return au.augment_series(
-        df, [*FEATURES, LABEL], ["time"], "run_id", "time", factor, level, variations, seed, rows=rows, store=settle
+    out = au.augment_series(
+        df, [*FEATURES, LABEL], ["time"], "run_id", order, factor, level, variations, seed, span, rows, store=settle
     )
+    return out.withColumn("series", F.concat(F.lit("aug_v"), F.col("variation"), F.lit("_"), F.col("run_id")))
+
+
+def augment_files(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Augmented rows of feature tables stored as CSV, in the order of the files."""
+    return augment(read_feature_csv(spark, path), ["block", "line_no"], span=1, **options)
 
 
 def training_set(

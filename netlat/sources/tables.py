@@ -14,7 +14,8 @@ MEM_COLUMNS = ["total_MB", "used_MB", "free_MB", "shared_MB", "buff_cache_MB", "
 def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
     """Feature tables as CSV files; the file name becomes `run_id`.
 
-    `time` stays text. Both spellings of the queue columns are read: the header
+    `time` stays text; (`block`, `line_no`) is the order of the rows in their
+    file. Both spellings of the queue columns are read: the header
     says Recv-Q_Bytes_max, the table Recv_Q_Bytes_max. Columns are read by place,
     so the files must hold all of them in the declared order.
     """
@@ -25,7 +26,12 @@ def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
     )
     name = F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.csv)?$", 1)
     return spark.read.schema(schema).csv(path, header=True).select(
-        name.alias("run_id"), "time", *FEATURES, F.col(LABEL)
+        name.alias("run_id"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_no"),
+        "time",
+        *FEATURES,
+        LABEL,
     )
 
 
