@@ -73,15 +73,12 @@ def category_weights(df: DataFrame, col: str, n: int, by=None, other: str = "oth
     group = by or ["_all"]
     counts = counts if by else counts.withColumn("_all", F.lit(0))
     w = Window.partitionBy(*group).orderBy(F.desc("weight"), F.desc("name"))
-    # The limit reaches the tasks before the shuffle; the rest is what is missing
-    # from the total.
+    # The limit reaches the tasks before the shuffle. What the top names leave of
+    # the total is one aggregation, so the counts are shuffled once and reused.
     top = counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
-    total = counts.groupBy(*group).agg(F.sum("weight").alias("_total"))
-    held = top.groupBy(*group).agg(F.sum("weight").alias("_held"))
-    rest = total.join(held, group).where(F.col("_total") > F.col("_held"))
-    rest = rest.select(
-        *group, F.lit(other).alias("name"), (F.col("_total") - F.col("_held")).alias("weight"), F.lit(n + 1).alias("place")
-    )
+    left = counts.select(*group, "weight").unionAll(top.select(*group, -F.col("weight")))
+    rest = left.groupBy(*group).agg(F.sum("weight").alias("weight")).where(F.col("weight") > 0)
+    rest = rest.select(*group, F.lit(other).alias("name"), "weight", F.lit(n + 1).alias("place"))
     return top.select(*group, "name", "weight", "place").unionByName(rest).select(*by, "name", "weight", "place")
 
 

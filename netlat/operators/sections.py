@@ -24,21 +24,21 @@ def carry_section(lines: DataFrame, header: Column | str | None = None, text: Co
     elif isinstance(header, str):
         header = F.col("value").rlike(header)
     value = text if text is not None else F.col("value")
-    head = F.when(header, F.struct(F.col("block"), F.col("line_no"), value.alias("text")))
-    marked = lines.withColumn("_head", head)
+    marked = lines.withColumns({"_at": F.when(header, F.col("line_no")), "_text": F.when(header, value)})
     split = [*FILE, "block"]
-    latest = marked.groupBy(*split).agg(F.max("_head").alias("_last"))
+    latest = marked.groupBy(*split).agg(F.max("_at").alias("_at"), F.max_by("_text", "_at").alias("_text"))
+    head = F.when(F.col("_at").isNotNull(), F.struct("block", "_at", "_text"))
     before = Window.partitionBy(*FILE).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inherited = latest.withColumn("_inherited", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    inherited = latest.select(*split, F.last(head, ignorenulls=True).over(before).alias("_inherited"))
     inside = Window.partitionBy(*split).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        marked.withColumn("_here", F.last("_head", ignorenulls=True).over(inside))
+        marked.withColumn("_here", F.last(head, ignorenulls=True).over(inside))
         .join(inherited, split, "left")
         .withColumn("_head", F.coalesce("_here", "_inherited"))
         .where(F.col("_head").isNotNull())
-        .withColumn("section", F.struct("_head.block", "_head.line_no"))
-        .withColumn("head", F.col("_head.text"))
-        .drop("_head", "_here", "_inherited")
+        .withColumn("section", F.struct("_head.block", F.col("_head._at").alias("line_no")))
+        .withColumn("head", F.col("_head._text"))
+        .drop("_head", "_here", "_inherited", "_at", "_text")
     )
 
 
