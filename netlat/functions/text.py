@@ -1,6 +1,6 @@
 """Column expressions that take values out of log lines."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of the raw log formats.
@@ -30,24 +30,30 @@ def clock(c) -> Column:
     return found(c, CLOCK)
 
 
-def stamp(text, run_id) -> Column:
-    """Timestamp of a line: its own date if it has one, else the run's date.
+def stamped(df: DataFrame, text: Column, name: str = "time") -> DataFrame:
+    """Add the timestamp of a line: its own date if it has one, else the run's.
 
-    The run id carries the start of the run. A bare clock that lies more than
-    half a day before the start belongs to the next day, and one more than half
-    a day after it to the day before, so that a run may cross midnight.
+    The run id carries the start of the run. A bare clock means the time nearest
+    to that start, so that a run may cross midnight. The steps are columns of
+    their own, since Spark would copy them into every place that uses them.
     """
-    start = F.coalesce(
-        F.try_to_timestamp(found(run_id, RUN_STAMP), F.lit("yyyyMMdd_HHmmss")),
-        F.lit("1970-01-01 12:00:00").cast("timestamp"),
+    start = F.try_to_timestamp(F.nullif(F.regexp_extract("run_id", RUN_STAMP, 1), F.lit("")), F.lit("yyyyMMdd_HHmmss"))
+    parts = df.withColumns(
+        {
+            "_day": F.regexp_extract(text, DAY, 1),
+            "_clock": F.regexp_extract(text, CLOCK, 1),
+            "_start": F.coalesce(start, F.lit("1970-01-01 12:00:00").cast("timestamp")),
+        }
     )
-    here = F.try_to_timestamp(
-        F.concat_ws(" ", F.coalesce(found(text, DAY), F.date_format(start, "yyyy-MM-dd")), clock(text))
-    )
-    ahead = F.unix_seconds(here) - F.unix_seconds(start)
-    day = F.expr("INTERVAL 1 DAY")
-    near = F.when(ahead < -43200, here + day).when(ahead > 43200, here - day).otherwise(here)
-    return F.when(found(text, DAY).isNotNull(), here).otherwise(near)
+    day = F.when(F.col("_day") == "", F.date_format("_start", "yyyy-MM-dd")).otherwise(F.col("_day"))
+    here = parts.withColumn("_here", F.try_to_timestamp(F.concat(day, F.lit(" "), F.col("_clock"))))
+    days = F.rint((F.unix_seconds("_start") - F.unix_seconds("_here")) / 86400).cast("int")
+    near = F.col("_here") + F.make_dt_interval(F.when(F.col("_day") == "", days).otherwise(F.lit(0)))
+    return here.withColumn(name, near).drop("_day", "_clock", "_start", "_here")
+
+
+def has_clock(c) -> Column:
+    return _col(c).rlike(CLOCK)
 
 
 def counter_value(c, rule: str = "trailing") -> Column:
@@ -58,9 +64,9 @@ def counter_value(c, rule: str = "trailing") -> Column:
     the minute; it exists to reproduce tables made that way.
     """
     if rule == "trailing":
-        return found(c, r"@.*:\s*(\d+)\s*$").try_cast("bigint")
+        return F.regexp_extract(_col(c), r"@.*:\s*(\d+)\s*$", 1).try_cast("bigint")
     if rule == "first_colon":
-        return found(c, r":\s*(\d+)").try_cast("bigint")
+        return F.regexp_extract(_col(c), r":\s*(\d+)", 1).try_cast("bigint")
     raise ValueError(f"unknown rule {rule!r}")
 
 
@@ -81,7 +87,7 @@ def kv(c, key: str, all: bool = False, number: str = r"\d+", lead: str = "", typ
     """Number after `key:`; with `all` every such number as an array."""
     pattern = f"{lead}{key}:({number})"
     if not all:
-        return found(c, pattern).try_cast(type)
+        return F.regexp_extract(_col(c), pattern, 1).try_cast(type)
     return F.transform(F.regexp_extract_all(_col(c), F.lit(pattern), F.lit(1)), lambda x: x.try_cast(type))
 
 

@@ -8,46 +8,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlat.functions.numbers import link_pct, ratio
-from netlat.functions.text import contains_any, counter_value, found, int_sum, kv, stamp, token, words
-from netlat.functions.text import FRACTION_HEADER, clock
+from netlat.functions.text import (
+    FRACTION_HEADER,
+    contains_any,
+    counter_value,
+    found,
+    has_clock,
+    int_sum,
+    kv,
+    stamped,
+    token,
+    words,
+)
 from netlat.operators.sections import carry_section, line_class, skip_head
 from netlat.operators.series import counter_delta
 
 SECOND = ["run_id", "time"]
+PLACE = ["block", "line_no"]
 RULER = "====="
 
 
-def _at(text):
-    return stamp(F.col(text), F.col("run_id")).alias("time")
+def _timed(lines: DataFrame, header, keep, **values) -> DataFrame:
+    """Values of the lines with the `time` and `section` of the header above.
+
+    Only headers and lines of `keep` are read on, and their values are taken out
+    before the lines are shuffled, so no text is.
+    """
+    kept = lines.where(header | keep)
+    head = F.when(header, F.col("value")).alias("_head")
+    read = kept.select("run_id", "file", *PLACE, head, *[c.alias(n) for n, c in values.items()])
+    timed = stamped(read, F.col("_head"), "_stamp").drop("_head")
+    rows = carry_section(timed, F.col("_stamp").isNotNull(), text=F.col("_stamp"))
+    return rows.select("run_id", F.col("head").alias("time"), "section", *PLACE, *values)
+
+
+def _last(c: str):
+    """Last value in file order."""
+    return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*PLACE)))
 
 
-def _timed(lines: DataFrame, header=None) -> DataFrame:
-    """Lines with the `time` of their section. Only headers are read for a time;
-    lines under a header without a valid one are dropped."""
-    rows = carry_section(lines, header, text=stamp(F.col("value"), F.col("run_id")))
-    return rows.withColumnRenamed("head", "time").where(F.col("time").isNotNull())
+def _zero(c):
+    return F.coalesce(c, F.lit(0).cast("bigint"))
 
 
 def sum_per_second(lines: DataFrame, name: str, rule: str = "trailing") -> DataFrame:
     """Sum of the counters of all processes in each second."""
-    n = counter_value("value", rule)
-    rows = _timed(lines.where(clock("value").isNotNull() | n.isNotNull()))
-    return rows.where(n.isNotNull()).groupBy(*SECOND).agg(F.sum(n).alias(name))
+    keep = F.col("value").contains("@" if rule == "trailing" else ":")
+    rows = _timed(lines, has_clock("value"), keep, n=counter_value("value", rule))
+    return rows.where("n IS NOT NULL").groupBy(*SECOND).agg(F.sum("n").alias(name))
 
 
 def nic_usage(lines: DataFrame, bps: int = 10**9, rule: str = "trailing") -> DataFrame:
     """Link use in percent: last sent and received bytes of each section, mean
     over the sections of a second."""
     n = counter_value("value", rule)
-    tx = F.col("value").contains("tx_bytes")
-    rx = F.col("value").contains("rx_bytes") & ~tx
-    place = F.struct("block", "line_no")
-
-    def last(side):
-        return F.coalesce(F.max_by(n, F.when(side & n.isNotNull(), place)), F.lit(0))
-
-    rows = _timed(lines.where(clock("value").isNotNull() | tx | rx))
-    used = rows.groupBy(*SECOND, "section").agg(link_pct(last(tx) + last(rx), bps).alias("pct"))
+    tx, rx = F.col("value").contains("tx_bytes"), F.col("value").contains("rx_bytes")
+    rows = _timed(lines, has_clock("value"), tx | rx, tx=F.when(tx, n), rx=F.when(rx & ~tx, n))
+    used = rows.groupBy(*SECOND, "section").agg(link_pct(_zero(_last("tx")) + _zero(_last("rx")), bps).alias("pct"))
     return used.groupBy(*SECOND).agg(F.avg("pct").alias("nic_usage_pct"))
 
 
@@ -55,22 +72,24 @@ def socket_extremes(lines: DataFrame) -> DataFrame:
     """Longest queues and smallest windows of the established sockets, 0 where a
     section has none."""
     value = F.col("value")
-    established = value.contains("ESTAB") & ~value.startswith(RULER) & (F.size(words("value")) >= 3)
+    established = value.contains("ESTAB") & ~value.startswith(RULER)
     # A row counts only when both queue lengths are numbers.
     recv, send = token("value", 1, type="bigint"), token("value", 2, type="bigint")
-    both = established & recv.isNotNull() & send.isNotNull()
+    queues = F.when(established & recv.isNotNull() & send.isNotNull(), F.struct(recv.alias("recv"), send.alias("send")))
     window = value.contains("cwnd:")
-    header = value.startswith(RULER) & clock("value").isNotNull()
-    rows = _timed(lines.where(header | established | window), header)
-
-    def zero(c):
-        return F.coalesce(c, F.lit(0).cast("bigint"))
-
+    rows = _timed(
+        lines,
+        value.startswith(RULER) & has_clock("value"),
+        established | window,
+        queues=queues,
+        cwnd=F.when(window, kv("value", "cwnd")),
+        ssthresh=F.when(window, kv("value", "ssthresh")),
+    )
     return rows.groupBy(*SECOND).agg(
-        zero(F.max(F.when(both, recv))).alias("Recv_Q_Bytes_max"),
-        zero(F.max(F.when(both, send))).alias("Send_Q_Bytes_max"),
-        zero(F.min(F.when(window, kv("value", "cwnd")))).alias("cwnd_min"),
-        zero(F.min(F.when(window, kv("value", "ssthresh")))).alias("ssthresh_min"),
+        _zero(F.max("queues.recv")).alias("Recv_Q_Bytes_max"),
+        _zero(F.max("queues.send")).alias("Send_Q_Bytes_max"),
+        _zero(F.min("cwnd")).alias("cwnd_min"),
+        _zero(F.min("ssthresh")).alias("ssthresh_min"),
     )
 
 
@@ -79,21 +98,21 @@ def mean_per_second(lines: DataFrame, name: str = "RTT_ms_mean", header_lines: i
     columns that hold a clock."""
     ms = token("value", -1)
     rows = skip_head(lines, header_lines) if header_lines else lines
-    rows = rows.where((F.size(words("value")) > 5) & clock("value").isNotNull() & ms.isNotNull())
-    return rows.groupBy("run_id", _at("value")).agg(F.avg(ms).alias(name))
+    rows = rows.where((F.size(words("value")) > 5) & has_clock("value") & ms.isNotNull())
+    rows = stamped(rows.select("run_id", "value", ms.alias("_ms")), F.col("value"))
+    return rows.groupBy(*SECOND).agg(F.avg("_ms").alias(name))
 
 
 def _numbers(lines: DataFrame, at: int, need: int, name: str) -> DataFrame:
     """Number `at` of the values after the fourth column; a line with fewer than
     `need` values or a bad one is skipped. The last line of a second counts."""
     values = F.transform(F.slice(words("value"), 5, 1000), lambda x: x.try_cast("bigint"))
-    rows = lines.select("run_id", "value", "block", "line_no", values.alias("v"))
-    rows = rows.where((F.size("v") > need) & F.forall("v", lambda x: x.isNotNull()))
     # The clock stands in the second column.
     when = F.concat_ws(" ", token("value", 0, type="string"), token("value", 1, type="string"))
-    return rows.groupBy("run_id", stamp(when, F.col("run_id")).alias("time")).agg(
-        F.max_by(F.element_at("v", at + 1), F.struct("block", "line_no")).alias(name)
-    )
+    rows = lines.select("run_id", *PLACE, when.alias("_when"), values.alias("v"))
+    rows = rows.where((F.size("v") > need) & F.forall("v", lambda x: x.isNotNull()))
+    rows = stamped(rows, F.col("_when")).where("time IS NOT NULL")
+    return rows.groupBy(*SECOND).agg(F.max_by(F.element_at("v", at + 1), F.struct(*PLACE)).alias(name))
 
 
 def connection_counters(lines: DataFrame, fail_index: int = 6, drop_index: int = 20) -> dict[str, DataFrame]:
@@ -140,14 +159,9 @@ def softirq_sums(lines: DataFrame) -> DataFrame:
     """Receive and send interrupts over all processors, cumulative; samples where
     both are 0 are dropped."""
     rx, tx = F.col("value").contains("NET_RX:"), F.col("value").contains("NET_TX:")
-    header = F.col("value").rlike(FRACTION_HEADER)
-    rows = _timed(lines.where(header | rx | tx), header)
-    place = F.struct("block", "line_no")
     n = int_sum("value")
-    sums = rows.groupBy(*SECOND).agg(
-        F.coalesce(F.max_by(n, F.when(rx, place)), F.lit(0)).alias("rx"),
-        F.coalesce(F.max_by(n, F.when(tx & ~rx, place)), F.lit(0)).alias("tx"),
-    )
+    rows = _timed(lines, F.col("value").rlike(FRACTION_HEADER), rx | tx, rx=F.when(rx, n), tx=F.when(tx & ~rx, n))
+    sums = rows.groupBy(*SECOND).agg(_zero(_last("rx")).alias("rx"), _zero(_last("tx")).alias("tx"))
     return sums.where((F.col("rx") > 0) | (F.col("tx") > 0))
 
 
@@ -164,12 +178,9 @@ def softirq_rates(sums: DataFrame) -> DataFrame:
 def throttle_totals(lines: DataFrame) -> DataFrame:
     """Throttled periods, cumulative."""
     hit = F.col("value").contains("nr_throttled")
-    header = F.col("value").startswith(RULER) & clock("value").isNotNull()
-    rows = _timed(lines.where(header | hit), header)
-    n = token("value", 1, type="bigint")
-    return rows.where(hit & n.isNotNull()).groupBy(*SECOND).agg(
-        F.max_by(n, F.struct("block", "line_no")).alias("cpu_throttle")
-    )
+    n = F.when(hit, token("value", 1, type="bigint"))
+    rows = _timed(lines, F.col("value").startswith(RULER) & has_clock("value"), hit, n=n)
+    return rows.where("n IS NOT NULL").groupBy(*SECOND).agg(_last("n").alias("cpu_throttle"))
 
 
 def throttle_rates(totals: DataFrame) -> DataFrame:
@@ -229,10 +240,9 @@ def phase_starts(lines: DataFrame) -> DataFrame:
     """
     first = found("value", r"^([^,]*),")
     label = F.upper(found("value", r"^[^,]*,(.*)$")).contains("ATTACK").cast("int")
-    rows = lines.where(clock(first).isNotNull())
-    return rows.groupBy("run_id", stamp(first, F.col("run_id")).alias("start")).agg(
-        F.max_by(F.coalesce(label, F.lit(0)), F.struct("block", "line_no")).alias("label")
-    )
+    rows = lines.where(has_clock(first)).select("run_id", *PLACE, first.alias("_first"), label.alias("_label"))
+    rows = stamped(rows, F.col("_first"), "start")
+    return rows.groupBy("run_id", "start").agg(F.max_by(F.coalesce("_label", F.lit(0)), F.struct(*PLACE)).alias("label"))
 
 
 def reject_counts(lines: DataFrame, accepted) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netlat.functions.text import clock, stamp
+from netlat.functions.text import has_clock, stamped
 from netlat.schemas import FEATURES, LABEL
 
 # Fixed value: the header of the memory log.
@@ -50,8 +50,8 @@ def mem_usage(rows: DataFrame) -> DataFrame:
     """Last memory sample of each second."""
     last = F.max_by(F.struct("used_MB", "available_MB"), "timestamp")
     return (
-        rows.where(clock("timestamp").isNotNull())
-        .groupBy("run_id", stamp("timestamp", F.col("run_id")).alias("time"))
+        stamped(rows.where(has_clock("timestamp")), F.col("timestamp"))
+        .groupBy("run_id", "time")
         .agg(last.alias("_m"))
         .select("run_id", "time", "_m.used_MB", "_m.available_MB")
     )
