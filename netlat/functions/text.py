@@ -101,13 +101,6 @@ def int_sum(c, whole_tokens: bool = False) -> Column:
     return F.aggregate(parts, F.lit(0).cast("bigint"), lambda total, x: total + F.coalesce(x.try_cast("bigint"), F.lit(0)))
 
 
-def contains_all(c, *parts: str) -> Column:
-    test = F.lit(True)
-    for part in parts:
-        test = test & _col(c).contains(part)
-    return test
-
-
 def contains_any(c, *parts: str) -> Column:
     test = F.lit(False)
     for part in parts:

@@ -248,6 +248,101 @@ def parse_mean_per_second(spark, sf):
     return mt.mean_per_second(lines, header_lines=0).select("run_id", epoch("time"), r6("RTT_ms_mean"))
 
 
+def _run_logs(spark, sf):
+    """All logs of a run, made of the events of a type; an hour stands for a second."""
+    e = events(spark, sf)
+    second, odd = F.date_format("hour", CLOCKED), F.lit("10.0.0.1:80 10.0.0.2:5000")
+    num = lambda c: F.col(c).cast("string")
+    even, third, fourth = (F.col("event_id") % n == 0 for n in (2, 3, 4))
+    cat, lit = F.concat, F.lit
+    snmp = F.concat_ws(" ", second, lit("SNMP Tcp: 1 200 120000 -1 50 60"), num("event_id"), lit("4 5"))
+    netstat = F.concat_ws(" ", second, lit("NETSTAT TcpExt:" + " 0" * 20), F.col("event_id") * 2)
+    rtt = F.concat_ws(" ", second, lit("812 nginx 10.0.0.1 80 10.0.0.2"), num("value"))
+    disk = F.concat_ws(" ", lit("sda 1 1 1 1 1 1 1 1"), num("value"), lit("0"), num("user_id"), lit("0 0 0"))
+    days = e.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.min("hour").alias("hour"), F.min("ts").alias("ts"))
+    label = F.when(F.dayofmonth("hour") % 3 == 0, ",ATTACK").otherwise(",NORMAL")
+    lines = lambda file, values, header=CLOCKED: log_lines(e, file, values, header)
+    micros = F.lpad((F.unix_micros("ts") - F.unix_micros("hour")).cast("string"), 10, "0")
+    memory = e.select(
+        F.col("event_type").alias("run_id"),
+        cat(second, lit("."), micros).alias("timestamp"),
+        F.col("user_id").alias("used_MB"),
+        F.col("event_id").alias("available_MB"),
+    )
+    phases = days.select(
+        F.col("event_type").alias("run_id"), F.lit("t").alias("file"), F.lit(0).alias("block"),
+        F.unix_micros("ts").alias("line_no"), cat(second, label).alias("value"),
+    )
+    return {
+        "packets": lines("p", [(cat(lit("@["), "user_id", lit("]: "), F.floor("value")), ALL)]),
+        "retrans": lines("r", [(lit("@[nginx]: 1"), third)]),
+        "mem_events": lines("m", [(cat(lit("@[nginx]: "), "user_id"), ALL)]),
+        "throughput": lines("t", [(cat(lit("@tx_bytes: "), "event_id"), even), (cat(lit("@rx_bytes: "), "user_id"), ALL)]),
+        "sockets": lines(
+            "s",
+            [(F.concat_ws(" ", lit("ESTAB"), num("user_id"), num("event_id"), odd), ALL), (cat(lit("x cwnd:"), "user_id", lit(" ssthresh:"), "event_id"), even)],
+            RULED,
+        ),
+        "conn_fail": lines("c", [(snmp, ALL), (netstat, even)], "'# 'yyyy"),
+        "softirqs": lines("q", [(cat(lit("NET_RX: 1 "), "event_id"), ALL), (cat(lit("NET_TX: 2 "), "event_id"), third)], RULED_FRACTION),
+        "mem_usage": jobs.mem_usage(memory),
+        "rtt": lines("l", [(lit("header"), "false"), (rtt, ALL)], "'TIME PID'"),
+        "throttle": lines("n", [(cat(lit("nr_throttled "), F.col("event_id") % 3000), ALL)], RULED),
+        "vmstat": lines("v", [(cat(lit("x,"), F.col("event_id") % 9, lit(",0")), ALL)], RULED),
+        "iostat": lines("i", [(disk, fourth)], "'Device'"),
+        "timeline": phases,
+    }
+
+
+def _feature_sql():
+    grows = lambda c: f"coalesce(greatest({c} - lag({c} IGNORE NULLS) OVER w, 0), 0)"
+    made = {
+        "RTT_ms_mean": "rtt",
+        "packet_loss_rate_pct": "CASE WHEN packets > 0 THEN retrans / packets * 100 ELSE 0 END",
+        "retrans_segs_per_sec": "retrans",
+        "conn_fail_rate_server": grows("last_id"),
+        "listen_drops_per_sec": f"CASE WHEN drops IS NULL THEN 0 ELSE {grows('drops')} END",
+        "Recv_Q_Bytes_max": "max_user",
+        "Send_Q_Bytes_max": "last_id",
+        "run_queue_len_cpu0": "coalesce(v.queue, 0)",
+        "cwnd_min": "cwnd",
+        "ssthresh_min": "ssthresh",
+        "nic_usage_pct": "(coalesce(drops / 2, 0) + last_user) * 8 / 1e9 * 100",
+        "total_packets_per_sec": "packets",
+        "used_MB": "last_user",
+        "available_MB": "last_id",
+        "total_mem_events_per_sec": "users",
+        "cpu_throttle_per_sec": grows("throttled"),
+        "softirq_net_rx_per_sec": grows("last_id"),
+        "softirq_net_tx_per_sec": grows("sent"),
+        "iostat_r_await": "coalesce(d.value, 0)",
+        "iostat_aqu_sz": "coalesce(d.user_id, 0)",
+    }
+    columns = ", ".join(f'round(CAST({made[f]} AS DOUBLE), 6) AS "{f}"' for f in FEATURES)
+    return f"""WITH h AS (SELECT event_type AS run_id, date_trunc('hour', ts) AS time, avg(value) AS rtt,
+    CAST(sum(floor(value)) AS DOUBLE) AS packets, count(*) FILTER (event_id % 3 = 0) AS retrans, max(event_id) AS last_id,
+    max(user_id) AS max_user, coalesce(min(user_id) FILTER (event_id % 2 = 0), 0) AS cwnd,
+    coalesce(min(event_id) FILTER (event_id % 2 = 0), 0) AS ssthresh, max(event_id * 2) FILTER (event_id % 2 = 0) AS drops,
+    arg_max(user_id, ts) AS last_user, sum(user_id) AS users, arg_max(event_id % 3000, ts) AS throttled,
+    coalesce(2 + max(event_id) FILTER (event_id % 3 = 0), 0) AS sent FROM events GROUP BY 1, 2),
+  n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY time) AS nth FROM h),
+  v AS (SELECT event_type, event_id % 9 AS queue, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS nth FROM events),
+  d AS (SELECT event_type, value, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS nth FROM events WHERE event_id % 4 = 0),
+  s AS (SELECT event_type, date_trunc('hour', min(ts)) AS start, CAST(day(min(ts)) % 3 = 0 AS BIGINT) AS label FROM events
+    GROUP BY event_type, date_trunc('day', ts)),
+  q AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY event_type ORDER BY start), date_trunc('day', start) + INTERVAL '23:59:59') AS stop FROM s)
+SELECT n.run_id, CAST(epoch(n.time) AS BIGINT) AS time, {columns}, coalesce(q.label, 0) AS "Label" FROM n
+  LEFT JOIN v ON v.event_type = n.run_id AND v.nth = n.nth LEFT JOIN d ON d.event_type = n.run_id AND d.nth = n.nth
+  LEFT JOIN q ON q.event_type = n.run_id AND n.time >= q.start AND n.time < q.stop
+  WINDOW w AS (PARTITION BY n.run_id ORDER BY n.time)"""
+
+
+@query(_feature_sql())
+def run_feature_table(spark, sf):
+    out = jobs.feature_table(_run_logs(spark, sf), header_lines=0)
+    return bigs(out.select("run_id", epoch("time"), *[r6(c) for c in FEATURES], "Label"))
+
+
 @query("""SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_type, ts) AS event_type,
   arg_max(value, ts) AS value, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1, 2""")
 def last_per_key(spark, sf):

@@ -69,13 +69,16 @@ def _server_schema():
 
 def feature_table(
     logs: dict[str, DataFrame], rule: str = "trailing", link_bps: int = 10**9, device: str | None = None,
-    fill_first: bool = False,
+    fill_first: bool = False, header_lines: int = 2,
 ) -> DataFrame:
     """One labelled row per run and second from the lines of the run logs.
 
-    `logs` is keyed like RUN_FILES; `mem_usage` holds rows, the others lines.
+    `logs` is keyed like RUN_FILES; `mem_usage` holds rows, the others lines. The
+    table of seconds is written once the text has been read, since counters,
+    positions and labels each pass over it again.
     """
-    raw = settle(al.align(second_series(logs, rule, link_bps), ["run_id", "time"], fill=None), "seconds")
+    series = second_series(logs, rule, link_bps, header_lines)
+    raw = settle(al.align(series, ["run_id", "time"], fill=None), "seconds")
     seconds = settle(al.align(second_rates(raw, fill_first), ["run_id", "time"]), "rates")
     placed = with_position(seconds, "run_id", "time", name="_pos")
     placed = al.zip_positional(placed, mt.run_queue_samples(logs["vmstat"]), pos="_pos")
@@ -86,7 +89,9 @@ def feature_table(
     )
 
 
-def second_series(logs: dict[str, DataFrame], rule: str = "trailing", link_bps: int = 10**9) -> dict[str, DataFrame]:
+def second_series(
+    logs: dict[str, DataFrame], rule: str = "trailing", link_bps: int = 10**9, header_lines: int = 2
+) -> dict[str, DataFrame]:
     """The series with a clock, one row per second each; counters as they stand."""
     return {
         "nic": mt.nic_usage(logs["throughput"], link_bps, rule),
@@ -97,7 +102,7 @@ def second_series(logs: dict[str, DataFrame], rule: str = "trailing", link_bps:
         **mt.connection_counters(logs["conn_fail"]),
         "softirq": mt.softirq_sums(logs["softirqs"]),
         "memory": logs["mem_usage"],
-        "rtt": mt.mean_per_second(logs["rtt"]),
+        "rtt": mt.mean_per_second(logs["rtt"], header_lines=header_lines),
         "throttle": mt.throttle_totals(logs["throttle"]),
     }
 

@@ -162,9 +162,10 @@ def live_job(
 ) -> list[StreamingQuery]:
     """Score a folder of snapshots; predictions and alerts become two tables."""
     scored = stream_score(stream_features(snapshot_stream(spark, source), steps, link_bps), model, mm)
+    # The table must be there before a stream can follow it.
+    spark.createDataFrame([], scored.schema).write.mode("append").parquet(f"{out}/predictions")
     predictions = start_predictions(scored, f"{out}/predictions", f"{checkpoint}/predictions", available_now)
     # Alerts follow the prediction table, so each window is scored once.
-    spark.createDataFrame([], scored.schema).write.mode("append").parquet(f"{out}/predictions")
     made = spark.readStream.schema(scored.schema).parquet(f"{out}/predictions")
     if available_now:
         predictions.awaitTermination()

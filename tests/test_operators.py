@@ -15,6 +15,7 @@ from netlat.operators import augment as au
 from netlat.operators import connlog as cl
 from netlat.operators import dataset as ds
 from netlat.operators import load as ld
+from netlat.operators import metrics as mt
 from netlat.operators import scores as sc
 from netlat.operators import series as sr
 from netlat.operators import views as vw
@@ -333,3 +334,36 @@ def test_views(spark):
 def test_last_rows_are_limited_before_the_shuffle(spark):
     plan = sr.last_n(series(spark, [40]), "run_id", "time", 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_declared_columns(spark):
+    df = spark.createDataFrame([(1, None)], "b int, a double")
+    assert al.conform(df, ["a", "b", "c"]).first().asDict() == {"a": 0.0, "b": 1, "c": 0}
+    with pytest.raises(ValueError, match="missing columns: x"):
+        al.require_columns(df, ["a", "x"])
+    assert al.require_columns(df, ["a", "b"]).columns == ["a", "b"]
+    assert df.select(nb.kb_to_mb(F.lit(2048))).first()[0] == 2.0
+
+
+def test_reject_counts(spark):
+    lines = spark.createDataFrame([("r", "f", "@[a]: 1"), ("r", "f", "@[a]: x"), ("r", "f", "noise")], "run_id string, file string, value string")
+    got = mt.reject_counts(lines, tx.counter_value("value").isNotNull()).first()
+    assert (got.accepted, got.rejected) == (1, 2)
+
+
+def test_text_order_is_refused(spark):
+    with pytest.raises(ValueError, match="order by a time"):
+        sr.with_position(spark.createDataFrame([("a", "12:00:00")], "r string, t string"), "r", "t")
+
+
+def test_no_task_gets_a_whole_hot_run(spark):
+    """One run holds nearly all rows; its windows still spread over many groups."""
+    hot = spark.range(40000).select(
+        F.when(F.col("id") % 50 == 0, "cold").otherwise("hot").alias("run_id"),
+        F.timestamp_seconds(F.col("id")).alias("time"),
+        (F.col("id") % 7).cast("double").alias("x"),
+    )
+    seen = {"size": lambda w: F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}
+    largest = sr.over_series(hot, "run_id", "time", seen, back=3, rows=1000).agg(F.max("size")).first()[0]
+    assert largest == 1003
+    assert sr.rolling_mean(hot, "x", "run_id", "time", 3, rows=1000).count() == 40000
