@@ -22,7 +22,7 @@ def found(c, pattern: str, group: int = 1) -> Column:
 
 def strip_ansi(c) -> Column:
     """Drop terminal escape sequences, then surrounding white space."""
-    return F.regexp_replace(F.regexp_replace(_col(c), ANSI_ESCAPE, ""), r"^\s+|\s+$", "")
+    return F.btrim(F.regexp_replace(_col(c), ANSI_ESCAPE, ""), F.lit(" \t\r\n\x0b\x0c"))
 
 
 def clock(c) -> Column:
@@ -71,7 +71,7 @@ def counter_value(c, rule: str = "trailing") -> Column:
 
 
 def words(c, sep: str = r"\s+") -> Column:
-    return F.split(F.regexp_replace(_col(c), r"^\s+|\s+$", ""), sep)
+    return F.split(F.btrim(_col(c), F.lit(" \t\r\n")), sep)
 
 
 def token(c, i: int, sep: str = r"\s+", type: str = "double") -> Column:

@@ -64,12 +64,14 @@ def snapshot_rates(
     paired = over_series(df, host, ts, columns, back=1, span=span, rows=rows)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     gap = (micros(ts) - micros(f"_before_{ts}")) / 1_000_000.0
-    seconds = F.when(gap > 0, gap).otherwise(F.lit(1.0))
-    first = F.col(f"_before_{ts}").isNull()
 
     def delta(c):
         growth = F.col(c) - F.col(f"_before_{c}")
         return clip0(growth) if clip else growth
 
-    features = rate_columns(delta, seconds, first, link_bps)
-    return paired.select(*host, F.col(ts).alias("time"), *[c.alias(n) for n, c in features.items()])
+    # Columns of their own, since every feature uses several of them.
+    steps = {f"_grown_{c}": delta(c) for c in COUNTERS}
+    steps |= {"_seconds": F.when(gap > 0, gap).otherwise(F.lit(1.0)), "_first": F.col(f"_before_{ts}").isNull()}
+    grown = paired.withColumns(steps)
+    features = rate_columns(lambda c: F.col(f"_grown_{c}"), F.col("_seconds"), F.col("_first"), link_bps)
+    return grown.select(*host, F.col(ts).alias("time"), *[c.alias(n) for n, c in features.items()])

@@ -32,6 +32,7 @@ from netlat.plans.standins import (
 )
 from netlat.schemas import COUNTERS, FEATURES
 from netlat.session import scratch_path
+from netlat.sources.tables import read_dataset, write_dataset
 from netlat.streaming import live
 
 QUERIES = {}
@@ -318,7 +319,8 @@ def _feature_sql():
         "iostat_r_await": "coalesce(d.value, 0)",
         "iostat_aqu_sz": "coalesce(d.user_id, 0)",
     }
-    columns = ", ".join(f'round(CAST({made[f]} AS DOUBLE), 6) AS "{f}"' for f in FEATURES)
+    # Means of up to some hundred values with two decimals have no tie at eight.
+    columns = ", ".join(f'round(CAST({made[f]} AS DOUBLE), 8) AS "{f}"' for f in FEATURES)
     return f"""WITH h AS (SELECT event_type AS run_id, date_trunc('hour', ts) AS time, avg(value) AS rtt,
     CAST(sum(floor(value)) AS DOUBLE) AS packets, count(*) FILTER (event_id % 3 = 0) AS retrans, max(event_id) AS last_id,
     max(user_id) AS max_user, coalesce(min(user_id) FILTER (event_id % 2 = 0), 0) AS cwnd,
@@ -340,7 +342,7 @@ SELECT n.run_id, CAST(epoch(n.time) AS BIGINT) AS time, {columns}, coalesce(q.la
 @query(_feature_sql())
 def run_feature_table(spark, sf):
     out = jobs.feature_table(_run_logs(spark, sf), header_lines=0)
-    return bigs(out.select("run_id", epoch("time"), *[r6(c) for c in FEATURES], "Label"))
+    return bigs(out.select("run_id", epoch("time"), *[F.round(c, 8).alias(c) for c in FEATURES], "Label"))
 
 
 @query("""SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_max(event_type, ts) AS event_type,
@@ -791,7 +793,14 @@ def threshold_alerts(spark, sf):
 
 def _windows(spark, sf):
     rows = hourly_by_type(spark, sf)
-    return jobs.training_set(rows, cols=EVENT_TYPES, target="click", steps=_STEPS, horizon=4)
+    return _stored(spark, *jobs.training_set(rows, cols=EVENT_TYPES, target="click", steps=_STEPS, horizon=4))
+
+
+def _stored(spark, data, mm):
+    """A fit reads its rows many times, so the set is written first."""
+    path = scratch_path(spark, "dataset")
+    write_dataset(data, mm, path)
+    return read_dataset(spark, path)
 
 
 @query()
@@ -854,7 +863,7 @@ def stream_rates(spark, sf):
 def stream_score(spark, sf):
     steps = 6
     batch = snapshot_rates(as_snapshots(events(spark, sf)), span=SPAN)
-    data, mm = jobs.training_set(batch, run="host", steps=steps, horizon=4, span=SPAN)
+    data, mm = _stored(spark, *jobs.training_set(batch, run="host", steps=steps, horizon=4, span=SPAN))
     model = md.fit_gbt(data.where("split = 'train'"), maxIter=3, maxDepth=3)
     scored = live.stream_score(live.stream_features(_event_stream(spark, sf), steps), model, mm)
     return _run(spark, scored, "scores").withColumn("time", F.unix_micros("time"))

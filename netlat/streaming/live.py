@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netlat.operators.model import score_window
 from netlat.operators.views import alerts
-from netlat.schemas import COUNTERS, FEATURES, SNAPSHOT_SCHEMA
+from netlat.schemas import COUNTERS, FEATURES, GAUGES, LEVELS, SNAPSHOT_SCHEMA
 
 _OUTPUT = T.StructType(
     [T.StructField("host", T.StringType()), T.StructField("time", T.TimestampType())]
@@ -39,7 +39,7 @@ def snapshot_stream(spark: SparkSession, path: str, files_per_trigger: int = 100
     return reader.json(path)
 
 
-def _rates(rows: pd.DataFrame, growth: pd.DataFrame, seconds: np.ndarray, first: np.ndarray, link_bps: float) -> np.ndarray:
+def _rates(rows: dict, growth: dict, seconds: np.ndarray, first: np.ndarray, link_bps: float) -> np.ndarray:
     """Feature matrix of sorted snapshots; the batch form is rates.rate_columns."""
 
     def ratio(n, d, scale=1.0):
@@ -89,43 +89,40 @@ def stream_features(snapshots: DataFrame, steps: int = 60, link_bps: float = 1e9
     width = len(FEATURES)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("timestamp", kind="stable", ignore_index=True)
-        micros = rows["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+        frame = pd.concat(list(batches), ignore_index=True).sort_values("timestamp", kind="stable", ignore_index=True)
+        micros = frame["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+        late = np.zeros(len(micros), bool)
+        late[1:] = micros[1:] == micros[:-1]
         if state.exists:
             time_us, counters, recent, dropped = state.get
             recent = np.asarray(recent, float).reshape(-1, width)
-            late = micros <= time_us
+            late |= micros <= time_us
         else:
             time_us, counters, recent, dropped = None, None, None, 0
-            late = np.zeros(len(rows), bool)
-        late[1:] |= micros[1:] == micros[:-1]
         dropped = int(dropped) + int(late.sum())
-        rows, micros = rows[~late].reset_index(drop=True), micros[~late]
-        if rows.empty:
+        times, micros = frame["timestamp"][~late].reset_index(drop=True), micros[~late]
+        rows = {c: frame[c].to_numpy()[~late] for c in [*GAUGES, *LEVELS, *COUNTERS]}
+        if not len(micros):
             state.update((time_us, list(counters), recent.ravel().tolist(), dropped))
             return
-        growth = rows[COUNTERS].diff()
-        seconds = np.diff(micros, prepend=micros[0] if time_us is None else time_us) / 1e6
-        first = np.zeros(len(rows), bool)
-        if counters is None:
-            first[0] = True
-            seconds[0] = 1.0
-            growth.iloc[0] = 0
-        else:
-            growth.iloc[0] = rows.loc[0, COUNTERS].to_numpy(float) - np.asarray(counters, float)
+        first = np.zeros(len(micros), bool)
+        first[0] = counters is None
+        before = [rows[c][0] for c in COUNTERS] if counters is None else counters
+        growth = {c: np.diff(rows[c], prepend=b) for c, b in zip(COUNTERS, before)}
         if clip:
-            growth = growth.clip(lower=0)
+            growth = {c: np.maximum(g, 0) for c, g in growth.items()}
+        seconds = np.diff(micros, prepend=micros[0] - 1_000_000 if time_us is None else time_us) / 1e6
         made = _rates(rows, growth, seconds, first, link_bps)
         if recent is None:
             recent = np.repeat(made[:1], steps - 1, axis=0)
         history = np.vstack([recent, made])
         windows = [history[i : i + steps].ravel() for i in range(len(made))]
         keep = history[len(history) - (steps - 1) :]
-        latest = [int(v) for v in rows.loc[len(rows) - 1, COUNTERS]]
+        latest = [int(rows[c][-1]) for c in COUNTERS]
         state.update((int(micros[-1]), latest, keep.ravel().tolist(), dropped))
         out = pd.DataFrame(made, columns=FEATURES)
         out.insert(0, "host", key[0])
-        out.insert(1, "time", rows["timestamp"])
+        out.insert(1, "time", times)
         out["features"] = windows
         out["dropped"] = dropped
         yield out
