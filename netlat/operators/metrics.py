@@ -28,16 +28,17 @@ PLACE = ["block", "line_no"]
 RULER = "====="
 
 
-def _timed(lines: DataFrame, header, keep, **values) -> DataFrame:
+def _timed(lines: DataFrame, header, **values) -> DataFrame:
     """Values of the lines with the `time` and `section` of the header above.
 
-    Only headers and lines of `keep` are read on, and their values are taken out
-    before the lines are shuffled, so no text is.
+    Each pattern is tried once per line, and values are taken out before the
+    lines are shuffled, so no text is. Other lines than headers and lines with a
+    value are dropped.
     """
-    kept = lines.where(header | keep)
     head = F.when(header, F.col("value")).alias("_head")
-    read = kept.select("run_id", "file", *PLACE, head, *[c.alias(n) for n, c in values.items()])
-    timed = stamped(read, F.col("_head"), "_stamp").drop("_head")
+    read = lines.select("run_id", "file", *PLACE, head, *[c.alias(n) for n, c in values.items()])
+    kept = read.where(" OR ".join(f"{c} IS NOT NULL" for c in ["_head", *values]))
+    timed = stamped(kept, F.col("_head"), "_stamp").drop("_head")
     rows = carry_section(timed, F.col("_stamp").isNotNull(), text=F.col("_stamp"))
     return rows.select("run_id", F.col("head").alias("time"), "section", *PLACE, *values)
 
@@ -53,8 +54,7 @@ def _zero(c):
 
 def sum_per_second(lines: DataFrame, name: str, rule: str = "trailing") -> DataFrame:
     """Sum of the counters of all processes in each second."""
-    keep = F.col("value").contains("@" if rule == "trailing" else ":")
-    rows = _timed(lines, has_clock("value"), keep, n=counter_value("value", rule))
+    rows = _timed(lines, has_clock("value"), n=counter_value("value", rule))
     return rows.where("n IS NOT NULL").groupBy(*SECOND).agg(F.sum("n").alias(name))
 
 
@@ -63,7 +63,7 @@ def nic_usage(lines: DataFrame, bps: int = 10**9, rule: str = "trailing") -> Dat
     over the sections of a second."""
     n = counter_value("value", rule)
     tx, rx = F.col("value").contains("tx_bytes"), F.col("value").contains("rx_bytes")
-    rows = _timed(lines, has_clock("value"), tx | rx, tx=F.when(tx, n), rx=F.when(rx & ~tx, n))
+    rows = _timed(lines, has_clock("value"), tx=F.when(tx, n), rx=F.when(rx & ~tx, n))
     used = rows.groupBy(*SECOND, "section").agg(link_pct(_zero(_last("tx")) + _zero(_last("rx")), bps).alias("pct"))
     return used.groupBy(*SECOND).agg(F.avg("pct").alias("nic_usage_pct"))
 
@@ -80,7 +80,6 @@ def socket_extremes(lines: DataFrame) -> DataFrame:
     rows = _timed(
         lines,
         value.startswith(RULER) & has_clock("value"),
-        established | window,
         queues=queues,
         cwnd=F.when(window, kv("value", "cwnd")),
         ssthresh=F.when(window, kv("value", "ssthresh")),
@@ -155,12 +154,16 @@ def connection_rates(counters: dict[str, DataFrame], fill_first: bool = False) -
     )
 
 
+def _fraction_header():
+    return F.col("value").contains(RULER) & F.col("value").rlike(FRACTION_HEADER)
+
+
 def softirq_sums(lines: DataFrame) -> DataFrame:
     """Receive and send interrupts over all processors, cumulative; samples where
     both are 0 are dropped."""
     rx, tx = F.col("value").contains("NET_RX:"), F.col("value").contains("NET_TX:")
     n = int_sum("value")
-    rows = _timed(lines, F.col("value").rlike(FRACTION_HEADER), rx | tx, rx=F.when(rx, n), tx=F.when(tx & ~rx, n))
+    rows = _timed(lines, _fraction_header(), rx=F.when(rx, n), tx=F.when(tx & ~rx, n))
     sums = rows.groupBy(*SECOND).agg(_zero(_last("rx")).alias("rx"), _zero(_last("tx")).alias("tx"))
     return sums.where((F.col("rx") > 0) | (F.col("tx") > 0))
 
@@ -179,7 +182,7 @@ def throttle_totals(lines: DataFrame) -> DataFrame:
     """Throttled periods, cumulative."""
     hit = F.col("value").contains("nr_throttled")
     n = F.when(hit, token("value", 1, type="bigint"))
-    rows = _timed(lines, F.col("value").startswith(RULER) & has_clock("value"), hit, n=n)
+    rows = _timed(lines, F.col("value").startswith(RULER) & has_clock("value"), n=n)
     return rows.where("n IS NOT NULL").groupBy(*SECOND).agg(_last("n").alias("cpu_throttle"))
 
 

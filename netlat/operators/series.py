@@ -107,19 +107,22 @@ def replace_columns(df: DataFrame, made: DataFrame, prefix: str, cols: Sequence[
     return made.select(*[F.col(prefix + c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def rolling_mean(df, cols, run, order, back: int, ahead: int = 0, span: float = 3600, rows: int = CHUNK_ROWS) -> DataFrame:
+def rolling_mean(
+    df, cols, run, order, back: int, ahead: int = 0, pos: str | None = None, span: float = 3600, rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Mean over the rows -back..ahead, over fewer at the ends of a series."""
     cols = names(cols)
 
     def mean(c):
         return lambda w: F.avg(c).over(w.rowsBetween(-back, ahead))
 
-    made = over_series(df, run, order, {f"_m_{c}": mean(c) for c in cols}, back, ahead, span=span, rows=rows)
+    made = over_series(df, run, order, {f"_m_{c}": mean(c) for c in cols}, back, ahead, pos, span, rows)
     return replace_columns(df, made, "_m_", cols)
 
 
 def counter_delta(
-    df, cols, run, order, suffix: str = "_per_sec", clip: bool = True, span: float = 3600, rows: int = CHUNK_ROWS
+    df, cols, run, order, suffix: str = "_per_sec", clip: bool = True, pos: str | None = None, span: float = 3600,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Difference to the row before, 0 in the first row; falls count as 0 unless
     `clip` is off."""
@@ -132,11 +135,12 @@ def counter_delta(
 
         return make
 
-    return over_series(df, run, order, {c + suffix: delta(c) for c in cols}, back=1, span=span, rows=rows)
+    return over_series(df, run, order, {c + suffix: delta(c) for c in cols}, back=1, pos=pos, span=span, rows=rows)
 
 
 def future_max(
-    df, col: str, run, order, horizon: int = 10, name: str = "y_target", span: float = 3600, rows: int = CHUNK_ROWS
+    df, col: str, run, order, horizon: int = 10, name: str = "y_target", pos: str | None = None, span: float = 3600,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Largest value of the next `horizon` rows, null unless all of them exist
     and hold a value."""
@@ -145,7 +149,7 @@ def future_max(
         frame = w.rowsBetween(1, horizon)
         return F.when(F.count(col).over(frame) == horizon, F.max(col).over(frame))
 
-    return over_series(df, run, order, {name: make}, ahead=horizon, span=span, rows=rows)
+    return over_series(df, run, order, {name: make}, ahead=horizon, pos=pos, span=span, rows=rows)
 
 
 def sequences(

@@ -436,8 +436,8 @@ SELECT run_id, event_id, c, coalesce(greatest(c - lag(c) OVER (PARTITION BY run_
 def counter_rate(spark, sf):
     rows = sr.with_position(events(spark, sf).withColumnRenamed("event_type", "run_id"), "run_id", "ts", span=SPAN)
     counter = F.col("pos") % 1000 * 3 + F.col("event_id") % 3
-    rows = rows.select("run_id", "event_id", "ts", counter.alias("c"))
-    return sr.counter_delta(rows, "c", "run_id", "ts", span=SPAN).drop("ts")
+    rows = rows.select("run_id", "event_id", "pos", counter.alias("c"))
+    return sr.counter_delta(rows, "c", "run_id", "pos", pos="pos").drop("pos")
 
 
 def _rates_sql():
