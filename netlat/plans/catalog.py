@@ -596,7 +596,7 @@ def _augmented(spark, sf, level):
         "run_id", "time", "n", "peak", (F.col("n") % 2).alias("Label"), F.date_format("time", CLOCKED).alias("clock")
     )
     out = au.augment_series(rows, ["n", "peak", "Label"], "clock", "run_id", "time", level=level, variations=2)
-    return bigs(out.select("run_id", "variation", "k", r6("n"), r6("peak"), "Label", F.col("clock").alias("time")))
+    return out.select("run_id", "variation", "k", r6("n"), r6("peak"), "Label", F.col("clock").alias("time"))
 
 
 _SCALED = ["l_quantity", "l_extendedprice", "l_discount", "constant"]
