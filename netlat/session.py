@@ -1,22 +1,16 @@
 """Session helpers."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder.
-
-    A local temporary folder is made only for a local master without that
-    setting, which is the case in tests.
-    """
+    """A fresh path under the cluster's shared checkpoint folder; where none is set,
+    under the warehouse folder, which all executors share as well."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="netlat-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
