@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlat.llm import bpe, exact, frames, token_cache
+from netlat.llm import bpe, exact, frames, licenses, rules, token_cache
 from netlat.session import scratch_path
 
 QUERIES = {}
@@ -35,6 +35,16 @@ def op2_token_frames(spark, sf):
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query(licenses.sql())
+def op4_license_join(spark, sf):
+    return licenses.labels(licenses.scan(table(spark, sf, "documents")))
+
+
+@query(rules.sql())
+def op5_rule_ledger(spark, sf):
+    return rules.apply_policy(rules.ledger(table(spark, sf, "documents")))
+
+
 @query()
 def op6_token_counts(spark, sf):
     counts = token_cache.count_tokens(table(spark, sf, "documents"), scratch_path(spark, "token-counts"), public_tokenizers.path(BYTES_50K))
