@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlat.llm import bpe, exact, frames, licenses, rules, token_cache
+from netlat.llm import bpe, exact, frames, licenses, packing, rules, token_cache, urls
 from netlat.session import scratch_path
 
 QUERIES = {}
@@ -35,6 +35,12 @@ def op2_token_frames(spark, sf):
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op3_pattern_packing(spark, sf):
+    _, placed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path(WORDS_49K), end_id=1, size=4096)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query(licenses.sql())
 def op4_license_join(spark, sf):
     return licenses.labels(licenses.scan(table(spark, sf, "documents")))
@@ -69,3 +75,8 @@ row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LA
 sha256(coalesce(text, '')) AS text_sha256 FROM documents""")
 def op9_content_sort(spark, sf):
     return exact.content_groups(table(spark, sf, "documents"), keep="largest")
+
+
+@query()
+def op10_url_trees(spark, sf):
+    return urls.judge(table(spark, sf, "pages"))
