@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlat.llm import bpe, exact, frames, licenses, packing, rules, token_cache, urls
+from netlat.llm import bpe, exact, frames, licenses, packing, quality_lm, rules, token_cache, urls
 from netlat.session import scratch_path
 
 QUERIES = {}
@@ -27,6 +27,11 @@ def table(spark, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query()
+def op1_kneser_ney(spark, sf):
+    return quality_lm.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query()
 def op2_token_frames(spark, sf):
     folder = scratch_path(spark, "token-frames")
