@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlat.llm import bpe, exact, frames, licenses, packing, quality_lm, rules, token_cache, urls
+from netlat.llm import bpe, exact, frames, licenses, near, packing, quality_lm, rules, token_cache, urls
 from netlat.session import scratch_path
 
 QUERIES = {}
@@ -62,6 +62,11 @@ def op6_token_counts(spark, sf):
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+@query()
+def op7_prob_minhash(spark, sf):
+    return near.classes(table(spark, sf, "documents")).drop("row_hash")
+
+
 @query()
 def op8_backtrack_bpe(spark, sf):
     path = public_tokenizers.path(BYTES_50K)
