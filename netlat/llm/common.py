@@ -3,7 +3,7 @@
 import sys
 import types
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def rows_that_stay(docs: DataFrame, stay: DataFrame, mark: Column, id_col: str = "doc_id", once: bool = False) -> DataFrame:
+    """The rows of docs that stay names by id and mark, with their columns as they were;
+    with once, one row of those that repeat. mark tells texts apart: identifiers may
+    be null or not unique."""
+    names = ["_netlat_key", "_netlat_mark"]
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    stay = stay.select(key("id").alias(names[0]), F.col("mark").alias(names[1]))
+    rows = docs.withColumns({names[0]: key(id_col), names[1]: mark}).join(stay, names, "left_semi")
+    # Both steps need the rows by the same keys, so they are shuffled once.
+    return (rows.dropDuplicates(names) if once else rows).drop(*names)
+
+
 def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker. Task functions are
     shipped by value, so their module's own globals are new in each task."""

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlat.llm.common import text_of
+from netlat.llm.common import rows_that_stay, text_of
 from netlat.session import settle
 
 #: Splitters hold so many first characters; the digest and the identifier follow.
@@ -122,8 +122,5 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text: Column | None
 def dedup(docs: DataFrame, id_col: str = "doc_id", keep: str = "smallest") -> DataFrame:
     """The rows that stay, with all their columns. Rows that share an identifier are
     told apart by their text; of such rows with the same text one stays."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key")
-    marked = content_groups(docs, id_col, keep=keep).where("kept").select(key, F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumns({"_key": key, "_sha": F.sha2(text_of().cast("binary"), 256)})
-    # Both steps need the rows by the same keys, so they are shuffled once.
-    return rows.join(marked, ["_key", "_sha"], "left_semi").dropDuplicates(["_key", "_sha"]).drop("_key", "_sha")
+    stay = content_groups(docs, id_col, keep=keep).where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("mark"))
+    return rows_that_stay(docs, stay, F.sha2(text_of().cast("binary"), 256), id_col, once=True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlat.llm.common import text_of
+from netlat.llm.common import rows_that_stay, text_of
 from netlat.llm.licenses import LOWER_WORDS
 from netlat.session import settle
 
@@ -288,7 +288,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", similar: float = SIMILAR) -
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """One document of each class, with its columns as they were."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_key")
-    stay = classes(docs, id_col, similar).where("kept").select(key, F.col("row_hash").alias("_hash"))
-    rows = docs.withColumns({"_key": key, "_hash": F.xxhash64(text_of())})
-    return rows.join(stay, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).drop("_key", "_hash")
+    stay = classes(docs, id_col, similar).where("kept").select(F.col(id_col).alias("id"), F.col("row_hash").alias("mark"))
+    return rows_that_stay(docs, stay, F.xxhash64(text_of()), id_col, once=True)

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlat.llm.common import file_system, qualified, text_of
+from netlat.llm.common import file_system, qualified, rows_that_stay, text_of
 from netlat.session import scratch_path, settle
 
 #: Characters in an n-gram.
@@ -80,19 +80,19 @@ def _some(texts: list, *more: list) -> Iterator[tuple]:
 
 
 def in_blocks(docs: DataFrame, id_col: str) -> DataFrame:
-    """id, lang, text, block and row: the row's place in its block. A table that is not
+    """id, row_hash, lang, text, block and row: the row's place in its block. A table that is not
     read from files, or whose columns hide where, is written first."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    wanted = [F.col(id_col).cast("long").alias("id"), lang.alias("lang"), text_of().alias("text")]
+    wanted = [F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of()).alias("row_hash"), lang.alias("lang"), text_of().alias("text")]
     place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     try:
         if "_metadata" in docs.columns:
             raise AnalysisException("a column of the table hides the metadata")
         rows = docs.select(*wanted, *place)
     except AnalysisException:
-        rows = settle(docs.select(*wanted), "documents").select("id", "lang", "text", *place)
+        rows = settle(docs.select(*wanted), "documents").select("id", "row_hash", "lang", "text", *place)
     block = F.concat(F.substring(F.sha2("_file", 256), 1, 16), F.lit("-"), F.floor(F.col("_row") / BLOCK).cast("string"))
-    return rows.select("id", "lang", "text", block.alias("block"), (F.col("_row") % BLOCK).cast("int").alias("row"))
+    return rows.select("id", "row_hash", "lang", "text", block.alias("block"), (F.col("_row") % BLOCK).cast("int").alias("row"))
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -207,7 +207,7 @@ def probabilities(grams: DataFrame, n: int) -> DataFrame:
 
 
 def score(rows: DataFrame, grams: DataFrame, probs: DataFrame, n: int) -> DataFrame:
-    """id, lang, n_grams, perplexity of each row; null where the language has no model."""
+    """id, row_hash, lang, n_grams, perplexity of each row; null where the language has no model."""
     spark = rows.sparkSession
     path = scratch_path(spark, "block-probabilities")
     found = grams.select("block", "lang", "gram").join(probs, ["lang", "gram"]).select("block", "lang", "gram", F.log("p").alias("log_p"))
@@ -217,7 +217,7 @@ def score(rows: DataFrame, grams: DataFrame, probs: DataFrame, n: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = file_system(base)
         at, index, values, have = None, None, None, set()
-        for block, texts, langs, ids in _by_block(batches, "id"):
+        for block, texts, langs, ids, marks in _by_block(batches, "id", "row_hash"):
             if block != at:
                 at, known = block, _side(fs, folder, block)
                 index, values, have = None, None, set()
@@ -230,7 +230,7 @@ def score(rows: DataFrame, grams: DataFrame, probs: DataFrame, n: int) -> DataFr
                     numbers = np.array([_lang_number(x) for x in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
                     index, values = pd.Index(_hash(numbers, lambda k: codes[:, k], n)), known.column("log_p").to_numpy()
             out = []
-            for some, some_langs, some_ids in _some(texts, langs, ids):
+            for some, some_langs, some_ids, some_marks in _some(texts, langs, ids, marks):
                 _, _, h, sizes = _grams(some, some_langs, n)
                 if index is None:
                     sums = np.zeros(len(sizes))
@@ -238,11 +238,11 @@ def score(rows: DataFrame, grams: DataFrame, probs: DataFrame, n: int) -> DataFr
                     # A language's n-grams are all there or, without a model, none is.
                     where = index.get_indexer(h)
                     sums = np.add.reduceat(np.where(where >= 0, values[where], 0.0), np.append(0, np.cumsum(sizes)[:-1]))
-                for i, lang, s, size in zip(some_ids, some_langs, sums.tolist(), sizes.tolist(), strict=True):
-                    out.append((i, lang, size, float(np.exp(-s / size)) if lang in have else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.float64()), strict=True)], names=["id", "lang", "n_grams", "perplexity"])
+                for i, mark, lang, s, size in zip(some_ids, some_marks, some_langs, sums.tolist(), sizes.tolist(), strict=True):
+                    out.append((i, mark, lang, size, float(np.exp(-s / size)) if lang in have else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64()), strict=True)], names=["id", "row_hash", "lang", "n_grams", "perplexity"])
 
-    return settle(rows.select("id", "lang", "text", "block").mapInArrow(run, "id long, lang string, n_grams long, perplexity double"), "perplexities")
+    return settle(rows.select("id", "row_hash", "lang", "text", "block").mapInArrow(run, "id long, row_hash long, lang string, n_grams long, perplexity double"), "perplexities")
 
 
 def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float, margin: float) -> DataFrame:
@@ -261,7 +261,8 @@ def thresholds(scored: DataFrame, trusted: DataFrame, quantile: float, margin: f
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", n: int = N, quantile: float = QUANTILE, margin: float = MARGIN
 ) -> DataFrame:
-    """One row a row: the identifier, lang, n_grams, perplexity, threshold, kept.
+    """One row a row: the identifier, row_hash (of the text), lang, n_grams, perplexity,
+    threshold, kept.
 
     labels: identifier, quality (1: trusted) and toxic (1: not trusted). A null
     language is one of its own, a null text is empty. Documents of a language without
@@ -275,4 +276,10 @@ def classify(
     limits = settle(thresholds(scored, trusted, quantile, margin), "thresholds")
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     judged = scored.join(limits, "lang", "left").withColumn("kept", kept)
-    return judged.select(F.col("id").alias(id_col), "lang", "n_grams", "perplexity", "threshold", "kept")
+    return judged.select(F.col("id").alias(id_col), "row_hash", "lang", "n_grams", "perplexity", "threshold", "kept")
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents that are not rejected, with their columns as they were."""
+    stay = classify(docs, labels, id_col).where("kept").select(F.col(id_col).alias("id"), F.col("row_hash").alias("mark"))
+    return rows_that_stay(docs, stay, F.xxhash64(text_of()), id_col)

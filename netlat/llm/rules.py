@@ -5,12 +5,14 @@ one integer whose bit k says that rule k failed. A policy is a mask with a versi
 applying one, or finding what each of its rules alone rejects, works on the bits.
 """
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from netlat.llm.common import text_of
 
@@ -82,25 +84,47 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
+#: The column in which measured() adds the ledger to a table.
+ENTRY = "_netlat_ledger"
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with the ledger's entry of each row, a struct, as one more column."""
+    kind = pa.struct([(m, pa.int64()) for m in MEASURES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([measure(t.as_py() or "") for t in batch.column("text")], np.int64).reshape(-1, len(MEASURES))
+            entry = pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(MEASURES))], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns, entry], names=[*batch.schema.names, ENTRY])
+
+    entry = StructType([StructField(m, LongType()) for m in MEASURES])
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(ENTRY, entry)]))
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a row: the identifier, the measurements and failed, the bits.
 
     Words are runs of other than ASCII white space. A null text has no words and
     fails what an empty one fails. Other columns are ignored.
     """
+    rows = measured(docs.select(F.col(id_col).cast("long").alias("id"), text_of().alias("text")))
+    entries = rows.select(F.col("id").alias(id_col), f"{ENTRY}.*")
+    failed = F.lit(0).cast("long")
+    for k, (_, fails) in enumerate(RULES):
+        failed = failed.bitwiseOR(F.when(F.expr(fails), F.lit(1 << k)).otherwise(0).cast("long"))
+    return entries.withColumn("failed", failed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.array([measure(t.as_py()) for t in batch.column("text")], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(rows[:, k]) for k in range(len(MEASURES)))], names=["id", *MEASURES])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of().alias("text"))
-    measured = rows.mapInArrow(run, "id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = [F.when(F.expr(fails), F.lit(1 << k)).otherwise(0).cast("long") for k, (_, fails) in enumerate(RULES)]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return measured.withColumn("failed", failed).withColumnRenamed("id", id_col)
+
+def keep(docs: DataFrame, version: int = CURRENT) -> DataFrame:
+    """The documents that pass a policy, with their columns as they were; rows are
+    judged where they are read, so nothing is shuffled."""
+    tests = dict(RULES)
+    fails = " OR ".join(f"({tests[n]})" for n in POLICIES[version])
+    for m in sorted(MEASURES, key=len, reverse=True):
+        fails = re.sub(rf"\b{m}\b", f"{ENTRY}.{m}", fails)
+    return measured(docs).where(~F.expr(fails)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def apply_policy(entries: DataFrame, version: int = CURRENT) -> DataFrame:
