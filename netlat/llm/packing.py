@@ -25,6 +25,9 @@ FEW = 6
 #: Lengths that stand for all when patterns of three and more are enumerated.
 GRID = 40
 
+#: Weight of what is left empty, against that of the counts.
+EMPTY = 4.0
+
 _PIECES = "chunk int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -65,7 +68,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def patterns(counts: np.ndarray, size: int, few: int = FEW, grid: int = GRID, most: int = 40_000) -> np.ndarray:
+def patterns(counts: np.ndarray, size: int, few: int = FEW, grid: int = GRID, most: int = 16_000) -> np.ndarray:
     """Rows of up to few lengths, longest first and padded with 0, that fill a
     sequence as well as the lengths there are allow."""
     there = np.flatnonzero(counts)
@@ -94,23 +97,28 @@ def patterns(counts: np.ndarray, size: int, few: int = FEW, grid: int = GRID, mo
         b = np.tile(pool, len(head))
         ok = (a.sum(1) + b <= size) & ((b <= a[:, -1]) | (k == 0))
         grown = np.concatenate([a[ok], b[ok][:, None]], 1)
-        heads.append(grown[:: max(1, len(grown) // 60_000)])
+        heads.append(grown[:: max(1, len(grown) // 30_000)])
     rows = np.unique(-np.sort(-np.concatenate(out), 1), axis=0)
     rows = rows[rows.sum(1) <= size]
-    waste = size - rows.sum(1)
-    return rows[np.argsort(waste, kind="stable")][:most]
+    # Of each longest length first the patterns that leave least empty, so that every
+    # length has some when their number is cut.
+    rows = rows[np.lexsort((size - rows.sum(1), rows[:, 0]))]
+    nth = np.arange(len(rows)) - np.searchsorted(rows[:, 0], rows[:, 0])
+    return rows[np.argsort(nth, kind="stable")][:most]
 
 
-def fit_counts(rows: np.ndarray, counts: np.ndarray, steps: int = 150) -> np.ndarray:
+def fit_counts(rows: np.ndarray, counts: np.ndarray, size: int, steps: int = 120) -> np.ndarray:
     """How often each pattern is used: non-negative least squares against the
-    histogram, by accelerated projected gradients. Each length is weighed by its
-    count, so rare lengths are fitted as well as frequent ones."""
+    histogram and against nothing left empty, by accelerated projected gradients. Each
+    length is weighed by its count, so rare lengths are fitted as well as frequent ones."""
     used = rows > 0
-    scale = np.zeros(len(counts))
-    scale[counts > 0] = 1 / np.sqrt(counts[counts > 0])
-    goal = np.sqrt(counts.astype(float))
-    apply = lambda x: np.bincount(rows.ravel(), (used * x[:, None]).ravel(), len(counts)) * scale
-    back = lambda r: ((r * scale)[rows] * used).sum(1)
+    scale = np.zeros(len(counts) + 1)
+    scale[:-1][counts > 0] = 1 / np.sqrt(counts[counts > 0])
+    empty = (size - rows.sum(1)) / size
+    scale[-1] = EMPTY / np.sqrt(counts.sum())
+    goal = np.append(np.sqrt(counts.astype(float)), 0)
+    apply = lambda x: np.append(np.bincount(rows.ravel(), (used * x[:, None]).ravel(), len(counts)), empty @ x) * scale
+    back = lambda r: ((r * scale)[:-1][rows] * used).sum(1) + r[-1] * scale[-1] * empty
     v = np.ones(len(rows))
     for _ in range(20):  # the largest eigenvalue bounds the step
         v = back(apply(v))
@@ -170,16 +178,17 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
         out.append(((size,), int(left[size])))
         left[size] = 0
     rows = patterns(left, size)
-    # Patterns that leave more than a hundredth empty are left to the best fit.
-    rows = rows[rows.sum(1) >= size - size // 100]
     if len(rows):
-        fitted = fit_counts(rows, left)
+        fitted = fit_counts(rows, left, size)
         # A least-squares fit needs no more patterns than there are lengths: halve to
         # the most used and fit again, so counts are not spread too thin to round.
         while len(rows) > np.count_nonzero(left):
             rows = rows[np.sort(np.argsort(-fitted, kind="stable")[: max(len(rows) // 2, np.count_nonzero(left))])]
-            fitted = fit_counts(rows, left)
+            fitted = fit_counts(rows, left, size)
         fitted = np.rint(fitted).astype(np.int64)
+        # What patterns that leave more than a hundredth empty would hold is left to
+        # the best fit.
+        fitted[rows.sum(1) < size - size // 100] = 0
         for k in np.argsort(-fitted, kind="stable"):
             if not fitted[k]:
                 break
