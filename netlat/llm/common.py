@@ -2,7 +2,11 @@
 
 import sys
 import types
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,15 @@ def rows_that_stay(docs: DataFrame, stay: DataFrame, mark: Column, id_col: str =
     return (rows.dropDuplicates(names) if once else rows).drop(*names)
 
 
+def parts(batch: pa.RecordBatch, columns: list[str], size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices with about so many bytes in their text columns, or one row."""
+    held = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64) + 1 for c in columns)
+    which = np.cumsum(held) // size if batch.num_rows else held
+    starts = np.flatnonzero(np.append(True, which[1:] != which[:-1])) if batch.num_rows else []
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker. Task functions are
     shipped by value, so their module's own globals are new in each task."""
