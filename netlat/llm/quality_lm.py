@@ -22,14 +22,14 @@ from netlat.llm.common import file_system, qualified, rows_that_stay, text_of
 from netlat.session import scratch_path, settle
 
 #: Characters in an n-gram.
-N = 5
+N = 4
 #: Rows of a file that make up a block.
 BLOCK = 8192
 #: One trusted document in so many is left out of the counts, to set thresholds by.
 HELD = 5
 #: A document is rejected when its perplexity is above this quantile of the trusted
 #: documents of its language, times a margin for texts unlike them.
-QUANTILE, MARGIN = 0.99, 1.25
+QUANTILE, MARGIN = 0.95, 1.4
 #: Perplexities are counted in steps of a thousandth of their logarithm.
 STEPS = 1000
 
@@ -118,13 +118,15 @@ def block_grams(rows: DataFrame, trusted: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(base)
+        at, good, found = None, None, None
         for block, texts, langs, places in _by_block(batches, "row"):
-            known = _side(fs, path, block)
-            good = np.zeros(BLOCK, bool)
-            if known is not None:
-                for r in known.column("rows").to_pylist():
+            if block != at:
+                if at is not None:
+                    yield _different(at, found, n)
+                known = _side(fs, path, block)
+                at, found, good = block, ([], [], [], []), np.zeros(BLOCK, bool)
+                for r in known.column("rows").to_pylist() if known is not None else ():
                     good[r] = True
-            found = [], [], [], []
             for some, some_langs, some_rows in _some(texts, langs, places):
                 windows, starts, h, sizes = _grams(some, some_langs, n)
                 codes, different = pd.factorize(h)
@@ -134,25 +136,31 @@ def block_grams(rows: DataFrame, trusted: DataFrame, n: int) -> DataFrame:
                 owner = np.searchsorted(np.cumsum(sizes), first, "right")
                 for into, value in zip(found, (different, counted, windows[starts[first]].astype("<u4"), np.array(some_langs, object)[owner]), strict=True):
                     into.append(value)
-            h, counted, grams, owners = (np.concatenate(f) for f in found)
-            codes, different = pd.factorize(h)
-            first = np.empty(len(different), np.int64)
-            first[codes[::-1]] = np.arange(len(h))[::-1]
-            total = np.bincount(codes, counted, len(different)).astype(np.int64)
-            flat = grams[first].tobytes().decode("utf-32-le")
-            strings = [flat[k : k + n] for k in range(0, len(flat), n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(first), pa.string()), pa.array(owners[first].tolist(), pa.string()), pa.array(strings, pa.string()), pa.array(total)],
-                names=["block", "lang", "gram", "count"],
-            )
+        if at is not None:
+            yield _different(at, found, n)
 
     grams = rows.select("lang", "text", "block", "row").mapInArrow(run, "block string, lang string, gram string, count long")
     return settle(grams, "block-grams")
 
 
+def _different(block: str, found: tuple[list, ...], n: int) -> pa.RecordBatch:
+    """The n-grams of a block's parts (hashes, counts, characters, languages), each once."""
+    h, counted, grams, langs = (np.concatenate(f) for f in found)
+    codes, different = pd.factorize(h)
+    first = np.empty(len(different), np.int64)
+    first[codes[::-1]] = np.arange(len(h))[::-1]
+    total = np.bincount(codes, counted, len(different)).astype(np.int64)
+    flat = grams[first].tobytes().decode("utf-32-le")
+    strings = [flat[k : k + n] for k in range(0, len(flat), n)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block] * len(first), pa.string()), pa.array(langs[first].tolist(), pa.string()), pa.array(strings, pa.string()), pa.array(total)],
+        names=["block", "lang", "gram", "count"],
+    )
+
+
 def _by_block(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
     """block, its texts, languages and further columns, as rows come. A block may come
-    in parts where a batch or a split of the file ends."""
+    in parts, where a batch or a split of the file ends."""
     for batch in batches:
         blocks = batch.column("block").to_pylist()
         columns = [batch.column(c).to_pylist() for c in ("text", "lang", *more)]
@@ -228,7 +236,9 @@ def score(rows: DataFrame, grams: DataFrame, probs: DataFrame, n: int) -> DataFr
                     coded = names.dictionary_encode() if not isinstance(names, pa.DictionaryArray) else names
                     have = set(coded.dictionary.to_pylist())
                     numbers = np.array([_lang_number(x) for x in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
-                    index, values = pd.Index(_hash(numbers, lambda k: codes[:, k], n)), known.column("log_p").to_numpy()
+                    # Two splits of a file may each have a part of the block.
+                    h, first = np.unique(_hash(numbers, lambda k: codes[:, k], n), return_index=True)
+                    index, values = pd.Index(h), known.column("log_p").to_numpy()[first]
             out = []
             for some, some_langs, some_ids, some_marks in _some(texts, langs, ids, marks):
                 _, _, h, sizes = _grams(some, some_langs, n)

@@ -104,12 +104,13 @@ def test_perplexity_is_that_of_the_formulas(spark, sf):
     got = {r["doc_id"]: r for r in quality_lm.classify(docs, labels).collect()}
     trusted = {r["id"] for r in quality_lm.trusted_ids(labels).collect()}
     held = {r["id"] for r in quality_lm.trusted_ids(labels).where(quality_lm.held_out()).collect()}
-    grams = lambda t: [("\x02" * 4 + t + "\x03")[k : k + 5] for k in range(len(t) + 1)]
+    n = quality_lm.N
+    grams = lambda t: [("\x02" * (n - 1) + t + "\x03")[k : k + n] for k in range(len(t) + 1)]
     rows = docs.collect()
     assert len(got) == len(rows)
     for lang in ("en", "fr"):
         counts = Counter(g for r in rows if r["lang"] == lang and r["doc_id"] in trusted - held for g in grams(r["text"]))
-        p = brute_kneser_ney(counts, 5)
+        p = brute_kneser_ney(counts, n)
         own = [r for r in rows if r["lang"] == lang]
         for r in own[:40]:
             want = math.exp(-sum(math.log(p(g)) for g in grams(r["text"])) / (len(r["text"]) + 1))
