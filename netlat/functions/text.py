@@ -1,6 +1,6 @@
 """Column expressions that take values out of log lines."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Patterns of the raw log formats.
@@ -35,23 +35,63 @@ def clock(c) -> Column:
 def stamped(df: DataFrame, text: Column, name: str = "time") -> DataFrame:
     """Add the timestamp of a line: its own date if it has one, else the run's.
 
-    The run id carries the start of the run. A bare clock means the time nearest
-    to that start, so that a run may cross midnight. The steps are columns of
-    their own, since Spark would copy them into every place that uses them.
+    The run id carries the start of the run. A bare clock is on the day of the start,
+    or on the next if it is earlier than an hour before the start. Where df has the
+    place of a line (file, block, line_no), a day is added each time the bare clocks
+    of a file fall by more than an hour, so a run may be of any length. The steps are
+    columns of their own, since Spark would copy them into every place that uses them.
     """
     start = F.try_to_timestamp(F.nullif(F.regexp_extract("run_id", RUN_STAMP, 1), F.lit("")), F.lit("yyyyMMdd_HHmmss"))
     parts = df.withColumns(
         {
             "_day": F.regexp_extract(text, DAY, 1),
             "_clock": F.regexp_extract(text, CLOCK, 1),
-            "_start": F.coalesce(start, F.lit("1970-01-01 12:00:00").cast("timestamp")),
+            "_start": F.coalesce(start, F.lit("1970-01-01 00:00:00").cast("timestamp")),
         }
     )
     day = F.when(F.col("_day") == "", F.date_format("_start", "yyyy-MM-dd")).otherwise(F.col("_day"))
     here = parts.withColumn("_here", F.try_to_timestamp(F.concat(day, F.lit(" "), F.col("_clock"))))
-    days = F.rint((F.unix_seconds("_start") - F.unix_seconds("_here")) / 86400).cast("int")
-    near = F.col("_here") + F.make_dt_interval(F.when(F.col("_day") == "", days).otherwise(F.lit(0)))
-    return here.withColumn(name, near).drop("_day", "_clock", "_start", "_here")
+    here = here.withColumn("_bare", F.when(F.col("_day") == "", F.unix_seconds("_here")))
+    if {"file", "block", "line_no"} <= set(df.columns):
+        here = _days(here)
+    else:
+        here = here.withColumn("_days", _before_start("_bare"))
+    moved = F.col("_here") + F.make_dt_interval(F.coalesce("_days", F.lit(0)).cast("int"))
+    return here.withColumn(name, moved).drop("_day", "_clock", "_start", "_here", "_bare", "_days")
+
+
+#: Seconds by which a clock may fall without a new day.
+BACK = 3600
+
+
+def _before_start(c: str) -> Column:
+    return F.when(F.col(c) < F.unix_seconds("_start") - BACK, 1).otherwise(0)
+
+
+def _days(df: DataFrame) -> DataFrame:
+    """Days to add to the bare clocks, by their falls in the file so far: those in the
+    split of the file, and those before it, from a table with one row per split."""
+    split = ["run_id", "file", "block"]
+    inside = Window.partitionBy(*split).orderBy("line_no")
+    last = F.last("_bare", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    falls = df.withColumn("_fell", (F.col("_bare") < last - BACK).cast("int"))
+    falls = falls.withColumn("_falls", F.sum("_fell").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    bare = falls.where("_bare IS NOT NULL").groupBy(*split)
+    ends = bare.agg(
+        F.min_by("_bare", "line_no").alias("_first"),
+        F.max_by("_bare", "line_no").alias("_last"),
+        F.sum("_fell").alias("_n"),
+        F.first("_start").alias("_start"),
+    )
+    order = Window.partitionBy("run_id", "file").orderBy("block")
+    across = F.col("_first") < F.lag("_last").over(order) - BACK
+    ends = ends.withColumn("_cross", F.coalesce(across.cast("int"), _before_start("_first")))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = F.sum(F.col("_cross") + F.coalesce("_n", F.lit(0))).over(upto) - F.coalesce("_n", F.lit(0))
+    before = ends.select(*split, earlier.alias("_earlier"))
+    joined = falls.join(before, split, "left")
+    days = F.when(F.col("_bare").isNotNull(), F.coalesce("_falls", F.lit(0)) + F.col("_earlier"))
+    return joined.withColumn("_days", days).drop("_fell", "_falls", "_earlier")
 
 
 def has_clock(c) -> Column:

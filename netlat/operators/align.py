@@ -105,13 +105,24 @@ def align_forecast(
     by="host",
     prediction: str = "prediction",
     actual: str = "actual",
+    unit: str | None = None,
 ) -> DataFrame:
-    """Each prediction at the time it is for, next to the value measured then."""
+    """Each prediction at the time it is for, next to the value measured then.
+
+    With `unit` ("second") both times are cut to it and the last value of each is
+    used, since clocks that drift never meet to the microsecond.
+    """
     by = names(by)
-    due = predictions.select(
-        *by, F.col("time").alias("made_at"), (F.col("time") + F.expr(f"INTERVAL {horizon}")).alias("time"), prediction
+    due = F.col("time") + F.expr(f"INTERVAL {horizon}")
+    if unit is None:
+        made = predictions.select(*by, F.col("time").alias("made_at"), due.alias("time"), prediction)
+        return made.join(actuals.select(*by, "time", actual), [*by, "time"])
+    last = lambda df, at, value: (
+        df.groupBy(*by, F.date_trunc(unit, at).alias("time")).agg(F.max_by(F.struct("time", value), "time").alias("_last"))
     )
-    return due.join(actuals.select(*by, "time", actual), [*by, "time"])
+    made = last(predictions, due, prediction).select(*by, F.col("_last.time").alias("made_at"), "time", f"_last.{prediction}")
+    seen = last(actuals, F.col("time"), actual).select(*by, "time", f"_last.{actual}")
+    return made.join(seen, [*by, "time"])
 
 
 def last_per_key(df: DataFrame, keys, order) -> DataFrame:
@@ -124,7 +135,11 @@ def last_per_key(df: DataFrame, keys, order) -> DataFrame:
 
 def merge_counters(events: DataFrame, host="host", name: str = "name", seq: str = "seq", value: str = "value",
                    counters: list[str] | None = None) -> DataFrame:
-    """Latest value of each named counter, one row per host."""
+    """Latest value of each named counter, one row per host. A counter that is not in
+    a given list is an error."""
     host = names(host)
+    if counters is not None:
+        unknown = F.raise_error(F.concat(F.lit("unknown counter: "), F.coalesce(name, F.lit("null")))).cast("string")
+        events = events.withColumn(name, F.when(F.col(name).isin(counters), F.col(name)).otherwise(unknown))
     latest = events.groupBy(*host, name).agg(F.max_by(value, seq).alias("_v"))
     return latest.groupBy(*host).pivot(name, counters).agg(F.first("_v")).fillna(0)

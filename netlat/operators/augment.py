@@ -93,7 +93,7 @@ def _value(j: int) -> Column:
     return x + (F.get("_next", F.lit(j)) - x) * F.col("_f")
 
 
-def _deviations(smooth: DataFrame, run, num, noisy, factor: int) -> DataFrame:
+def _deviations(smooth: DataFrame, run, num, noisy, factor: int, salts: int = 16) -> DataFrame:
     """Population deviation of each noisy column over the grid points, one row
     per series, from sums over each old row's points instead of the points."""
     r = _ranges(smooth, factor)
@@ -103,11 +103,16 @@ def _deviations(smooth: DataFrame, run, num, noisy, factor: int) -> DataFrame:
     f0 = F.when(n > 1, _place(F.col("_from"), factor) - F.col("_i")).otherwise(F.lit(0.0))
     t1, t2 = m * (m - 1) / 2, (m - 1) * m * (2 * m - 1) / 6
     r = r.withColumns({"_m": m, "_s1": m * f0 + d * t1, "_s2": m * f0 * f0 + 2 * f0 * d * t1 + d * d * t2})
+    # Sums of squares lose a small spread of large values, so values are taken from
+    # the series' mean: one row per series, joined back by series and salt.
+    means = smooth.groupBy(*run).agg(F.array(*[F.avg(F.get("_here", F.lit(j))) for j in range(len(num))]).alias("_mean"))
+    salted = means.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    r = r.withColumn("_salt", F.pmod("_i", F.lit(salts)).cast("int")).join(salted, [*run, "_salt"])
     sums = []
     for j, c in enumerate(num):
         if c in noisy:
-            x = F.get("_here", F.lit(j))
-            y = F.get("_next", F.lit(j)) - x
+            x = F.get("_here", F.lit(j)) - F.get("_mean", F.lit(j))
+            y = F.get("_next", F.lit(j)) - F.get("_here", F.lit(j))
             sums += [
                 F.sum(x * F.col("_m") + y * F.col("_s1")).alias(f"_a_{c}"),
                 F.sum(x * x * F.col("_m") + 2 * x * y * F.col("_s1") + y * y * F.col("_s2")).alias(f"_b_{c}"),

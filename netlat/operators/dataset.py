@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netlat.session import settle
 from netlat.operators.series import names, with_position
 
 
@@ -97,7 +98,6 @@ def position_split(
     folds: int = 3,
     gap: int = 0,
     span: float = 3600,
-    prefix: int = 25,
     in_run: str | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
@@ -107,9 +107,8 @@ def position_split(
     `gap` rows before the test rows are labelled `gap`, so that windows of the
     two sides need not overlap. Adds `pos`, `split` and `fold`.
 
-    Positions over all series come from counts: per series, and per group of
-    series that share the first `prefix` characters of their name (the date, for
-    run directories). Only the table of groups meets in one task. `in_run` names
+    Positions over all series come from counts per series, in ranges of their names.
+    Only the table of ranges, one row for each, meets in one task. `in_run` names
     an existing position in the series, counted from 0. `counted` is a cheaper
     table with as many rows per series, if there is one.
     """
@@ -118,20 +117,17 @@ def position_split(
         placed = df.withColumn("_in_run", F.col(in_run))
     else:
         placed = with_position(df, run, order, name="_in_run", span=span)
-    runs = (df if counted is None else counted).groupBy(run).agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.substring(run, 1, prefix))
-    groups = runs.groupBy("_group").agg(F.sum("_n").alias("_gn")).withColumn("_all", F.lit(0))
-    over_groups = Window.partitionBy("_all").orderBy("_group")
-    groups = groups.select(
-        "_group",
-        (F.sum("_gn").over(over_groups) - F.col("_gn")).alias("_before"),
-        F.sum("_gn").over(Window.partitionBy("_all")).alias("_total"),
-    )
-    in_group = F.sum("_n").over(Window.partitionBy("_group").orderBy(run)) - F.col("_n")
-    starts = runs.withColumn("_in_group", in_group).join(groups, "_group")
-    starts = starts.select(run, (F.col("_before") + F.col("_in_group")).alias("_start"), "_total")
-    salts = 16
-    salted = starts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    at = placed.withColumn("_salt", F.pmod("_in_run", F.lit(salts)).cast("int")).join(salted, [run, "_salt"])
+    counts = (df if counted is None else counted).groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per series, in ranges of names; written, so that the ranges stay as they are.
+    runs = settle(counts.repartitionByRange(run).withColumn("_range", F.spark_partition_id()), "series")
+    ranges = runs.groupBy("_range").agg(F.sum("_n").alias("_rn")).withColumn("_all", F.lit(0))
+    over = Window.partitionBy("_all")
+    before = (F.sum("_rn").over(over.orderBy("_range")) - F.col("_rn")).alias("_before")
+    ranges = ranges.select("_range", before, F.sum("_rn").over(over).alias("_total"))
+    in_range = F.sum("_n").over(Window.partitionBy("_range").orderBy(run)) - F.col("_n")
+    starts = runs.withColumn("_in_range", in_range).join(ranges, "_range")
+    starts = starts.select(run, (F.col("_before") + F.col("_in_range")).alias("_start"), "_total")
+    at = placed.join(starts, run)
     at = at.withColumn("pos", F.col("_start") + F.col("_in_run"))
     at = at.withColumn("_cut", F.floor(F.col("_total") * F.lit(train)) - gap)
     split = (

@@ -98,17 +98,19 @@ def mean_per_second(lines: DataFrame, name: str = "RTT_ms_mean", header_lines: i
     ms = token("value", -1)
     rows = skip_head(lines, header_lines) if header_lines else lines
     rows = rows.where((F.size(words("value")) > 5) & has_clock("value") & ms.isNotNull())
-    rows = stamped(rows.select("run_id", "value", ms.alias("_ms")), F.col("value"))
+    place = [c for c in ("file", *PLACE) if c in rows.columns]
+    rows = stamped(rows.select("run_id", *place, "value", ms.alias("_ms")), F.col("value"))
     return rows.groupBy(*SECOND).agg(F.avg("_ms").alias(name))
 
 
 def _numbers(lines: DataFrame, at: int, need: int, name: str) -> DataFrame:
     """Number `at` of the values after the fourth column; a line with fewer than
     `need` values or a bad one is skipped. The last line of a second counts."""
-    values = F.transform(F.slice(words("value"), 5, 1000), lambda x: x.try_cast("bigint"))
+    cells = words("value")
+    values = F.transform(F.slice(cells, F.lit(5), F.greatest(F.size(cells) - 4, F.lit(0))), lambda x: x.try_cast("bigint"))
     # The clock stands in the second column.
     when = F.concat_ws(" ", token("value", 0, type="string"), token("value", 1, type="string"))
-    rows = lines.select("run_id", *PLACE, when.alias("_when"), values.alias("v"))
+    rows = lines.select("run_id", "file", *PLACE, when.alias("_when"), values.alias("v"))
     rows = rows.where((F.size("v") > need) & F.forall("v", lambda x: x.isNotNull()))
     rows = stamped(rows, F.col("_when")).where("time IS NOT NULL")
     return rows.groupBy(*SECOND).agg(F.max_by(F.element_at("v", at + 1), F.struct(*PLACE)).alias(name))
@@ -243,7 +245,7 @@ def phase_starts(lines: DataFrame) -> DataFrame:
     """
     first = found("value", r"^([^,]*),")
     label = F.upper(found("value", r"^[^,]*,(.*)$")).contains("ATTACK").cast("int")
-    rows = lines.where(has_clock(first)).select("run_id", *PLACE, first.alias("_first"), label.alias("_label"))
+    rows = lines.where(has_clock(first)).select("run_id", "file", *PLACE, first.alias("_first"), label.alias("_label"))
     rows = stamped(rows, F.col("_first"), "start")
     return rows.groupBy("run_id", "start").agg(F.max_by(F.coalesce("_label", F.lit(0)), F.struct(*PLACE)).alias("label"))
 

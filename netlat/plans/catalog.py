@@ -377,31 +377,51 @@ def align_outer(spark, sf):
     return al.align(series, ["run_id", "time"]).withColumn("time", F.unix_seconds("time"))
 
 
-@query(f"""WITH h AS ({HOURLY}), p AS (SELECT * FROM h WHERE run_id = 'view'), r AS (SELECT * FROM h WHERE run_id = 'error')
-SELECT CAST(epoch(p.time) AS BIGINT) AS time, p.n AS total_packets_per_sec,
+HALVES = """h AS (SELECT event_type AS run_id, date_trunc('hour', ts) AS time, event_id % 2 AS odd, count(*) AS n, max(value) AS peak
+    FROM events GROUP BY ALL)"""
+
+
+def halves(spark, sf):
+    """Per type and hour, the events of even and of odd number as two series."""
+    rows = events(spark, sf).groupBy(F.col("event_type").alias("run_id"), F.col("hour").alias("time"), (F.col("event_id") % 2).alias("odd"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"))
+
+
+@query(f"""WITH {HALVES}, p AS (SELECT * FROM h WHERE odd = 0), r AS (SELECT * FROM h WHERE odd = 1)
+SELECT p.run_id, CAST(epoch(p.time) AS BIGINT) AS time, p.n AS total_packets_per_sec,
   round(coalesce(r.n, 0) / p.n * 100, 6) AS packet_loss_rate_pct, coalesce(r.n, 0) AS retrans_segs_per_sec
-FROM p LEFT JOIN r ON p.time = r.time""")
+FROM p LEFT JOIN r ON p.time = r.time AND p.run_id = r.run_id""")
 def loss_left_join(spark, sf):
-    h = hourly(spark, sf)
-    packets = h.where("run_id = 'view'").select("time", F.col("n").alias("total_packets_per_sec"))
-    retrans = h.where("run_id = 'error'").select("time", F.col("n").alias("retrans_count"))
-    out = mt.loss_rate(packets, retrans, ["time"])
+    h = halves(spark, sf)
+    packets = h.where("odd = 0").select("run_id", "time", F.col("n").alias("total_packets_per_sec"))
+    retrans = h.where("odd = 1").select("run_id", "time", F.col("n").alias("retrans_count"))
+    out = mt.loss_rate(packets, retrans)
     return out.withColumns({"time": F.unix_seconds("time"), "packet_loss_rate_pct": F.round("packet_loss_rate_pct", 6)})
 
 
-@query(f"""WITH h AS ({HOURLY}), b AS (SELECT strftime(time, '%Y-%m-%d') AS run_id, time, n,
-    row_number() OVER (PARTITION BY strftime(time, '%Y-%m-%d') ORDER BY time) AS i FROM h WHERE run_id = 'click'),
-  s AS (SELECT strftime(time, '%Y-%m-%d') AS run_id, peak,
-    row_number() OVER (PARTITION BY strftime(time, '%Y-%m-%d') ORDER BY time) AS i FROM h WHERE run_id = 'purchase')
+@query(f"""WITH {HALVES}, b AS (SELECT run_id, time, n, row_number() OVER (PARTITION BY run_id ORDER BY time) AS i FROM h WHERE odd = 0),
+  s AS (SELECT run_id, peak, row_number() OVER (PARTITION BY run_id ORDER BY time) AS i FROM h WHERE odd = 1)
 SELECT b.run_id, CAST(epoch(b.time) AS BIGINT) AS time, b.n, coalesce(s.peak, 0) AS sample
 FROM b LEFT JOIN s ON b.run_id = s.run_id AND b.i = s.i""")
 def zip_positional(spark, sf):
-    h, day = hourly(spark, sf), F.date_format("time", "yyyy-MM-dd").alias("run_id")
-    base = h.where("run_id = 'click'").select(day, "time", "n")
-    samples = h.where("run_id = 'purchase'").select(day, F.col("time").alias("at"), F.col("peak").alias("sample"))
+    h = halves(spark, sf)
+    base = h.where("odd = 0").select("run_id", "time", "n")
+    samples = h.where("odd = 1").select("run_id", F.col("time").alias("at"), F.col("peak").alias("sample"))
     return al.zip_positional(base, samples, series_order="at").withColumn("time", F.unix_seconds("time"))
 
 
+@query("""WITH p AS (SELECT event_type, date_trunc('hour', ts + INTERVAL 1 HOUR) AS due, max(ts) AS made, arg_max(value, ts) AS prediction
+    FROM events GROUP BY ALL),
+  s AS (SELECT event_type, date_trunc('hour', ts) AS due, arg_max(value, ts) AS actual FROM events GROUP BY ALL)
+SELECT p.event_type, epoch_us(p.made) AS made_at, CAST(epoch(p.due) AS BIGINT) AS time, prediction, actual
+FROM p JOIN s ON p.event_type = s.event_type AND p.due = s.due""")
+def forecast_align_seconds(spark, sf):
+    # An hour stands for a second.
+    rows = events(spark, sf).select("event_type", F.col("ts").alias("time"), F.col("value").alias("prediction"), F.col("value").alias("actual"))
+    out = al.align_forecast(rows.drop("actual"), rows.drop("prediction"), "1 hour", "event_type", unit="hour")
+    return out.withColumns({"made_at": F.unix_micros("made_at"), "time": F.unix_seconds("time")})
+
+
 @query("""WITH p AS (SELECT event_type, date_trunc('hour', min(ts)) AS start, max(CAST(day(ts) % 3 = 0 AS INT)) AS label
     FROM events GROUP BY event_type, date_trunc('day', ts)),
   q AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY event_type ORDER BY start),

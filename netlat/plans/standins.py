@@ -39,7 +39,9 @@ def hourly(spark, sf_dir) -> DataFrame:
 
 def hourly_by_type(spark, sf_dir) -> DataFrame:
     """One row per hour with a count per event type; ten days make a run."""
-    per_type = [F.count_if(F.col("event_type") == t).alias(t) for t in EVENT_TYPES]
+    other = F.raise_error(F.concat(F.lit("unknown event type: "), F.coalesce("event_type", F.lit("null")))).cast("string")
+    kind = F.when(F.col("event_type").isin(EVENT_TYPES), F.col("event_type")).otherwise(other)
+    per_type = [F.count_if(kind == t).alias(t) for t in EVENT_TYPES]
     run = F.concat(F.lit("block"), F.floor(F.dayofyear("time") / 10).cast("string")).alias("run_id")
     hours = events(spark, sf_dir).groupBy(F.col("hour").alias("time")).agg(*per_type)
     return hours.select(run, "time", *EVENT_TYPES)

@@ -76,8 +76,8 @@ def read_optional_lines(spark: SparkSession, path: str, clean: bool = True) -> D
 def read_zeek(spark: SparkSession, path: str, fields: Sequence[str], schema: T.StructType) -> DataFrame:
     """Named fields of tab-separated connection logs, one `day` per directory.
 
-    Field places come from the `#fields` lines; files without one follow the
-    declared schema. `-` and unreadable values are null.
+    Each file follows its own `#fields` line, or without one the declared schema,
+    whatever the other files are like. `-` and unreadable values are null.
     """
     parts = F.split("_metadata.file_path", "/")
     raw = require(spark, path).select(
@@ -85,31 +85,16 @@ def read_zeek(spark: SparkSession, path: str, fields: Sequence[str], schema: T.S
         F.col("_metadata.file_path").alias("_file"),
         F.col("value"),
     )
-    declared = schema.fieldNames()
-    heads = raw.where(F.col("value").startswith("#fields")).select(
-        "_file", F.expr("slice(split(value, '\t'), 2, 1000)").alias("_fields")
-    )
-    # Layouts are few (they change with the tool's version), files are many.
-    layouts = [r[0] for r in heads.select("_fields").distinct().limit(2).collect()]
+    heads = raw.where(F.col("value").startswith("#fields")).groupBy("_file").agg(F.first("value").alias("_head"))
     rows = raw.where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    if len(layouts) > 1:
-        per_file = heads.groupBy("_file").agg(F.first("_fields").alias("_fields"))
-        rows = rows.join(per_file, "_file", "left").withColumn(
-            "_fields", F.coalesce("_fields", F.array(*[F.lit(n) for n in declared]))
-        )
-    else:
-        layout = layouts[0] if layouts else declared
-
-    cells = F.split("value", "\t")
+    # The first word of a header is no field, so its places are those of the cells.
+    own = F.expr("slice(split(_head, '\t'), 2, size(split(_head, '\t')))")
+    layout = F.coalesce(own, F.array(*[F.lit(n) for n in schema.fieldNames()]))
+    rows = rows.join(heads, "_file", "left").withColumns({"_fields": layout, "_cells": F.split("value", "\t")})
 
     def cell(name):
-        if len(layouts) > 1:
-            place = F.array_position("_fields", name)
-            text = F.when(place > 0, F.try_element_at(cells, F.nullif(place, F.lit(0)).cast("int")))
-        elif name in layout:
-            text = F.try_element_at(cells, F.lit(layout.index(name) + 1))
-        else:
-            text = F.lit(None).cast("string")
+        place = F.nullif(F.array_position("_fields", name), F.lit(0)).cast("int")
+        text = F.try_element_at("_cells", place)
         return F.nullif(text, F.lit("-")).try_cast(schema[name].dataType).alias(name.replace(".", "_"))
 
     return rows.select("day", *[cell(n) for n in fields])

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from netlat.functions.text import has_clock, stamped
 from netlat.schemas import FEATURES, LABEL
@@ -11,39 +10,50 @@ from netlat.schemas import FEATURES, LABEL
 MEM_COLUMNS = ["total_MB", "used_MB", "free_MB", "shared_MB", "buff_cache_MB", "available_MB"]
 
 
+def _read_named(spark: SparkSession, path: str, columns: dict[str, str], other: dict[str, str]) -> DataFrame:
+    """CSV files read by the names in their headers, whatever the order; each file by
+    its own. `columns` maps names to types, `other` further spellings to names. Adds
+    `_file`, `block` and `line_no`. A column that a file lacks is an error when the
+    file is read."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_no"),
+        F.col("value"),
+    )
+    first = F.min_by(F.struct("line_no", "value"), F.struct("block", "line_no"))
+    heads = lines.where("block = 0").groupBy("_file").agg(first.alias("_head"))
+    cells = lambda c: F.transform(F.split(c, ","), lambda x: F.btrim(x, F.lit(' "\r')))
+    rows = lines.join(heads, "_file").where((F.col("block") > 0) | (F.col("line_no") > F.col("_head.line_no")))
+    rows = rows.where("trim(value) != ''").withColumns({"_names": cells(F.col("_head.value")), "_cells": cells(F.col("value"))})
+
+    def named(name, kind):
+        spellings = [name, *[s for s, n in other.items() if n == name]]
+        place = F.coalesce(*[F.nullif(F.array_position("_names", s), F.lit(0)) for s in spellings])
+        absent = F.raise_error(F.concat(F.lit(f"no column {name} in "), F.col("_file"))).cast("int")
+        return F.try_element_at("_cells", F.coalesce(place.cast("int"), absent)).try_cast(kind).alias(name)
+
+    return rows.select("_file", "block", "line_no", *[named(n, k) for n, k in columns.items()])
+
+
 def read_feature_csv(spark: SparkSession, path: str) -> DataFrame:
     """Feature tables as CSV files; the file name becomes `run_id`.
 
     `time` stays text; (`block`, `line_no`) is the order of the rows in their
-    file. Both spellings of the queue columns are read: the header
-    says Recv-Q_Bytes_max, the table Recv_Q_Bytes_max. Columns are read by place,
-    so the files must hold all of them in the declared order.
+    file. Columns are found by their names, in any order, and both spellings of the
+    queue columns are read: Recv-Q_Bytes_max and Recv_Q_Bytes_max. Values hold no commas.
     """
-    schema = T.StructType(
-        [T.StructField("time", T.StringType())]
-        + [T.StructField(c, T.DoubleType()) for c in FEATURES]
-        + [T.StructField(LABEL, T.DoubleType())]
-    )
-    name = F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.csv)?$", 1)
-    return spark.read.schema(schema).csv(path, header=True).select(
-        name.alias("run_id"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_no"),
-        "time",
-        *FEATURES,
-        LABEL,
-    )
+    other = {c.replace("_Q_", "-Q_"): c for c in FEATURES if "_Q_" in c}
+    kinds = {"time": "string", **dict.fromkeys([*FEATURES, LABEL], "double")}
+    name = F.regexp_extract("_file", r"([^/]+?)(?:\.csv)?$", 1)
+    return _read_named(spark, path, kinds, other).select(name.alias("run_id"), "block", "line_no", *kinds)
 
 
 def parse_mem_usage(spark: SparkSession, path: str) -> DataFrame:
     """Used and available memory per second; rows without a clock are dropped."""
-    schema = T.StructType(
-        [T.StructField("timestamp", T.StringType())] + [T.StructField(c, T.LongType()) for c in MEM_COLUMNS]
-    )
-    rows = spark.read.schema(schema).csv(path, header=True).select(
-        F.try_element_at(F.split("_metadata.file_path", "/"), F.lit(-2)).alias("run_id"), "timestamp", *MEM_COLUMNS
-    )
-    return mem_usage(rows)
+    kinds = {"timestamp": "string", **dict.fromkeys(MEM_COLUMNS, "bigint")}
+    rows = _read_named(spark, path, kinds, {})
+    return mem_usage(rows.select(F.try_element_at(F.split("_file", "/"), F.lit(-2)).alias("run_id"), *kinds))
 
 
 def mem_usage(rows: DataFrame) -> DataFrame:

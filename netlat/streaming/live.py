@@ -15,6 +15,9 @@ from netlat.operators.model import score_window
 from netlat.operators.views import alerts
 from netlat.schemas import COUNTERS, FEATURES, GAUGES, LEVELS, SNAPSHOT_SCHEMA
 
+#: Windows made at a time.
+SLICE = 5_000
+
 _OUTPUT = T.StructType(
     [T.StructField("host", T.StringType()), T.StructField("time", T.TimestampType())]
     + [T.StructField(c, T.DoubleType()) for c in FEATURES]
@@ -83,8 +86,8 @@ def stream_features(snapshots: DataFrame, steps: int = 60, link_bps: float = 1e9
 
     Spark lacks a row window over streams, so this is a stateful function. Its
     state is the last snapshot's counters and at most steps - 1 feature rows. The
-    first row of a host fills the front of its first windows. Rows not newer than
-    the state are dropped and counted in `dropped`.
+    first row of a host fills the front of its first windows. Equal times count as
+    one second; rows older than the state are dropped and counted in `dropped`.
     """
     width = len(FEATURES)
 
@@ -92,11 +95,10 @@ def stream_features(snapshots: DataFrame, steps: int = 60, link_bps: float = 1e9
         frame = pd.concat(list(batches), ignore_index=True).sort_values("timestamp", kind="stable", ignore_index=True)
         micros = frame["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
         late = np.zeros(len(micros), bool)
-        late[1:] = micros[1:] == micros[:-1]
         if state.exists:
             time_us, counters, recent, dropped = state.get
             recent = np.asarray(recent, float).reshape(-1, width)
-            late |= micros <= time_us
+            late |= micros < time_us
         else:
             time_us, counters, recent, dropped = None, None, None, 0
         dropped = int(dropped) + int(late.sum())
@@ -112,20 +114,22 @@ def stream_features(snapshots: DataFrame, steps: int = 60, link_bps: float = 1e9
         if clip:
             growth = {c: np.maximum(g, 0) for c, g in growth.items()}
         seconds = np.diff(micros, prepend=micros[0] - 1_000_000 if time_us is None else time_us) / 1e6
+        seconds[seconds == 0] = 1.0
         made = _rates(rows, growth, seconds, first, link_bps)
         if recent is None:
             recent = np.repeat(made[:1], steps - 1, axis=0)
         history = np.vstack([recent, made])
-        windows = [history[i : i + steps].ravel() for i in range(len(made))]
         keep = history[len(history) - (steps - 1) :]
         latest = [int(rows[c][-1]) for c in COUNTERS]
         state.update((int(micros[-1]), latest, keep.ravel().tolist(), dropped))
-        out = pd.DataFrame(made, columns=FEATURES)
-        out.insert(0, "host", key[0])
-        out.insert(1, "time", times)
-        out["features"] = windows
-        out["dropped"] = dropped
-        yield out
+        # A window is steps rows wide, so only some are held at a time.
+        for at in range(0, len(made), SLICE):
+            out = pd.DataFrame(made[at : at + SLICE], columns=FEATURES)
+            out.insert(0, "host", key[0])
+            out.insert(1, "time", times[at : at + SLICE].to_numpy())
+            out["features"] = [history[i : i + steps].ravel() for i in range(at, at + len(out))]
+            out["dropped"] = dropped
+            yield out
 
     return snapshots.groupBy("host").applyInPandasWithState(
         update, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout
@@ -171,9 +175,11 @@ def live_job(
 
 
 def stream_forecasts(predictions: DataFrame, actuals: DataFrame, horizon: str = "10 seconds", late: str = "10 seconds") -> DataFrame:
-    """Join a stream of predictions to the values measured when they fall due."""
+    """Join a stream of predictions to the values measured when they fall due, to the
+    second: a host's several rows of one second meet each other."""
+    second = lambda c: F.date_trunc("second", c).alias("time")
     due = predictions.select(
-        "host", F.col("time").alias("made_at"), (F.col("time") + F.expr(f"INTERVAL {horizon}")).alias("time"), "prediction"
+        "host", F.col("time").alias("made_at"), second(F.col("time") + F.expr(f"INTERVAL {horizon}")), "prediction"
     ).withWatermark("time", late)
-    seen = actuals.select("host", "time", "actual").withWatermark("time", late)
+    seen = actuals.select("host", second(F.col("time")), "actual").withWatermark("time", late)
     return due.join(seen, ["host", "time"])

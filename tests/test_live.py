@@ -68,17 +68,38 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path, clip):
     np.testing.assert_allclose(np.stack(got.features), np.stack(padded.features))
 
 
-def test_late_and_repeated_rows_are_dropped_and_counted(spark, tmp_path):
+def test_equal_times_stay_and_older_rows_are_dropped_and_counted(spark, tmp_path):
     rows = snapshots(hosts=("h",), n=6)
     put(tmp_path / "in", "0.json", [*rows[:3], rows[1]])
     source = lambda: live.snapshot_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
     stream = live.stream_features(source(), steps=3)
-    assert run(stream, tmp_path / "out", tmp_path / "state").count() == 3
+    assert run(stream, tmp_path / "out", tmp_path / "state").count() == 4
     put(tmp_path / "in", "1.json", [rows[0], rows[4]])
     out = by_time(run(live.stream_features(source(), steps=3), tmp_path / "out", tmp_path / "state"))
-    assert len(out) == 4 and out.dropped.tolist()[-1] == 2
+    assert len(out) == 5 and out.dropped.tolist()[-1] == 1
 
 
+def test_stream_has_the_batch_s_rows_at_equal_times(spark, tmp_path):
+    rows = snapshots(hosts=("h",), n=6, reset=False)
+    rows[2]["timestamp"] = rows[1]["timestamp"]
+    put(tmp_path / "in", "0.json", rows[:2])
+    put(tmp_path / "in", "1.json", rows[2:])
+    stream = live.stream_features(live.snapshot_stream(spark, str(tmp_path / "in"), files_per_trigger=1), steps=3)
+    got = run(stream, tmp_path / "out", tmp_path / "state").toPandas()
+    want = snapshot_rates(spark.createDataFrame(rows).withColumn("timestamp", F.col("timestamp").cast("timestamp"))).toPandas()
+    show = lambda df: sorted(map(tuple, df[["total_packets_per_sec", "used_MB", "nic_usage_pct"]].round(6).to_numpy().tolist()))
+    assert len(got) == 6 and show(got) == show(want)
+
+
+def test_many_rows_of_one_host_come_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "SLICE", 4)
+    rows = snapshots(hosts=("h",), n=11)
+    put(tmp_path / "in", "0.json", rows)
+    stream = live.stream_features(live.snapshot_stream(spark, str(tmp_path / "in")), steps=3)
+    out = by_time(run(stream, tmp_path / "out", tmp_path / "state"))
+    flat = np.stack(out.features).reshape(11, 3, -1)
+    assert len(out) == 11 and (flat[1:, 1] == flat[:-1, 2]).all()
+
 def test_first_rates_and_equal_times(spark):
     rows = snapshots(hosts=("h",), n=3, reset=False)
     rows[2]["timestamp"] = rows[1]["timestamp"]

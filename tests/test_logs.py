@@ -259,3 +259,50 @@ def test_line_filters(spark):
     df = spark.createDataFrame([("SF",), ("RSTR",), ("OTHSF",), (None,)], ["state"])
     assert sorted(str(r[0]) for r in drop_containing(df, "state", "SF").collect()) == ["None", "RSTR"]
     assert states(df, ["SF", "RSTR"]).count() == 2
+
+
+def test_a_zeek_file_follows_its_own_header_whatever_the_others_do(spark, tmp_path):
+    plain = write(tmp_path, "conn.log", conn_row(1.0, sent=5), run="0801")
+    write(tmp_path, "conn.log", "#fields\tproto\tid.resp_p\ntcp\t443\n", run="0802")
+    fields = ["ts", "proto", "id.resp_p"]
+    for third in (None, "#fields\tts\n3.0\n"):
+        if third:
+            write(tmp_path, "conn.log", third, run="0803")
+        got = read_zeek(spark, plain, fields, CONN_SCHEMA).where("day < '0803'").orderBy("day").collect()
+        assert [r["proto"] for r in got] == ["tcp", "tcp"] and got[1]["id_resp_p"] == 443 and got[0]["ts"] == 1.0
+
+
+def test_a_line_of_very_many_counters(spark, tmp_path):
+    many = " ".join(["1"] * 1500)
+    path = write(tmp_path, "conn_fail_stats.log", f"{DAY} 12:00:01.5 SNMP Tcp: {many} 77\n{DAY} 12:00:02.5 SNMP Tcp: {many} x\n")
+    got = mt.connection_counters(read_lines(spark, path), fail_index=1500)["fails"].collect()
+    assert [r["fails"] for r in got] == [77]
+
+
+@pytest.mark.parametrize(("start", "clocks", "days"), [
+    ("000000", ["00:00:01", "13:00:00", "23:59:59"], [0, 0, 0]),
+    ("115950", ["11:59:40", "23:00:00", "00:30:00", "11:00:00"], [0, 0, 1, 1]),
+    ("220000", ["23:59:59", "00:00:01", "22:30:00", "23:10:00", "00:20:00", "04:00:00"], [0, 1, 1, 1, 2, 2]),
+    ("235900", ["00:00:30", "00:00:29", "00:00:31"], [1, 1, 1]),
+])
+def test_days_of_bare_clocks(spark, tmp_path, start, clocks, days):
+    run = f"RUN_20251122_{start}"
+    text = "".join(f"{c} @[a]: {k + 1}\n" for k, c in enumerate(clocks))
+    lines = read_lines(spark, write(tmp_path, "packets_count.log", text, run=run))
+    want = {k + 1: f"2025-11-{22 + d} {c}" for k, (c, d) in enumerate(zip(clocks, days, strict=True))}
+    for width in (1, 2, 100):
+        # Lines in splits of their file.
+        cut = lines.withColumn("block", F.floor(F.col("line_no") / width))
+        got = mt.sum_per_second(cut, "n").select("n", F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("t")).collect()
+        assert {r["n"]: r["t"] for r in got} == want
+
+
+def test_feature_csv_is_read_by_name(spark, tmp_path):
+    names = ["Label", *reversed(FEATURES), "time"]
+    names[names.index("Recv_Q_Bytes_max")] = "Recv-Q_Bytes_max"
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(map(str, [1, *range(19, -1, -1), "12:00:01"])) + "\n")
+    row = read_feature_csv(spark, str(tmp_path / "a.csv")).first()
+    assert [row[f] for f in FEATURES] == [float(k) for k in range(20)] and row["time"] == "12:00:01" and row["Label"] == 1
+    (tmp_path / "b.csv").write_text("time,Label\n12:00:01,1\n")
+    with pytest.raises(Exception, match="no column"):
+        read_feature_csv(spark, str(tmp_path / "b.csv")).collect()

@@ -179,13 +179,39 @@ def test_scaling_and_its_inverse(spark):
 
 def test_split_by_position_over_all_runs(spark):
     df = series(spark, [50, 30, 20])
-    got = pdf(ds.position_split(df, "run_id", "time", gap=7, prefix=3), "run_id", "time")
+    got = pdf(ds.position_split(df, "run_id", "time", gap=7), "run_id", "time")
     assert list(got.pos) == list(range(100))
     assert (got.split == "train").sum() == 73 and (got.split == "gap").sum() == 7 and (got.split == "test").sum() == 20
     assert list(got[got.split == "train"].fold.value_counts(sort=False)) == [25, 24, 24]
     assert got[got.split == "train"].fold.is_monotonic_increasing and got[got.split != "train"].fold.isna().all()
-    other = pdf(ds.position_split(df, "run_id", "time", prefix=4), "run_id", "time")
-    assert list(other.pos) == list(range(100))
+    same = df.withColumn("run_id", F.concat(F.lit("a_name_that_begins_as_all_others_do_"), F.col("run_id")))
+    assert list(pdf(ds.position_split(same, "run_id", "time"), "run_id", "time").pos) == list(range(100))
+
+
+def test_forecasts_meet_on_seconds_of_drifting_clocks(spark):
+    start = F.timestamp_seconds(F.lit(1_700_000_000))
+    at = lambda extra: (start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") * 1.003 + extra).cast("decimal(18,6)"))).alias("time")
+    rows = spark.range(40)
+    made = rows.select(F.lit("h").alias("host"), at(0.0), F.col("id").cast("double").alias("prediction"))
+    seen = rows.select(F.lit("h").alias("host"), at(0.4), F.col("id").cast("double").alias("actual"))
+    assert al.align_forecast(made, seen).count() == 0
+    got = al.align_forecast(made, seen, unit="second").collect()
+    assert len(got) >= 28 and all(abs(r["actual"] - r["prediction"] - 10) <= 1 for r in got)
+
+
+def test_deviation_of_large_values(spark):
+    df = spark.range(300).select(
+        F.lit("s").alias("run_id"), F.col("id").alias("time"), (F.lit(4e9) + (F.col("id") % 7) / 1000).alias("big"), ((F.col("id") % 7) / 1000).alias("small")
+    )
+    smooth = au._neighbours(df, ["run_id"], ["time"], ["big", "small"], [], 3, 3600, 100)
+    big, small = au._deviations(smooth, ["run_id"], ["big", "small"], ["big", "small"], 10).first()["_sd"]
+    assert small > 1e-4 and abs(big - small) < 1e-6
+
+
+def test_unknown_counter_is_an_error(spark):
+    df = spark.createDataFrame([("h", "a", 1, 2), ("h", "zz", 2, 3)], "host string, name string, seq int, value int")
+    with pytest.raises(Exception, match="unknown counter: zz"):
+        al.merge_counters(df, counters=["a", "b"]).collect()
 
 
 def test_training_set(spark):
