@@ -119,14 +119,16 @@ def request_mix(
     by: str,
     key: str,
     default: str,
-    close_pct: int,
+    close_pct: int | str,
     special_pct: int | list[tuple[int, str]] = 5,
     seed: int = 0,
 ) -> DataFrame:
     """Host, connection header and kind of each request.
 
     `special_pct` is the share of uploads, or a list of (upper bound, kind) for a
-    mix of several kinds; what is above the last bound is a plain read.
+    mix of several kinds; what is above the last bound is a plain read. `close_pct` is
+    one share for all, or names the column of the requests that holds it (the share of
+    the day, as closed_share gives it).
     """
     total = weights.groupBy(by).agg(F.sum("weight").alias("_sum"))
     salts = 16
@@ -134,7 +136,7 @@ def request_mix(
     at = requests.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(salted, [by, "_salt"])
     at = at.withColumn("_draw", uniform_draw(F.col("_sum"), F.lit("host"), F.col(key), F.lit(seed)))
     picked = weighted_pick(at.drop("_salt"), weights, "_draw", default, by, name="host")
-    closes = uniform_draw(100, F.lit("close"), F.col(key), F.lit(seed)) <= close_pct
+    closes = uniform_draw(100, F.lit("close"), F.col(key), F.lit(seed)) <= (F.col(close_pct) if isinstance(close_pct, str) else close_pct)
     kind_draw = uniform_draw(100, F.lit("kind"), F.col(key), F.lit(seed))
     kinds = [(special_pct, "upload")] if isinstance(special_pct, int) else list(special_pct)
     kind = None

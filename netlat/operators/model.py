@@ -5,6 +5,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,28 @@ def baselines() -> dict:
     }
 
 
+def fit_models(train: DataFrame, models: dict) -> dict[str, Model]:
+    """Fitted models as they are, estimators fitted on `train`."""
+    return {n: m if isinstance(m, Model) else m.fit(vectors(train)) for n, m in models.items()}
+
+
+def predictions(df: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """df with each model's scaled prediction in a column of its name."""
+    for name, model in models.items():
+        df = score(df, model, None, name)
+    return df
+
+
+def save_model(model: Model, path: str) -> None:
+    """Store a fitted model; one that is there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """A stored model of any kind."""
+    return DefaultParamsReader.loadParamsInstance(path, spark)
+
+
 def compare(
     train: DataFrame, test: DataFrame, models: dict, mm: DataFrame | None = None, persistence: str | None = TARGET,
     actual: str = "y_target",
@@ -99,10 +122,8 @@ def compare(
     `models` holds fitted models or estimators to fit on `train`. `persistence`
     names a column of the test set that serves as the forecast "stays as it is".
     """
-    fitted = {n: m if isinstance(m, Model) else m.fit(vectors(train)) for n, m in models.items()}
-    rows = test
-    for name, model in fitted.items():
-        rows = score(rows, model, None, name)
+    fitted = fit_models(train, models)
+    rows = predictions(test, fitted)
     names = list(fitted)
     if persistence and persistence in test.columns:
         rows = rows.withColumn("persistence", F.col(persistence))
@@ -120,6 +141,6 @@ def importance_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 __all__ = [
-    "GRID", "SEED", "baselines", "compare", "fit_gbt", "gbt", "grid_table", "importance_table", "score",
-    "score_window", "tune", "vectors",
+    "GRID", "SEED", "baselines", "compare", "fit_gbt", "fit_models", "gbt", "grid_table", "importance_table",
+    "load_model", "predictions", "save_model", "score", "score_window", "tune", "vectors",
 ]

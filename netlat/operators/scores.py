@@ -25,8 +25,9 @@ def regression_metrics(df: DataFrame, actual: str, preds: list[str]) -> DataFram
 
     def measures(p):
         error = y - F.col(p)
-        # The sum of squares around the mean is count * var_pop.
-        r2 = 1 - F.sum(error * error) / F.sum(F.when(F.col(p).isNotNull(), F.lit(1))) / F.nullif(F.var_pop(y), F.lit(0.0))
+        # The sum of squares around the mean is count * var_pop, of the rows that have
+        # a prediction.
+        r2 = 1 - F.sum(error * error) / F.sum(F.when(F.col(p).isNotNull(), F.lit(1))) / F.nullif(F.var_pop(F.when(F.col(p).isNotNull(), y)), F.lit(0.0))
         return F.struct(
             F.lit(p).alias("model"),
             F.round(F.avg(F.abs(error)), 4).alias("mae"),

@@ -15,7 +15,7 @@ from netlat.operators import scores as sc
 from netlat.operators.series import CHUNK_ROWS, future_max, sequences, with_position
 from netlat.session import settle
 from netlat.schemas import CONN_SCHEMA, FEATURES, LABEL, SSL_SCHEMA, TARGET
-from netlat.sources.logs import optional, read_lines, read_optional_lines, read_zeek
+from netlat.sources.logs import exists, optional, read_lines, read_optional_lines, read_zeek
 from netlat.sources.tables import mem_usage, parse_mem_usage, read_feature_csv
 
 # The file names of a run directory.
@@ -127,8 +127,10 @@ def second_rates(raw: DataFrame, fill_first: bool = False) -> dict[str, DataFram
 
 def run_features(spark: SparkSession, root: str, runs: str = "*", **options) -> DataFrame:
     """Feature table of every run directory below `root`. Missing logs are
-    skipped, their columns are 0."""
+    skipped, their columns are 0; without any log there is no run, which is an error."""
     at = lambda name: f"{root}/{runs}/{RUN_FILES[name]}"
+    if not any(exists(spark, at(name)) for name in RUN_FILES):
+        raise FileNotFoundError(f"no run log below {root}/{runs}")
     logs = {name: read_optional_lines(spark, at(name)) for name in RUN_FILES if name != "mem_usage"}
     empty = mem_usage(spark.createDataFrame([], "run_id string, timestamp string, used_MB bigint, available_MB bigint"))
     logs["mem_usage"] = optional(spark, at("mem_usage"), empty.schema, lambda p: parse_mem_usage(spark, p))
@@ -200,11 +202,19 @@ def train(df: DataFrame, grid: dict = md.GRID, parallelism: int = 1, **params):
     return md.tune(df.where("split = 'train'"), grid, "fold", parallelism, **params)
 
 
-def evaluate(df: DataFrame, models: dict, mm: DataFrame) -> dict[str, DataFrame]:
-    """Metrics, best model and sample rows of the test set."""
-    test = df.where("split = 'test'")
-    metrics = md.compare(df.where("split = 'train'"), test, models, mm, persistence="last_value")
-    return {"metrics": metrics, "best": sc.best_model(metrics)}
+def evaluate(df: DataFrame, models: dict, mm: DataFrame, every: int = 50) -> dict[str, DataFrame]:
+    """Metrics and best model, every n-th row of the test set with all predictions
+    (`samples`) and, of several models, which of the first two is better (`gap`)."""
+    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    fitted = md.fit_models(train, models)
+    metrics = md.compare(train, test, fitted, mm, persistence="last_value")
+    some = md.predictions(test.where(F.col("pos") % every == 0), fitted)
+    names = list(fitted)
+    out = {"metrics": metrics, "best": sc.best_model(metrics)}
+    out["samples"] = ds.unscale(some, mm, ["y_target", *names], "y_target").select("pos", "y_target", *names)
+    if len(names) > 1:
+        out["gap"] = sc.rmse_gap(metrics, names[0], names[1])
+    return out
 
 
 def importance(spark: SparkSession, model: Model, cols: list[str] = FEATURES, top: int | None = None) -> DataFrame:

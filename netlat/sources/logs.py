@@ -37,6 +37,12 @@ def require(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names any file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
 def optional(spark: SparkSession, path: str, schema: T.StructType, read=None) -> DataFrame:
     """What `read` makes of a path, or an empty table of the schema if the path
     is missing."""

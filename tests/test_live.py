@@ -133,6 +133,18 @@ def test_trees_beat_persistence(spark, trained):
     m = {r.model: r for r in out["metrics"].collect()}
     assert m["gbt"].rmse < m["persistence"].rmse / 2 and m["gbt"].r2 > 0.8
     assert out["best"].first().model in ("gbt", "linear")
+    assert out["gap"].first().better in ("gbt", "linear")
+    samples = out["samples"].collect()
+    assert samples and all(r["pos"] % 50 == 0 and 0 < r["y_target"] < 200 and 0 < r["gbt"] < 200 for r in samples)
+
+
+def test_a_stored_model_predicts_the_same(spark, trained, tmp_path):
+    data, mm = trained
+    model = md.fit_gbt(data.where("split = 'train'"), maxIter=3, maxDepth=2)
+    md.save_model(model, str(tmp_path / "m"))
+    again = md.load_model(spark, str(tmp_path / "m"))
+    show = lambda m: sorted(md.score(data, m, mm).select("pos", "prediction").collect())
+    assert show(model) == show(again)
 
 
 def test_grid_search_uses_the_given_folds(spark, trained):

@@ -181,6 +181,11 @@ def full_run(root, run=RUN):
     write(root, "scenario_timeline.txt", "12:00:00,NORMAL\n12:00:02,ATTACK\n12:00:04,NORMAL\n", run)
 
 
+def test_no_run_log_at_all_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="no run log"):
+        jobs.run_features(spark, str(tmp_path))
+
+
 def test_run_features_end_to_end(spark, tmp_path):
     full_run(tmp_path)
     full_run(tmp_path, "OTHER_20251122_115950")
