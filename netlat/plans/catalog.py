@@ -17,6 +17,7 @@ from netlat.operators import metrics as mt
 from netlat.operators import model as md
 from netlat.operators import scores as sc
 from netlat.operators import series as sr
+from netlat.operators import snapshots as sn
 from netlat.operators import views as vw
 from netlat.operators.rates import snapshot_rates
 from netlat.plans import jobs
@@ -808,6 +809,47 @@ def threshold_alerts(spark, sf):
     return vw.alerts(predictions, events(spark, sf).agg((F.avg("value") * 3).alias("threshold")))
 
 
+# ---- snapshots from text -----------------------------------------------------------
+
+
+def _host_texts(spark, sf):
+    """One snapshot per order: its line items are the sockets, its numbers the counters."""
+    items = table(spark, sf, "lineitem")
+    socket = F.format_string(
+        "%s %d %d 10.0.0.1:80 10.0.0.2:%d\n\t cubic rtt:%d.5/0.7 cwnd:%d ssthresh:%d",
+        F.when(F.col("l_returnflag") == "N", "SYN-SENT").otherwise("ESTAB"), F.col("l_suppkey"), F.col("l_partkey"),
+        F.col("l_linenumber"), F.col("l_linenumber"), F.col("l_suppkey") + 1, F.col("l_partkey") + 2,
+    )
+    lists = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.collect_list(socket), "\n").alias("s"))
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").join(lists, "o_orderkey", "left").select(
+        "o_orderkey",
+        F.concat(F.lit("State Recv-Q Send-Q Local Peer\n"), F.coalesce("s", F.lit(""))).alias("sockets"),
+        F.format_string("Tcp: a b c d e f g h i j k l m\nTcp: 1 2 3 4 %d %d %d 8 9 10 11 %d 13", k, k + 1, k + 2, k + 3).alias("snmp"),
+        F.when(k % 3 > 0, F.format_string("TcpExt: 1 %s %d 7", F.repeat(F.lit("0 "), 19), k * 2)).alias("netstat"),
+        F.format_string("  CPU0 CPU1\n NET_TX: %d 1\n NET_RX: %d 2 x3", k, k * 5).alias("softirqs"),
+    )
+
+
+@query("""WITH s AS (SELECT l_orderkey AS o_orderkey, sum(l_linenumber + 0.5) AS rtt, count(*) AS n, min(l_suppkey) + 1 AS cwnd, min(l_partkey) + 2 AS ssthresh,
+    max(CASE WHEN l_returnflag <> 'N' THEN l_suppkey END) AS recv, max(CASE WHEN l_returnflag <> 'N' THEN l_partkey END) AS send
+    FROM lineitem GROUP BY ALL)
+SELECT o_orderkey, coalesce(rtt, 0.0)::DOUBLE AS tcp_rtt_sum, coalesce(n, 0) AS tcp_rtt_count, coalesce(recv, 0) AS tcp_recv_q_max,
+  coalesce(send, 0) AS tcp_send_q_max, coalesce(cwnd, 0) AS tcp_cwnd_min, coalesce(ssthresh, 0) AS tcp_ssthresh_min,
+  o_orderkey AS snmp_ActiveOpens, o_orderkey + 1 AS snmp_PassiveOpens, o_orderkey + 2 AS snmp_AttemptFails, o_orderkey + 3 AS snmp_RetransSegs,
+  CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey * 2 ELSE 0 END AS snmp_ListenDrops, o_orderkey * 5 + 2 AS softirq_net_rx, o_orderkey + 1 AS softirq_net_tx
+FROM orders LEFT JOIN s USING (o_orderkey)""")
+def snapshot_text(spark, sf):
+    return sn.text_values(_host_texts(spark, sf))
+
+
+@query("""SELECT l_orderkey AS o_orderkey, count(*) AS sockets, sum(l_suppkey)::BIGINT AS recv_q, sum(l_partkey)::BIGINT AS send_q
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag <> 'N' GROUP BY ALL""")
+def socket_states(spark, sf):
+    rows = sn.socket_rows(_host_texts(spark, sf).select("o_orderkey", "sockets"))
+    return rows.groupBy("o_orderkey").agg(F.count("*").alias("sockets"), F.sum("recv_q").alias("recv_q"), F.sum("send_q").alias("send_q"))
+
+
 # ---- models ----------------------------------------------------------------------
 
 

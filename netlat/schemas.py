@@ -30,6 +30,7 @@ LABEL = "Label"
 # The four key indicators of the monitor view, in display order.
 KPIS = ["RTT_ms_mean", "nic_usage_pct", "used_MB", "total_packets_per_sec"]
 
+# The names of a snapshot.
 GAUGES = ["tcp_rtt_sum", "mem_total_mb", "mem_avail_mb", "sched_run_queue"]
 # Snapshot values that are read as they are.
 LEVELS = ["tcp_rtt_count", "tcp_recv_q_max", "tcp_send_q_max", "tcp_cwnd_min", "tcp_ssthresh_min"]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from netlat.operators import metrics as mt
 from netlat.operators.sections import carry_section, drop_containing, skip_head, states
+from netlat.operators.snapshots import text_values
 from netlat.plans import jobs
 from netlat.schemas import CONN_SCHEMA, FEATURES, SSL_SCHEMA
 from netlat.session import settle
@@ -311,3 +312,21 @@ def test_feature_csv_is_read_by_name(spark, tmp_path):
     (tmp_path / "b.csv").write_text("time,Label\n12:00:01,1\n")
     with pytest.raises(Exception, match="no column"):
         read_feature_csv(spark, str(tmp_path / "b.csv")).collect()
+
+
+def test_snapshot_values_from_text(spark):
+    sockets = (
+        "State Recv-Q Send-Q rtt:9 cwnd:1\nESTAB 5 x a b\n\t cubic rtt:1.5/0.7 cwnd:10 ssthresh:7\nLISTEN 3 128 a b\n"
+        "SYN-SENT 99 99 a b\n\t cubic rtt:2.5/1 cwnd:4\nESTAB 7 8 a\n"
+    )
+    snmp = "Tcp: RtoAlgorithm " + "n " * 13 + "\nTcp: 1 200 120000 -1 50 60 3 4 5 6 7 8 9\nTcp: 1 2"
+    netstat = "TcpExt: " + "n " * 25 + "\nTcpExt: " + " ".join(map(str, range(1, 26)))
+    softirqs = "   CPU0 CPU1\n NET_TX: 10 20 x\n NET_RX: 100 200"
+    df = spark.createDataFrame([("h", sockets, snmp, netstat, softirqs), ("e", None, "", "TcpExt: x", None)], "host string, sockets string, snmp string, netstat string, softirqs string")
+    full, none = (r.asDict() for r in text_values(df).orderBy(F.desc("host")).collect())
+    assert full == {
+        "host": "h", "tcp_rtt_sum": 4.0, "tcp_rtt_count": 2, "tcp_recv_q_max": 5, "tcp_send_q_max": 128, "tcp_cwnd_min": 4, "tcp_ssthresh_min": 7,
+        "snmp_ActiveOpens": 50, "snmp_PassiveOpens": 60, "snmp_AttemptFails": 3, "snmp_RetransSegs": 8, "snmp_ListenDrops": 21,
+        "softirq_net_rx": 300, "softirq_net_tx": 30,
+    }
+    assert none == {"host": "e"} | dict.fromkeys([k for k in full if k != "host"], 0)
