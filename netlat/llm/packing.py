@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlat.llm.common import text_of
-from netlat.llm.pieces import encoder
+from netlat.llm.pieces import Encoder, encoder
 from netlat.session import scratch_path
 
 #: Documents a pattern holds at most.
@@ -28,6 +28,9 @@ GRID = 40
 #: Weight of what is left empty, against that of the counts.
 EMPTY = 4.0
 
+#: Pieces a worker keeps; other stages run in the same workers later.
+KEPT = 300_000
+
 _PIECES = "chunk int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -38,7 +41,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col:
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, seen = encoder(tokenizer), int(end_id).to_bytes(4, "little"), np.zeros(size + 1, np.int64)
+        coder, end, seen = encoder(tokenizer, _frugal), int(end_id).to_bytes(4, "little"), np.zeros(size + 1, np.int64)
         chunk = TaskContext.get().partitionId()
         for batch in batches:
             rows, held = [], 0
@@ -62,6 +65,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col:
     return spark.read.schema(_PIECES).parquet(path)
 
 
+def _frugal(path: str) -> Encoder:
+    return Encoder(path, KEPT)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = ["chunk", "nth", "doc_id", "piece", "start", "length", "ids_crc32", "ids"]

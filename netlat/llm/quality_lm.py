@@ -35,7 +35,8 @@ STEPS = 1000
 
 _BEGIN, _END = "\x02", "\x03"
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-_CHARS = 2_000_000
+#: Characters that are looked at together.
+_CHARS = 1_000_000
 
 
 def _hash(langs: np.ndarray, column: Callable[[int], np.ndarray], n: int) -> np.ndarray:
