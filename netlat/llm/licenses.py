@@ -8,6 +8,11 @@ first: a block that meets a template shares one of its first words in that order
 (prefix), has enough different words (length), and from that word on has enough
 words left (position). What passes is counted in full. Templates are a short
 list given as a parameter; only their words' counts come to the driver.
+
+Notices are wrapped over lines, so texts of several lines are searched as a whole too,
+in windows twice as large. There a template's words must stand close together, in a
+stretch of ROOM times its length: without the line's end as a limit, the three words
+of "cc by nd" come together by chance.
 """
 
 import math
@@ -45,11 +50,14 @@ TEMPLATES = (
 )
 THRESHOLD = 0.85
 SPAN = 40
+#: Words of a stretch for each word of the template.
+ROOM = 1.5
 
 _SCAN = (
     "id long, n_words long, base array<struct<label:string, start:long>>, "
     "blocks array<struct<template:int, label:string, start:long, length:int, containment:double>>"
 )
+_SCAN += ", " + _SCAN[_SCAN.index("blocks") :].replace("blocks", "wrapped")
 
 
 def word_documents(docs: DataFrame, words: set[str]) -> dict[str, int]:
@@ -74,6 +82,7 @@ class Matcher:
 
     def __init__(self, templates: tuple, counts: dict[str, int], threshold: float):
         self.labels = [label for _, label in templates]
+        self.rooms = [int(ROOM * len(text.split())) for text, _ in templates]
         self.sets = [frozenset(text.encode().split()) for text, _ in templates]
         self.need = [math.ceil(round(threshold * len(s), 9)) for s in self.sets]
         order = sorted({w for s in self.sets for w in s}, key=lambda w: (counts[w.decode()], w))
@@ -102,8 +111,21 @@ class Matcher:
         return sorted(near)
 
 
+    def stretches(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, place, length, containment) of the first of the stretches that
+        hold most of each template, where that is enough."""
+        found = []
+        for t, _ in self.block(words):
+            sought, room = self.sets[t], self.rooms[t]
+            places = [k for k, w in enumerate(words) if w in sought]
+            shared, at = max((len(sought.intersection(words[k : k + room])), -k) for k in places)
+            if shared >= self.need[t]:
+                found.append((t, -at, len(words[-at : room - at]), shared / len(sought)))
+        return found
+
+
 def spans(n: int, span: int = SPAN) -> list[int]:
-    """Where the blocks of a line of n words begin."""
+    """Where the windows of a line or text of n words begin."""
     return [0] if n <= span else list(range(0, n - span // 2, span // 2))
 
 
@@ -117,7 +139,8 @@ def scan(
 ) -> DataFrame:
     """One row a row: the identifier, n_words, base (label and first word of each
     place where a phrase stands), blocks (template, label, first word, length and
-    containment of each block and template that meet).
+    containment of each block of a line and template that meet), wrapped (the same for
+    the stretches of a text that has words on several lines).
 
     Places count words of the whole text from 0. A null text has no words. Templates
     of more than half a span of words are an error. Other columns are ignored.
@@ -132,7 +155,7 @@ def scan(
         data = text.encode()
         words = data.translate(LOWER_WORDS).split()
         have = set(words)
-        base, blocks = [], []
+        base, blocks, wrapped = [], [], []
         for phrase, label in phrases:
             if not have.issuperset(phrase):
                 continue
@@ -145,22 +168,27 @@ def scan(
                 if words[at : at + len(phrase)] == phrase:
                     base.append({"label": label, "start": at})
         if not have.isdisjoint(matcher.prefix):
-            begin = 0
+            hit = lambda t, at, length, share: {"template": t, "label": matcher.labels[t], "start": at, "length": length, "containment": share}
+            begin, longest = 0, 0
             for line in data.split(b"\n"):
                 line = line.translate(LOWER_WORDS).split()
                 for at in spans(len(line), span):
                     block = line[at : at + span]
-                    for t, share in matcher.block(block):
-                        blocks.append({"template": t, "label": matcher.labels[t], "start": begin + at, "length": len(block), "containment": share})
-                begin += len(line)
-        return len(words), base, blocks
+                    blocks += [hit(t, begin + at, len(block), share) for t, share in matcher.block(block)]
+                begin, longest = begin + len(line), max(longest, len(line))
+            if longest < len(words):
+                # Windows overlap, so a stretch may be found twice.
+                every = {(t, begin + at, *more) for begin in spans(len(words), 2 * span) for t, at, *more in matcher.stretches(words[begin : begin + 2 * span])}
+                wrapped = [hit(*x) for x in sorted(every)]
+        return len(words), base, blocks, wrapped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))]
         kinds.append(pa.list_(pa.struct([("template", pa.int32()), ("label", pa.string()), ("start", pa.int64()), ("length", pa.int32()), ("containment", pa.float64())])))
+        kinds.append(kinds[-1])
         for batch in batches:
             rows = [one(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(3))], names=["id", "n_words", "base", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(4))], names=["id", "n_words", "base", "blocks", "wrapped"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of().alias("text"))
     return rows.mapInArrow(run, _SCAN).withColumnRenamed("id", id_col)
@@ -168,7 +196,8 @@ def scan(
 
 def labels(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document: counts and places of base phrases, base labels, all labels, and
-    the score: the largest containment of a block that meets a template, else 0."""
+    the score: the largest containment of a block that meets a template, else 0. The
+    blocks are those of lines and the stretches over lines."""
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return scanned.select(
         id_col,
@@ -177,13 +206,14 @@ def labels(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.array_min("base.start").alias("first_word"),
         F.array_max("base.start").alias("last_word"),
         joined("base.label").alias("base_labels"),
-        joined(F.concat("base.label", "blocks.label")).alias("labels"),
-        F.coalesce(F.array_max("blocks.containment"), F.lit(0.0)).alias("score"),
+        joined(F.concat("base.label", "blocks.label", "wrapped.label")).alias("labels"),
+        F.coalesce(F.array_max(F.concat("blocks.containment", "wrapped.containment")), F.lit(0.0)).alias("score"),
     )
 
 
 def sql(templates: tuple = TEMPLATES, threshold: float = THRESHOLD, span: int = SPAN) -> str:
-    """The same in plain SQL, every block against every template."""
+    """The same in plain SQL, every block of a line against every template; it has no
+    stretches, so it lacks what only a notice wrapped over lines gives."""
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"

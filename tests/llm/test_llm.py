@@ -279,6 +279,64 @@ def test_license_labels_on_odd_rows(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by",
+    "mpl-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL",
+}
+
+
+def test_license_notices_wrapped_over_lines(spark):
+    rows, prose = [], " ".join(f"word{k}" for k in range(30))
+    for label, notice in WRAPPED.items():
+        for before in range(45):
+            rows.append((len(rows), label, " ".join(f"w{k}" for k in range(before)) + "\n" + notice + "\n" + prose))
+        rows.append((len(rows), label, notice.replace("\n", "\r\n")))
+        # The two halves of a notice far apart are none.
+        rows.append((len(rows), "", notice.replace("\n", f"\n{prose} {prose}\n")))
+    docs = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    got = {r["doc_id"]: r for r in licenses.labels(licenses.scan(docs)).collect()}
+    for i, label, text in rows:
+        found = set(got[i]["labels"].split(",")) - {""}
+        if label:
+            assert label in found and got[i]["score"] >= licenses.THRESHOLD, (label, text)
+        else:
+            assert found <= set(got[i]["base_labels"].split(",")) and got[i]["score"] == 0.0, text
+
+
+def test_license_words_apart_on_several_lines_are_no_notice(spark):
+    text = "Licensed under CC BY-NC 4.0.\nTo one of nd and two and three."
+    rows = licenses.labels(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert rows[0]["labels"] == "cc-by,cc-by-nc"
+
+
+def brute_stretches(text, threshold):
+    lines = [x.translate(licenses.LOWER_WORDS).split() for x in text.encode().split(b"\n")]
+    words, found = sum(lines, []), set()
+    if sum(map(bool, lines)) < 2:
+        return []
+    for begin in licenses.spans(len(words), 2 * licenses.SPAN):
+        end = min(begin + 2 * licenses.SPAN, len(words))
+        for k, (t, _) in enumerate(licenses.TEMPLATES):
+            tokens, room = set(t.encode().split()), int(licenses.ROOM * len(t.split()))
+            share = lambda at: len(tokens & set(words[at : min(at + room, end)])) / len(tokens)
+            best = max((at for at in range(begin, end) if words[at] in tokens), key=share, default=None)
+            if best is not None and share(best) >= threshold - 1e-9:
+                found.add((k, best, min(room, end - best), share(best)))
+    return sorted(found)
+
+
+def test_license_stretches_are_brute_force_s(spark, odd, sf):
+    docs = odd.select("doc_id", "text").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
+    texts = defaultdict(list)
+    for i, t in pairs(docs):
+        texts[i].append(brute_stretches(t, 0.6))
+    got = licenses.scan(docs, threshold=0.6).collect()
+    assert any(r["wrapped"] for r in got)
+    for r in got:
+        assert [(b["template"], b["start"], b["length"], b["containment"]) for b in r["wrapped"]] in texts[r["doc_id"]]
+
+
 # ---- 5 rules ---------------------------------------------------------------------
 
 
