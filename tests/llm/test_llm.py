@@ -130,6 +130,17 @@ def test_classifier_keeps_clean_and_rejects_junk(spark):
     assert junk and sum(r["kept"] for r in junk) <= 0.05 * len(junk)
 
 
+def test_classifier_rejects_all_kinds_of_bad_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.col("doc_id").isin([r["id"] for r in quality_lm.trusted_ids(labels).where(quality_lm.held_out()).collect()])
+    judged = quality_lm.classify(docs, labels).join(labels, "doc_id").withColumn("held", held).collect()
+    bad = [r for r in judged if r["quality"] == 0]
+    trusted = [r for r in judged if r["held"]]
+    assert len(bad) > 50 and sum(r["kept"] for r in bad) <= 0.03 * len(bad)
+    assert len(trusted) > 50 and sum(not r["kept"] for r in trusted) <= 0.05 * len(trusted)
+
+
 def test_classifier_on_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, None), (6, 1, 0), (6, 0, 0), (7, None, None), (None, 1, 0), (10, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality_lm.classify(odd, labels).collect()
