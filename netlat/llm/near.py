@@ -5,6 +5,10 @@ arrival goes to one of M registers, which keep the shingle that came first. A sh
 is done when its next arrival is later than every register of the text. Registers of
 two texts agree as often as their probability Jaccard says.
 
+Links may also be by plain Jaccard, so a text that repeats a shingle has a second
+sketch, in which all shingles weigh 1, and its bands too; in other texts both sketches
+are the same.
+
 Texts with the same words are one node. Nodes that agree in a band share a bucket; in
 a bucket each node is paired with the smallest one only, its bits of the sketches are
 compared, and what may be similar is verified on the whole texts. Verified links make
@@ -35,7 +39,7 @@ M, BANDS, ROWS = 512, 42, 6
 FAR = 134
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_SIGNED = "id long, row_hash long, node long, bits array<long>, bands array<long>"
+_SIGNED = "id long, row_hash long, node long, bits array<long>, plain array<long>, bands array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -86,6 +90,15 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
     return h[first], np.bincount(codes), owner[first]
 
 
+def _signature(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four bits of each register, and the bands, of sketches."""
+    four = (_mix(registers) & np.uint64(15)).astype(np.uint8)
+    bands = np.zeros((len(registers), BANDS), np.uint64)
+    for r in range(ROWS):
+        bands = _mix(bands * _GOLDEN + registers[:, r : BANDS * ROWS : ROWS])
+    return (four[:, ::2] | four[:, 1::2] << 4).view("<i8"), _mix(bands + np.arange(BANDS, dtype=np.uint64)).view("<i8")
+
+
 def sketches(h: np.ndarray, times: np.ndarray, owner: np.ndarray, texts: int, m: int = M) -> np.ndarray:
     """The registers of each text, m shingles (0 in a text without any). A shingle that
     stands in a text n times weighs 1 + log n. m is a power of two."""
@@ -132,7 +145,8 @@ def probability_jaccard(a: tuple, b: tuple) -> tuple[float, float]:
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row a row: id, row_hash (of the text), node (of its words), bits of the sketch, bands."""
+    """One row a row: id, row_hash (of the text), node (of its words), bits of the sketch, plain (those
+    of the sketch without weights, null if it is the same), bands of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,37 +160,49 @@ def sign(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 h, times, owner = shingles(distinct)
                 registers = sketches(h, times, owner, len(distinct))
                 number = np.bincount(owner, minlength=len(distinct))
-                four = (_mix(registers) & np.uint64(15)).astype(np.uint8)
-                bits = (four[:, ::2] | four[:, 1::2] << 4).view("<i8")
-                bands = np.zeros((len(distinct), BANDS), np.uint64)
-                for r in range(ROWS):
-                    bands = _mix(bands * _GOLDEN + registers[:, r : BANDS * ROWS : ROWS])
-                bands = _mix(bands + np.arange(BANDS, dtype=np.uint64)).view("<i8")
-                lists = [bands[w] if number[w] else bands[w][:0] for w in which]
+                bits, bands = _signature(registers)
+                repeats = np.unique(owner[times > 1])
+                at = np.full(len(distinct), -1)
+                at[repeats] = np.arange(len(repeats))
+                some = at[owner] >= 0
+                plain, more = _signature(sketches(h[some], np.ones(int(some.sum())), at[owner[some]], len(repeats)))
+                own = [np.unique(np.append(bands[t], more[at[t]])) if at[t] >= 0 else bands[t] if number[t] else bands[t][:0] for t in range(len(distinct))]
+                lists = [own[w] for w in which]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
                         part.column("row_hash"),
                         pa.array(nodes[which]),
                         pa.array(list(bits[which]), pa.list_(pa.int64())),
+                        pa.array([plain[at[w]] if at[w] >= 0 else None for w in which], pa.list_(pa.int64())),
                         pa.array(lists, pa.list_(pa.int64())),
                     ],
-                    names=["id", "row_hash", "node", "bits", "bands"],
+                    names=["id", "row_hash", "node", "bits", "plain", "bands"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of()).alias("row_hash"), text_of().alias("text"))
     return settle(rows.mapInArrow(run, _SIGNED), "signatures")
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Whether the sketches of two nodes are near enough."""
+def _differ(a: Column, b: Column) -> Column:
+    """In how many registers two sketches differ."""
     differ = F.lit(0)
     for k in range(M // 16):
-        x = F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])
+        x = a[k].bitwiseXOR(b[k])
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
         differ = differ + F.bit_count(x)
-    return differ <= FAR
+    return differ
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether the sketches of two nodes are near enough, those with weights or those
+    without."""
+    one = _differ(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= FAR
+    # Where neither text repeats a shingle, both comparisons are the same.
+    again = F.col(f"{a}.plain").isNotNull() | F.col(f"{b}.plain").isNotNull()
+    plain = lambda t: F.coalesce(F.col(f"{t}.plain"), F.col(f"{t}.bits"))
+    return one | (again & (_differ(plain(a), plain(b)) <= FAR))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -235,7 +261,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", similar: float = SIMILAR) -
     empty table gives an empty table.
     """
     signed = sign(docs, id_col)
-    sketch = ["bits"]
+    sketch = ["bits", "plain"]
     # A node's row is the same in all its copies, so the first of each task will do.
     nodes = settle(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in (*sketch, "bands")], F.min(F.struct("id", "row_hash")).alias("row")), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("band"))

@@ -459,6 +459,21 @@ def test_near_classes_are_brute_force_s(spark):
     assert all(r["class_size"] == sizes[r["class_id"]] and r["kept"] == (r["doc_id"] == r["class_id"]) for r in rows)
 
 
+def test_near_plain_links_of_texts_with_repeated_passages(spark):
+    rng = np.random.default_rng(23)
+    words = [f"w{k}" for k in range(9000)]
+    texts = []
+    for n, passage, times in [(200, 40, 20), (300, 60, 50), (150, 30, 30), (250, 50, 40)] * 5:
+        base = list(rng.choice(words, n))
+        texts += [" ".join(base), " ".join(base[:passage] * times + base[passage:])]
+        # Without the passage in common, repeated or not, texts are apart.
+        texts.append(" ".join(base[:passage] * times + list(rng.choice(words, n - passage))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = sorted(near.classes(docs).collect())
+    assert [r["class_id"] for r in rows] == [k for t in range(0, len(texts), 3) for k in (t, t, t + 2)]
+    assert same_partition([r["class_id"] for r in rows], brute_classes(texts))
+
+
 def test_near_one_large_group_and_common_passages(spark):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(5000)]
