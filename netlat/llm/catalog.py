@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlat.llm import bpe, exact, frames, licenses, near, packing, quality_lm, rules, token_cache, urls
+from netlat.llm import bpe, exact, frames, language, lexical, licenses, near, negatives, packing, quality_lm, rules, token_cache, urls
 from netlat.session import scratch_path
 
 QUERIES = {}
@@ -90,3 +90,20 @@ def op9_content_sort(spark, sf):
 @query()
 def op10_url_trees(spark, sf):
     return urls.judge(table(spark, sf, "pages"))
+
+
+@query(lexical.sql())
+def op11_lexical_search(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), most=20)
+
+
+@query(negatives.sql())
+def op12_hard_negatives(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op13_string_kernel(spark, sf):
+    return language.languages(table(spark, sf, "documents"))
