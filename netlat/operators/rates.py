@@ -8,45 +8,46 @@ from netlat.operators.series import CHUNK_ROWS, names, over_series
 from netlat.schemas import COUNTERS, FEATURES
 
 
-def rate_columns(delta, seconds: Column, first: Column, link_bps: float) -> dict[str, Column]:
-    """The 20 features of one snapshot.
+def features_of(now, grown, seconds, link_bps: float, ratio, rate) -> dict:
+    """The 20 features of snapshots, for columns and for arrays alike.
 
-    `delta` gives the growth of a counter since the snapshot before, `seconds`
-    the time between the two; on a first snapshot the rates are 0. The loss rate
-    is retransmits per queued packet, the fail rate drops per drop or accepted
+    `now` gives a value as it stands, `grown` the growth of a counter since the snapshot
+    before, `seconds` the time between the two; `ratio(n, d, scale)` is 0 without a
+    positive d, and `rate` makes 0 of what a first snapshot has no value for. The loss
+    rate is retransmits per queued packet, the fail rate drops per drop or accepted
     connection.
     """
-
-    def rate(expression):
-        return F.when(first, F.lit(0.0)).otherwise(expression)
-
-    def per_second(counter):
-        return rate(delta(counter).cast("double") / seconds)
-
-    drops, opens = delta("snmp_ListenDrops"), delta("snmp_PassiveOpens")
-    bits = (delta("nic_rx_bytes") + delta("nic_tx_bytes")).cast("double") * 8
-    made = {
-        "RTT_ms_mean": ratio("tcp_rtt_sum", "tcp_rtt_count"),
-        "packet_loss_rate_pct": rate(ratio(delta("ebpf_retrans_count"), delta("ebpf_tx_attempts"), 100)),
+    drops, opens = grown("snmp_ListenDrops"), grown("snmp_PassiveOpens")
+    bits = (grown("nic_rx_bytes") + grown("nic_tx_bytes")) * 8.0
+    per_second = lambda counter: rate(grown(counter) * 1.0 / seconds)
+    return {
+        "RTT_ms_mean": ratio(now("tcp_rtt_sum"), now("tcp_rtt_count"), 1),
+        "packet_loss_rate_pct": rate(ratio(grown("ebpf_retrans_count"), grown("ebpf_tx_attempts"), 100)),
         "retrans_segs_per_sec": per_second("ebpf_retrans_count"),
         "conn_fail_rate_server": rate(ratio(drops, drops + opens, 100)),
         "listen_drops_per_sec": per_second("snmp_ListenDrops"),
-        "Recv_Q_Bytes_max": F.col("tcp_recv_q_max"),
-        "Send_Q_Bytes_max": F.col("tcp_send_q_max"),
-        "run_queue_len_cpu0": F.col("sched_run_queue"),
-        "cwnd_min": F.col("tcp_cwnd_min"),
-        "ssthresh_min": F.col("tcp_ssthresh_min"),
-        "nic_usage_pct": rate(bits / (F.lit(float(link_bps)) * seconds) * 100),
+        "Recv_Q_Bytes_max": now("tcp_recv_q_max"),
+        "Send_Q_Bytes_max": now("tcp_send_q_max"),
+        "run_queue_len_cpu0": now("sched_run_queue"),
+        "cwnd_min": now("tcp_cwnd_min"),
+        "ssthresh_min": now("tcp_ssthresh_min"),
+        "nic_usage_pct": rate(bits / (seconds * float(link_bps)) * 100),
         "total_packets_per_sec": per_second("ebpf_packet_count"),
-        "used_MB": F.col("mem_total_mb") - F.col("mem_avail_mb"),
-        "available_MB": F.col("mem_avail_mb"),
+        "used_MB": now("mem_total_mb") - now("mem_avail_mb"),
+        "available_MB": now("mem_avail_mb"),
         "total_mem_events_per_sec": per_second("ebpf_mem_events"),
         "cpu_throttle_per_sec": per_second("cpu_nr_throttled"),
         "softirq_net_rx_per_sec": per_second("softirq_net_rx"),
         "softirq_net_tx_per_sec": per_second("softirq_net_tx"),
-        "iostat_r_await": rate(ratio(delta("disk_read_time_ms"), delta("disk_read_ios"))),
-        "iostat_aqu_sz": rate(delta("disk_io_weighted_ms").cast("double") / (seconds * 1000)),
+        "iostat_r_await": rate(ratio(grown("disk_read_time_ms"), grown("disk_read_ios"), 1)),
+        "iostat_aqu_sz": rate(grown("disk_io_weighted_ms") * 1.0 / (seconds * 1000)),
     }
+
+
+def rate_columns(delta, seconds: Column, first: Column, link_bps: float) -> dict[str, Column]:
+    """features_of as columns; `first` tells the first snapshot of a host."""
+    rate = lambda expression: F.when(first, F.lit(0.0)).otherwise(expression)
+    made = features_of(F.col, delta, seconds, link_bps, ratio, rate)
     return {name: made[name].cast("double") for name in FEATURES}
 
 

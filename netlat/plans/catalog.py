@@ -28,6 +28,7 @@ from netlat.plans.standins import (
     hourly,
     hourly_by_type,
     log_lines,
+    order_files,
     profile,
     table,
 )
@@ -902,25 +903,105 @@ def gbt_importance(spark, sf):
 # ---- streams ---------------------------------------------------------------------
 
 
-def _event_stream(spark, sf):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return as_snapshots(files.parquet(sf))
+#: Files that a stream of events is read from, one in each micro-batch.
+SLICES, FEW_SLICES = 20, 8
+#: The host that closes a stream: its file comes so late that all others are silent.
+END_HOST = -1
+HOUR_US = 3_600_000_000
+
+
+def _moved(shift: str, slices: int) -> str:
+    """The slice of each event by its time and a shift in seconds, for either side."""
+    return f"floor((sec + {shift} - lo) * {slices} / (hi - lo + 1))"
+
+
+def _slices_sql(shift: str, slices: int) -> str:
+    return f"""t AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) // 1000000 AS sec FROM events),
+  e AS (SELECT t.*, CAST({_moved(shift, slices)} AS BIGINT) AS slice FROM t, (SELECT min(sec + {shift}) AS lo, max(sec + {shift}) AS hi FROM t))"""
+
+
+def _event_stream(spark, sf, shift: str = "0", slices: int = FEW_SLICES):
+    """Snapshots of the events from files by time, each event in the file of its time
+    plus a shift; a minute lies between the files, two days before the one that ends
+    the stream."""
+    rows = events(spark, sf).drop("hour").withColumn("sec", F.unix_seconds("ts"))
+    ends = rows.agg(F.min(F.expr(f"sec + {shift}")).alias("lo"), F.max(F.expr(f"sec + {shift}")).alias("hi"))
+    end = rows.limit(1).withColumns({"user_id": F.lit(END_HOST).cast("bigint"), "slice": F.lit(slices).cast("bigint")})
+    cut = rows.join(ends).withColumn("slice", F.expr(_moved(shift, slices)).cast("bigint")).drop("lo", "hi")
+    folder = scratch_path(spark, "event-slices")
+    cut.unionByName(end).drop("sec").repartition("slice").write.partitionBy("slice").parquet(folder)
+    order_files(spark, folder, lambda name: 60 * int(name.split("=")[1]) + (2 * 86400 if name.endswith(f"={slices}") else 0))
+    files = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return as_snapshots(files.select("*", live.arrived()), "arrived")
 
 
 def _run(spark, stream, name):
     out = scratch_path(spark, name)
     live.start_predictions(stream, out, f"{out}-state", available_now=True).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).where(F.col("host") != str(END_HOST))
 
 
+# Events come up to an hour late, and those by an hour are still in order.
 @query(_rates_sql())
 def stream_rates(spark, sf):
-    features = live.stream_features(_event_stream(spark, sf), steps=2)
+    shuffled = _event_stream(spark, sf, "event_id % 7 * 600", SLICES)
+    features = live.stream_features(shuffled, steps=2, late="1 hour", silent="1 day")
     return _rounded_rates(_run(spark, features.drop("features", "dropped"), "rates"))
 
 
+#: Some events come five days too late, more than rows wait for.
+LATE_SHIFT = "CASE WHEN event_id % 97 = 0 THEN 432000 ELSE event_id % 7 * 600 END"
+_LATE_SQL = f"""WITH {_slices_sql(LATE_SHIFT, FEW_SLICES)},
+  b AS (SELECT *, max(us) OVER (PARTITION BY user_id ORDER BY slice RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {HOUR_US} AS upto FROM e),
+  o AS (SELECT r.event_id, max(s.us) AS gone FROM b r JOIN e s ON s.user_id = r.user_id AND s.slice < r.slice AND s.us <= r.upto GROUP BY 1),
+  late AS (SELECT b.* FROM b JOIN o USING (event_id) WHERE us < gone),
+  seen AS (SELECT * FROM e WHERE event_id NOT IN (SELECT event_id FROM late))"""
+
+
+def _late_tables(spark, sf, limit):
+    """Predictions, alerts and late rows of the events, written as by the live job; the
+    last round trip stands for the prediction."""
+
+    def split(rows):
+        made = rows.where("late IS NULL").select("host", "time", F.col("RTT_ms_mean").alias("prediction"))
+        made = made.where(F.col("host") != str(END_HOST))
+        return {"predictions": made, "alerts": vw.alerts(made, limit), "late": rows.where("late IS NOT NULL").select("late.*")}
+
+    features = live.stream_features(_event_stream(spark, sf, LATE_SHIFT), steps=2, late="1 hour", silent="1 day", keep_late=True)
+    out = scratch_path(spark, "live-tables")
+    live.start_tables(features, split, out, f"{out}-state", available_now=True).awaitTermination()
+    return out
+
+
+@query(f"""{_LATE_SQL} SELECT CAST(user_id AS VARCHAR) AS host, us AS time, event_id AS snmp_ActiveOpens, value AS tcp_rtt_sum FROM late""")
+def stream_late(spark, sf):
+    rows = spark.read.parquet(f"{_late_tables(spark, sf, 30.0)}/late")
+    return rows.select("host", F.unix_micros("timestamp").alias("time"), "snmp_ActiveOpens", "tcp_rtt_sum")
+
+
+@query(f"""{_LATE_SQL} SELECT CAST(user_id AS VARCHAR) AS host, us AS time, round(value / (event_id % 3), 6) AS prediction
+FROM seen WHERE event_id % 3 > 0 AND value / (event_id % 3) > 30""")
+def stream_alerts(spark, sf):
+    rows = spark.read.parquet(f"{_late_tables(spark, sf, 30.0)}/alerts")
+    return rows.select("host", F.unix_micros("time").alias("time"), r6("prediction"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS host, " + ", ".join(
+    f"coalesce(arg_max(event_id, ts) FILTER (event_type = '{t}'), 0) AS {t}" for t in EVENT_TYPES
+) + " FROM events GROUP BY 1")
+def stream_counters(spark, sf):
+    folder = scratch_path(spark, "counter-files")
+    rows = events(spark, sf).select(
+        F.col("user_id").cast("string").alias("host"), F.col("event_type").alias("name"), F.unix_micros("ts").alias("seq"), F.col("event_id").alias("value")
+    )
+    # A counter's values are spread over all files, so its newest comes in any of them.
+    rows.withColumn("file", F.pmod(F.xxhash64("value"), F.lit(FEW_SLICES))).repartition("file").write.partitionBy("file").parquet(folder)
+    files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    changes, out = live.stream_counters(files.select(*rows.columns)), scratch_path(spark, "counters")
+    live.start_counters(changes, out, f"{out}-state", available_now=True).awaitTermination()
+    return live.latest_counters(spark, out, changes.schema, EVENT_TYPES)
+
+
 @query()
 def stream_score(spark, sf):
     steps = 6

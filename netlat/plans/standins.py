@@ -4,6 +4,9 @@ Every table made here holds all rows of its source. An event type stands for a
 run, a user for a host, an hour for a second.
 """
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +56,7 @@ def profile(spark, sf_dir) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("traffic"))
 
 
-def as_snapshots(df: DataFrame) -> DataFrame:
+def as_snapshots(df: DataFrame, *more: str) -> DataFrame:
     """Events as counter snapshots of one host per user. The counters grow with
     the event id; the retransmits start again now and then."""
     grows = {c: F.col("event_id") * (i + 1) for i, c in enumerate(COUNTERS)}
@@ -71,9 +74,22 @@ def as_snapshots(df: DataFrame) -> DataFrame:
         (F.col("event_id") % 10).alias("tcp_cwnd_min"),
         (F.col("event_id") % 7).alias("tcp_ssthresh_min"),
         *[e.alias(c) for c, e in grows.items()],
+        *more,
     )
 
 
+def order_files(spark: SparkSession, folder: str, seconds: Callable[[str], int]) -> None:
+    """Set the times of a partitioned table's files by the names of their folders, so that
+    a stream reads them in that order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    start = int(time.time()) * 1000
+    for part in fs.listStatus(path):
+        if "=" in part.getPath().getName():
+            for file in fs.listStatus(part.getPath()):
+                fs.setTimes(file.getPath(), start + 1000 * seconds(part.getPath().getName()), -1)
+
+
 def log_lines(df: DataFrame, file: str, values: list, header: str) -> DataFrame:
     """A text log per event type: a header for each hour, then the lines made of
     its events. Half an hour makes a block, so headers carry over blocks.

@@ -4,149 +4,212 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Model
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from netlat.operators.align import merge_counters
 from netlat.operators.model import score_window
+from netlat.operators.rates import features_of
+from netlat.operators.series import names
 from netlat.operators.views import alerts
 from netlat.schemas import COUNTERS, FEATURES, GAUGES, LEVELS, SNAPSHOT_SCHEMA
 
 #: Windows made at a time.
 SLICE = 5_000
 
+_WHOLE = [*LEVELS, *COUNTERS]
 _OUTPUT = T.StructType(
     [T.StructField("host", T.StringType()), T.StructField("time", T.TimestampType())]
     + [T.StructField(c, T.DoubleType()) for c in FEATURES]
     + [T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("dropped", T.LongType())]
+    + [T.StructField("late", SNAPSHOT_SCHEMA)]
 )
-# Last time and counters, the flat feature rows still in reach, and how many rows
-# came too late.
+# Of a host: the time up to which rows are out and the latest time seen, the counters
+# of the last row out, the flat feature rows still in reach, how many rows came too
+# late, and the rows that wait for earlier ones: times, gauges, whole numbers, flat.
 _STATE = T.StructType(
     [
-        T.StructField("time_us", T.LongType()),
+        T.StructField("out_us", T.LongType()),
+        T.StructField("seen_us", T.LongType()),
         T.StructField("counters", T.ArrayType(T.LongType())),
         T.StructField("recent", T.ArrayType(T.DoubleType())),
         T.StructField("dropped", T.LongType()),
+        T.StructField("waiting_us", T.ArrayType(T.LongType())),
+        T.StructField("waiting_gauges", T.ArrayType(T.DoubleType())),
+        T.StructField("waiting_whole", T.ArrayType(T.LongType())),
     ]
 )
 
 
+def arrived() -> Column:
+    """When the file of a row was last changed."""
+    return F.col("_metadata.file_modification_time").alias("arrived")
+
+
 def snapshot_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Snapshots from JSON files. The file limit bounds what one host can bring
-    into one batch."""
+    """Snapshots from JSON files, with the time at which each `arrived`. The file limit
+    bounds what one host can bring into one batch."""
     reader = spark.readStream.schema(SNAPSHOT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    return reader.json(path).select("*", arrived())
 
 
-def _rates(rows: dict, growth: dict, seconds: np.ndarray, first: np.ndarray, link_bps: float) -> np.ndarray:
-    """Feature matrix of sorted snapshots; the batch form is rates.rate_columns."""
+def _rates(gauges: np.ndarray, whole: np.ndarray, before: np.ndarray, seconds: np.ndarray, first: np.ndarray, link_bps: float, clip: bool) -> np.ndarray:
+    """Feature matrix of sorted snapshots, by the formulas of the batch form."""
+    growth = np.diff(whole[:, len(LEVELS) :], axis=0, prepend=before[None, :])
+    growth = np.maximum(growth, 0) if clip else growth
+    now = {c: gauges[:, k] for k, c in enumerate(GAUGES)} | {c: whole[:, k] for k, c in enumerate(_WHOLE)}
+    grown = {c: growth[:, k] for k, c in enumerate(COUNTERS)}
 
-    def ratio(n, d, scale=1.0):
+    def ratio(n, d, scale):
         n, d = np.asarray(n, float), np.asarray(d, float)
         return np.divide(n * scale, d, out=np.zeros_like(n), where=d > 0)
 
-    def rate(x):
-        return np.where(first, 0.0, x)
-
-    def per_second(c):
-        return rate(growth[c] / seconds)
-
-    drops, opens = growth["snmp_ListenDrops"], growth["snmp_PassiveOpens"]
-    made = {
-        "RTT_ms_mean": ratio(rows["tcp_rtt_sum"], rows["tcp_rtt_count"]),
-        "packet_loss_rate_pct": rate(ratio(growth["ebpf_retrans_count"], growth["ebpf_tx_attempts"], 100)),
-        "retrans_segs_per_sec": per_second("ebpf_retrans_count"),
-        "conn_fail_rate_server": rate(ratio(drops, drops + opens, 100)),
-        "listen_drops_per_sec": per_second("snmp_ListenDrops"),
-        "Recv_Q_Bytes_max": rows["tcp_recv_q_max"],
-        "Send_Q_Bytes_max": rows["tcp_send_q_max"],
-        "run_queue_len_cpu0": rows["sched_run_queue"],
-        "cwnd_min": rows["tcp_cwnd_min"],
-        "ssthresh_min": rows["tcp_ssthresh_min"],
-        "nic_usage_pct": rate((growth["nic_rx_bytes"] + growth["nic_tx_bytes"]) * 8 / (link_bps * seconds) * 100),
-        "total_packets_per_sec": per_second("ebpf_packet_count"),
-        "used_MB": rows["mem_total_mb"] - rows["mem_avail_mb"],
-        "available_MB": rows["mem_avail_mb"],
-        "total_mem_events_per_sec": per_second("ebpf_mem_events"),
-        "cpu_throttle_per_sec": per_second("cpu_nr_throttled"),
-        "softirq_net_rx_per_sec": per_second("softirq_net_rx"),
-        "softirq_net_tx_per_sec": per_second("softirq_net_tx"),
-        "iostat_r_await": rate(ratio(growth["disk_read_time_ms"], growth["disk_read_ios"])),
-        "iostat_aqu_sz": rate(growth["disk_io_weighted_ms"] / (seconds * 1000)),
-    }
+    made = features_of(now.get, grown.get, seconds, link_bps, ratio, lambda x: np.where(first, 0.0, x))
     return np.column_stack([np.asarray(made[c], dtype=float) for c in FEATURES])
 
 
-def stream_features(snapshots: DataFrame, steps: int = 60, link_bps: float = 1e9, clip: bool = True) -> DataFrame:
+def _microseconds(span: str) -> int:
+    return int(pd.Timedelta(span) / pd.Timedelta("1us"))
+
+
+def stream_features(
+    snapshots: DataFrame, steps: int = 60, link_bps: float = 1e9, clip: bool = True, late: str = "0 seconds", silent: str = "1 hour",
+    keep_late: bool = False,
+) -> DataFrame:
     """Feature row and sliding window of each snapshot, kept per host.
 
-    Spark lacks a row window over streams, so this is a stateful function. Its
-    state is the last snapshot's counters and at most steps - 1 feature rows. The
-    first row of a host fills the front of its first windows. Equal times count as
-    one second; rows older than the state are dropped and counted in `dropped`.
+    Spark lacks a row window over streams, so this is a stateful function. A row waits
+    until its host has sent one that is `late` newer, so rows that come out of order
+    by no more than that go out in order; with "0 seconds" rows go out at once, and
+    only those of one micro-batch are put in order. A row older than the last one that
+    went out comes too late and is dropped; `dropped` counts them, and with `keep_late`
+    they come as they were in the column `late`, without features. The first row of a host fills the front of its first
+    windows. Equal times count as one second, missing numbers as 0.
+
+    The state is the last row's counters, at most steps - 1 feature rows and the rows
+    that wait. A host from which nothing has arrived while others sent for as long as
+    `silent` gives its waiting rows and is forgotten; if it comes back it is new. Time
+    for this is the column `arrived` if there is one, else that of the batch: no
+    host's own clock, so no host can make another's rows late. Files more than
+    `silent` older than the newest are left out by Spark, which counts their rows.
     """
-    width = len(FEATURES)
+    width, hold = len(FEATURES), _microseconds(late)
+    clocked = snapshots if "arrived" in snapshots.columns else snapshots.withColumn("arrived", F.current_timestamp())
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches), ignore_index=True).sort_values("timestamp", kind="stable", ignore_index=True)
-        micros = frame["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
-        late = np.zeros(len(micros), bool)
-        if state.exists:
-            time_us, counters, recent, dropped = state.get
-            recent = np.asarray(recent, float).reshape(-1, width)
-            late |= micros < time_us
+        out_us, seen_us, counters, recent, dropped, us, gauges, whole = state.get if state.exists else (None, None, None, None, 0, [], [], [])
+        times, numbers, counts = [np.asarray(us, np.int64)], [np.asarray(gauges, float).reshape(-1, len(GAUGES))], [np.asarray(whole, np.int64).reshape(-1, len(_WHOLE))]
+        if state.hasTimedOut:
+            state.remove()
+            limit = seen_us
         else:
-            time_us, counters, recent, dropped = None, None, None, 0
-        dropped = int(dropped) + int(late.sum())
-        times, micros = frame["timestamp"][~late].reset_index(drop=True), micros[~late]
-        rows = {c: frame[c].to_numpy()[~late] for c in [*GAUGES, *LEVELS, *COUNTERS]}
-        if not len(micros):
-            state.update((time_us, list(counters), recent.ravel().tolist(), dropped))
-            return
-        first = np.zeros(len(micros), bool)
-        first[0] = counters is None
-        before = [rows[c][0] for c in COUNTERS] if counters is None else counters
-        growth = {c: np.diff(rows[c], prepend=b) for c, b in zip(COUNTERS, before)}
-        if clip:
-            growth = {c: np.maximum(g, 0) for c, g in growth.items()}
-        seconds = np.diff(micros, prepend=micros[0] - 1_000_000 if time_us is None else time_us) / 1e6
-        seconds[seconds == 0] = 1.0
-        made = _rates(rows, growth, seconds, first, link_bps)
-        if recent is None:
-            recent = np.repeat(made[:1], steps - 1, axis=0)
-        history = np.vstack([recent, made])
-        keep = history[len(history) - (steps - 1) :]
-        latest = [int(rows[c][-1]) for c in COUNTERS]
-        state.update((int(micros[-1]), latest, keep.ravel().tolist(), dropped))
+            # Only numbers are gathered; a batch of the host is let go once read.
+            came = 0
+            for frame in batches:
+                micros = frame["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+                came = max(came, int(frame["arrived"].astype("datetime64[ms]").astype("int64").max()))
+                behind = micros < out_us if out_us is not None else np.zeros(len(micros), bool)
+                if behind.any():
+                    dropped += int(behind.sum())
+                    if keep_late:
+                        yield _late(frame[behind], dropped)
+                times.append(micros[~behind])
+                numbers.append(frame[GAUGES].fillna(0).to_numpy(float)[~behind])
+                counts.append(frame[_WHOLE].fillna(0).to_numpy(np.int64)[~behind])
+            seen_us = max([int(t.max()) for t in times if len(t)] + ([seen_us] if seen_us is not None else []), default=None)
+            limit = None if seen_us is None else seen_us - hold
+        us, gauges, whole = np.concatenate(times), np.concatenate(numbers), np.concatenate(counts)
+        order = np.argsort(us, kind="stable")
+        go = order[: np.searchsorted(us[order], limit, "right")] if limit is not None else order[:0]
+        stay = order[len(go) :]
+        recent = None if recent is None else np.asarray(recent, float).reshape(-1, width)
+        made = np.zeros((0, width))
+        if len(go):
+            first = np.zeros(len(go), bool)
+            first[0] = counters is None
+            before = whole[go[0], len(LEVELS) :] if counters is None else np.asarray(counters, np.int64)
+            seconds = np.diff(us[go], prepend=us[go[0]] - 1_000_000 if out_us is None else out_us) / 1e6
+            seconds[seconds == 0] = 1.0
+            made = _rates(gauges[go], whole[go], before, seconds, first, link_bps, clip)
+            if recent is None:
+                recent = np.repeat(made[:1], steps - 1, axis=0)
+            out_us, counters = int(us[go[-1]]), whole[go[-1], len(LEVELS) :].tolist()
+        history = made if recent is None else np.vstack([recent, made])
+        if not state.hasTimedOut:
+            keep = None if recent is None else history[len(history) - (steps - 1) :].ravel().tolist()
+            state.update((out_us, seen_us, counters, keep, dropped, us[stay].tolist(), gauges[stay].ravel().tolist(), whole[stay].ravel().tolist()))
+            state.setTimeoutTimestamp(max(came, state.getCurrentWatermarkMs()) + 1)
         # A window is steps rows wide, so only some are held at a time.
         for at in range(0, len(made), SLICE):
             out = pd.DataFrame(made[at : at + SLICE], columns=FEATURES)
             out.insert(0, "host", key[0])
-            out.insert(1, "time", times[at : at + SLICE].to_numpy())
+            out.insert(1, "time", us[go[at : at + SLICE]].astype("datetime64[us]"))
             out["features"] = [history[i : i + steps].ravel() for i in range(at, at + len(out))]
             out["dropped"] = dropped
+            if keep_late:
+                out["late"] = None
             yield out
 
-    return snapshots.groupBy("host").applyInPandasWithState(
-        update, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout
+    return clocked.withWatermark("arrived", silent).groupBy("host").applyInPandasWithState(
+        update, _OUTPUT if keep_late else T.StructType(_OUTPUT.fields[:-1]), _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def _late(frame: pd.DataFrame, dropped: int) -> pd.DataFrame:
+    rows = frame[SNAPSHOT_SCHEMA.names]
+    out = pd.DataFrame({"host": rows["host"].to_numpy(), "time": rows["timestamp"].to_numpy()})
+    out = out.assign(**dict.fromkeys(FEATURES, np.nan), features=None, dropped=dropped)
+    out["late"] = [{k: None if v is None or v is pd.NaT or v != v else v for k, v in r.items()} for r in rows.to_dict("records")]
+    return out
+
+
 def stream_score(features: DataFrame, model: Model, mm: DataFrame) -> DataFrame:
     """Prediction for each window: host, time, actual, prediction."""
-    scored = score_window(features, model, mm)
+    scored = score_window(features.where("late IS NULL") if "late" in features.columns else features, model, mm)
     return scored.select("host", "time", F.col("RTT_ms_mean").alias("actual"), "prediction")
 
 
+def _trigger(writer: DataStreamWriter, available_now: bool) -> DataStreamWriter:
+    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")
+
+
 def start_predictions(df: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Append a stream to a parquet table."""
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")
-    return writer.start(path)
+    return _trigger(writer, available_now).start(path)
+
+
+def write_batch(tables: dict[str, DataFrame], out: str, batch: int) -> None:
+    """The rows of one micro-batch, each table in a folder of the batch's number below
+    its own. A batch that runs again replaces its folders, so it adds no row."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
+
+
+def start_tables(df: DataFrame, split, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Write a stream as several tables at once. `split` makes them, by name, of the rows
+    of a micro-batch, which are worked out once for all of them."""
+
+    def each(rows: DataFrame, batch: int) -> None:
+        rows.persist(StorageLevel.DISK_ONLY)
+        try:
+            write_batch(split(rows), out, batch)
+        finally:
+            rows.unpersist()
+
+    writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
+    return _trigger(writer, available_now).start()
+
+
+def live_tables(features: DataFrame, model: Model, mm: DataFrame, threshold: float = 800.0) -> dict[str, DataFrame]:
+    """Of the rows of a batch: predictions, alerts, and the snapshots that came too late."""
+    scored = stream_score(features, model, mm)
+    return {"predictions": scored, "alerts": alerts(scored, threshold), "late": features.where("late IS NOT NULL").select("late.*")}
 
 
 def live_job(
@@ -160,18 +223,37 @@ def live_job(
     steps: int = 60,
     link_bps: float = 1e9,
     available_now: bool = False,
+    late: str = "0 seconds",
+    silent: str = "1 hour",
+    files_per_trigger: int = 1000,
 ) -> list[StreamingQuery]:
-    """Score a folder of snapshots; predictions and alerts become two tables."""
-    scored = stream_score(stream_features(snapshot_stream(spark, source), steps, link_bps), model, mm)
-    # The table must be there before a stream can follow it.
-    spark.createDataFrame([], scored.schema).write.mode("append").parquet(f"{out}/predictions")
-    predictions = start_predictions(scored, f"{out}/predictions", f"{checkpoint}/predictions", available_now)
-    # Alerts follow the prediction table, so each window is scored once.
-    made = spark.readStream.schema(scored.schema).parquet(f"{out}/predictions")
-    if available_now:
-        predictions.awaitTermination()
-    warned = start_predictions(alerts(made, threshold), f"{out}/alerts", f"{checkpoint}/alerts", available_now)
-    return [predictions, warned]
+    """Score a folder of snapshots: predictions, alerts and late rows become three tables
+    below `out`, all from one stream. Started again with its checkpoint, it goes on
+    where it ended."""
+    snapshots = snapshot_stream(spark, source, files_per_trigger)
+    features = stream_features(snapshots, steps, link_bps, late=late, silent=silent, keep_late=True)
+    return [start_tables(features, lambda rows: live_tables(rows, model, mm, threshold), out, checkpoint, available_now)]
+
+
+def stream_counters(events: DataFrame, host="host", name: str = "name", seq: str = "seq", value: str = "value") -> DataFrame:
+    """The newest value of each named counter of each host, as it changes (update mode).
+    State is one row a host and counter; of equal sequence numbers the larger value is
+    the newest."""
+    newest = F.max(F.struct(F.col(seq), F.col(value)))
+    return events.groupBy(*names(host), name).agg(newest.alias("_n")).select(*names(host), name, F.col(f"_n.{seq}").alias(seq), F.col(f"_n.{value}").alias(value))
+
+
+def start_counters(changes: DataFrame, out: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Write the changes of stream_counters by batch; latest_counters reads them."""
+    writer = changes.writeStream.foreachBatch(lambda rows, batch: write_batch({"counters": rows}, out, batch))
+    return _trigger(writer.option("checkpointLocation", checkpoint).outputMode("update"), available_now).start()
+
+
+def latest_counters(spark: SparkSession, out: str, schema: T.StructType, counters: list[str] | None = None, host="host", name: str = "name",
+                    seq: str = "seq", value: str = "value") -> DataFrame:
+    """One row per host with the newest value of each counter, from the changes so far."""
+    changes = spark.read.schema(schema).parquet(f"{out}/counters")
+    return merge_counters(changes, host, name, seq, value, counters)
 
 
 def stream_forecasts(predictions: DataFrame, actuals: DataFrame, horizon: str = "10 seconds", late: str = "10 seconds") -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from netlat.operators import align as al
 from netlat.operators import model as md
 from netlat.operators import series as sr
 from netlat.operators.rates import snapshot_rates
@@ -210,3 +211,97 @@ def test_augment_job_and_table_sinks(spark, tmp_path):
     plan = jobs.load_plan(conn)
     assert plan["hours"].first().connections == 100 and plan["closed"].first().close_pct == 100.0
     assert plan["weights"].count() == 1
+
+
+def spread(rows, seconds, files, folder):
+    """Rows in files by their time and a shift of up to so many seconds each way forward."""
+    rng = np.random.default_rng(9)
+    at = lambda r: (dt.datetime.fromisoformat(r["timestamp"]) - START).total_seconds() + rng.uniform(0, seconds)
+    keyed = sorted(((at(r), r) for r in rows), key=lambda k: k[0])
+    for i in range(files):
+        put(folder, f"{i}.json", [r for _, r in keyed[i * len(keyed) // files : (i + 1) * len(keyed) // files]])
+
+
+def test_rows_out_of_order_wait_and_give_the_batch_s_rows(spark, tmp_path):
+    rows = snapshots(n=20)
+    spread(rows, 8, 6, tmp_path / "in")
+    # The last file comes so late that the other hosts are silent: their rows go out.
+    put(tmp_path / "in", "60.json", snapshots(hosts=("end",), n=1))
+    source = live.snapshot_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    stream = live.stream_features(source, steps=4, late="8 seconds", silent="90 seconds", keep_late=True)
+    got = run(stream, tmp_path / "out", tmp_path / "state")
+    assert got.where("late IS NOT NULL").count() == 0
+    batch = snapshot_rates(spark.createDataFrame(rows).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    pd.testing.assert_frame_equal(by_time(got.where("host != 'end'"))[["host", "time", *FEATURES]], by_time(batch)[["host", "time", *FEATURES]])
+
+
+def test_silent_hosts_are_forgotten(spark, tmp_path):
+    rows = snapshots(hosts=("h",), n=8, reset=False)
+    put(tmp_path / "in", "0.json", rows[:4])
+    for i in (1, 2, 3, 4):
+        put(tmp_path / "in", f"{i}.json", snapshots(hosts=("other",), n=3)[: i % 3 + 1])
+    put(tmp_path / "in", "5.json", rows[4:])
+    source = live.snapshot_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    query = live.start_predictions(live.stream_features(source, steps=3, silent="15 seconds"), str(tmp_path / "out"), str(tmp_path / "state"), available_now=True)
+    query.awaitTermination()
+    hosts = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+    assert max(hosts) == 2 and hosts[4] == 1
+    got = by_time(spark.read.parquet(str(tmp_path / "out")).where("host = 'h'"))
+    # Forgotten after its fourth row, the host is new with the fifth.
+    assert len(got) == 8 and got.total_packets_per_sec[4] == 0 and (got.total_packets_per_sec[[1, 2, 3, 5, 6, 7]] > 0).all()
+
+
+def test_late_rows_come_as_they_were(spark, tmp_path):
+    rows = snapshots(hosts=("h",), n=20)
+    put(tmp_path / "in", "0.json", rows[:3] + rows[4:10])
+    put(tmp_path / "in", "1.json", rows[10:])
+    put(tmp_path / "in", "2.json", [rows[3]])
+    source = live.snapshot_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    got = run(live.stream_features(source, steps=3, late="3 seconds", keep_late=True), tmp_path / "out", tmp_path / "state")
+    late = got.where("late IS NOT NULL").select("late.*").collect()
+    assert [r.asDict() for r in late] == [{**rows[3], "timestamp": dt.datetime.fromisoformat(rows[3]["timestamp"])}]
+    assert got.where("late IS NULL").agg(F.max("dropped")).first()[0] == 0
+
+
+def test_live_job_goes_on_after_a_stop_and_repeats_no_row(spark, tmp_path):
+    rows = snapshots(n=24)
+    at = lambda r: (dt.datetime.fromisoformat(r["timestamp"]) - START).total_seconds()
+    put(tmp_path / "in", "0.json", [r for r in rows if at(r) < 18])
+    batch = snapshot_rates(spark.createDataFrame(rows).withColumn("timestamp", F.col("timestamp").cast("timestamp")))
+    data, mm = jobs.training_set(batch, run="host", steps=3, horizon=2)
+    model = md.fit_gbt(data.where("split = 'train'"), maxIter=2, maxDepth=2)
+    md.save_model(model, str(tmp_path / "model"))
+
+    def go():
+        for q in live.live_job(spark, str(tmp_path / "in"), md.load_model(spark, str(tmp_path / "model")), mm, str(tmp_path / "out"), str(tmp_path / "state"), threshold=20.0, steps=3, available_now=True):
+            q.awaitTermination()
+
+    go()
+    put(tmp_path / "in", "1.json", [r for r in rows if at(r) >= 18] + [rows[2]])
+    go()
+    made = spark.read.parquet(str(tmp_path / "out" / "predictions"))
+    windows = sr.sequences(batch, FEATURES, "host", "time", 3, pad=True)
+    want = by_time(md.score_window(windows, model, mm).select("host", "time", "prediction"))
+    assert len(want) == 48
+    np.testing.assert_allclose(by_time(made).prediction, want.prediction)
+    assert spark.read.parquet(str(tmp_path / "out" / "late")).count() == 1
+    # A batch that is written again replaces what it wrote.
+    part = made.where("batch = 0").drop("batch")
+    stored = spark.createDataFrame(part.collect(), part.schema)
+    live.write_batch({"predictions": stored}, str(tmp_path / "out"), 0)
+    assert spark.read.parquet(str(tmp_path / "out" / "predictions")).count() == 48
+
+
+def test_stream_of_counters_is_the_batch_pivot(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [{"host": f"h{rng.integers(3)}", "name": f"c{rng.integers(4)}", "seq": k, "value": int(rng.integers(1000))} for k in range(200)]
+    order = rng.permutation(200)
+    for i in range(7):
+        put(tmp_path / "in", f"{i}.json", [rows[k] for k in order[i::7]])
+    schema = "host string, name string, seq long, value long"
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    changes = live.stream_counters(files)
+    live.start_counters(changes, str(tmp_path / "out"), str(tmp_path / "state"), available_now=True).awaitTermination()
+    got = live.latest_counters(spark, str(tmp_path / "out"), changes.schema)
+    want = al.merge_counters(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
