@@ -23,8 +23,8 @@ from netlat.llm.pieces import _SHOWN, Encoder, encoder
 
 #: Fixed value: how byte-level tokenizers of this kind part a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces, and pairs of tokens, that a worker keeps; a full table starts anew.
-KEPT = 300_000
+#: Bytes of pieces, and pairs of tokens, that a worker keeps beside the automaton.
+KEPT, KEPT_PAIRS = 120_000_000, 300_000
 _BYTE_OF = {chr(c): b for b, c in _SHOWN.items()} | {chr(b): b for b in range(256) if b not in _SHOWN}
 
 
@@ -52,11 +52,13 @@ class BacktrackEncoder(Encoder):
 
     def __init__(self, path: str):
         self.tokens, merges, self.added = _read(path)
-        self.kind, self.kept, self.table = "spaced", KEPT, {}
+        self.kind, self.kept = "spaced", KEPT
+        self.clear()
         self.rank = {joined: r for r, (_, _, joined) in enumerate(merges)}
         self.joined = {(a, b): j for a, b, j in merges}
         self.parts = {j: (a, b) for a, b, j in merges}
         self.pairs: dict[int, bool] = {}
+        self.older_pairs: dict[int, bool] = {}
         base = {t: i for i, t in enumerate(self.tokens) if len(t) == 1 and i not in self.added.values()}
         if len(base) < 256:
             raise ValueError("every byte must be a token")
@@ -105,9 +107,11 @@ class BacktrackEncoder(Encoder):
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            known = self._apart(left, right, float("inf"))
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
+            known = self.older_pairs.get(key)
+            if known is None:
+                known = self._apart(left, right, float("inf"))
+            if len(self.pairs) >= KEPT_PAIRS // 2:
+                self.older_pairs, self.pairs = self.pairs, {}
             self.pairs[key] = known
         return known
 

@@ -5,6 +5,11 @@ sequence has tokens: patterns of a few lengths that fill a sequence are enumerat
 non-negative least squares fits how often each is used to the histogram, the counts
 are rounded, and what they leave is packed best fit, longest first, still by
 length. Documents then find their place by their number among those of their length.
+
+The number of patterns is limited (FEW, GRID, HEADS, MOST), not what is packed: lengths
+that no pattern holds go to the best fit. Several plans are made, from all patterns to
+none of them, and the one with the fewest sequences is taken, so a plan is never worse
+than best fit alone.
 """
 
 import zlib
@@ -24,12 +29,18 @@ from netlat.session import scratch_path
 FEW = 6
 #: Lengths that stand for all when patterns of three and more are enumerated.
 GRID = 40
+#: Beginnings of patterns that are carried on at each number of documents, and patterns
+#: that are fitted: with more, every n-th beginning, and of each longest length those
+#: that leave least empty.
+HEADS, MOST = 30_000, 16_000
+#: The fit ends when a step changes the counts by less than this share, or after so many.
+CHANGE, STEPS = 1e-3, 400
 
 #: Weight of what is left empty, against that of the counts.
 EMPTY = 4.0
 
-#: Pieces a worker keeps; other stages run in the same workers later.
-KEPT = 300_000
+#: Bytes of pieces a worker keeps; other stages run in the same workers later.
+KEPT = 120_000_000
 
 _PIECES = "chunk int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
@@ -75,7 +86,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def patterns(counts: np.ndarray, size: int, few: int = FEW, grid: int = GRID, most: int = 16_000) -> np.ndarray:
+def patterns(counts: np.ndarray, size: int, few: int = FEW, grid: int = GRID, most: int = MOST) -> np.ndarray:
     """Rows of up to few lengths, longest first and padded with 0, that fill a
     sequence as well as the lengths there are allow."""
     there = np.flatnonzero(counts)
@@ -104,7 +115,7 @@ def patterns(counts: np.ndarray, size: int, few: int = FEW, grid: int = GRID, mo
         b = np.tile(pool, len(head))
         ok = (a.sum(1) + b <= size) & ((b <= a[:, -1]) | (k == 0))
         grown = np.concatenate([a[ok], b[ok][:, None]], 1)
-        heads.append(grown[:: max(1, len(grown) // 30_000)])
+        heads.append(grown[:: max(1, -(-len(grown) // HEADS))])
     rows = np.unique(-np.sort(-np.concatenate(out), 1), axis=0)
     rows = rows[rows.sum(1) <= size]
     # Of each longest length first the patterns that leave least empty, so that every
@@ -114,7 +125,7 @@ def patterns(counts: np.ndarray, size: int, few: int = FEW, grid: int = GRID, mo
     return rows[np.argsort(nth, kind="stable")][:most]
 
 
-def fit_counts(rows: np.ndarray, counts: np.ndarray, size: int, steps: int = 120) -> np.ndarray:
+def fit_counts(rows: np.ndarray, counts: np.ndarray, size: int, steps: int = STEPS) -> np.ndarray:
     """How often each pattern is used: non-negative least squares against the
     histogram and against nothing left empty, by accelerated projected gradients. Each
     length is weighed by its count, so rare lengths are fitted as well as frequent ones."""
@@ -137,7 +148,10 @@ def fit_counts(rows: np.ndarray, counts: np.ndarray, size: int, steps: int = 120
         new = np.maximum(0, y - back(apply(y) - goal) / (1.05 * norm))
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / after * (new - x)
+        done = np.linalg.norm(new - x) <= CHANGE * np.linalg.norm(new)
         x, t = new, after
+        if done:
+            break
     return x
 
 
@@ -180,11 +194,10 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """Contents of sequences, longest length first, each with how many sequences have
     them; every length is used as often as counts says."""
     left = counts.astype(np.int64).copy()
-    out = []
-    if left[size]:
-        out.append(((size,), int(left[size])))
-        left[size] = 0
+    whole = [((size,), int(left[size]))] if left[size] else []
+    left[size] = 0
     rows = patterns(left, size)
+    made = []
     if len(rows):
         fitted = fit_counts(rows, left, size)
         # A least-squares fit needs no more patterns than there are lengths: halve to
@@ -192,18 +205,26 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
         while len(rows) > np.count_nonzero(left):
             rows = rows[np.sort(np.argsort(-fitted, kind="stable")[: max(len(rows) // 2, np.count_nonzero(left))])]
             fitted = fit_counts(rows, left, size)
-        fitted = np.rint(fitted).astype(np.int64)
-        # What patterns that leave more than a hundredth empty would hold is left to
-        # the best fit.
-        fitted[rows.sum(1) < size - size // 100] = 0
-        for k in np.argsort(-fitted, kind="stable"):
-            if not fitted[k]:
-                break
-            lengths, times = np.unique(rows[k][rows[k] > 0], return_counts=True)
-            n = int(min(fitted[k], (left[lengths] // times).min()))
-            if n:
-                left[lengths] -= n * times
-                out.append((tuple(rows[k][rows[k] > 0].tolist()), n))
+        # What patterns that leave more than a share empty would hold is left to the
+        # best fit; a smaller share takes more patterns back.
+        empty = size - rows.sum(1)
+        for share in (size // 100, size // 400, 0):
+            made.append(_with_patterns(rows, np.where(empty <= share, np.rint(fitted), 0).astype(np.int64), left, size))
+    made.append(_with_patterns(rows[:0], np.zeros(0, np.int64), left, size))
+    return whole + min(made, key=lambda m: sum(n for _, n in m))
+
+
+def _with_patterns(rows: np.ndarray, times: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns as often as wanted and as the lengths allow, and best fit for the rest."""
+    left, out = counts.copy(), []
+    for k in np.argsort(-times, kind="stable"):
+        if not times[k]:
+            break
+        lengths, each = np.unique(rows[k][rows[k] > 0], return_counts=True)
+        n = int(min(times[k], (left[lengths] // each).min()))
+        if n:
+            left[lengths] -= n * each
+            out.append((tuple(rows[k][rows[k] > 0].tolist()), n))
     return out + [(tuple(sorted(held, reverse=True)), n) for held, n in best_fit(left, size)]
 
 

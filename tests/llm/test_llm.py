@@ -68,6 +68,25 @@ def test_pieces_are_the_library_s_ids(path, sf, spark):
         assert coder.one(t or "") == packed(ids_of(library, t or "")), repr(t)
 
 
+@pytest.mark.parametrize("make", [pieces.Encoder, bpe.BacktrackEncoder])
+def test_words_that_end_with_signs(make):
+    library, coder = Tokenizer.from_file(BYTES), make(BYTES)
+    rng = np.random.default_rng(8)
+    signs = list("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'")
+    for _ in range(3000):
+        parts = [str(rng.choice(["the", "été", "Haus", "x", "<|endoftext|>", "we", ""])) + "".join(rng.choice(signs, rng.integers(0, 5))) for _ in range(rng.integers(1, 6))]
+        t = str(rng.choice([" ", "\n", "  "])).join(parts)
+        assert coder.one(t) == packed(ids_of(library, t)), repr(t)
+
+
+def test_old_pieces_are_dropped_and_frequent_ones_stay():
+    coder = pieces.Encoder(WORDS, kept=100_000)
+    for k in range(3000):
+        coder.one(f"often rare{'abcdefghij'[k % 10]}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}x")
+    assert len(coder.table) + len(coder.older) <= 100_000 // pieces.SPENT
+    assert "often" in coder.table or "often" in coder.older
+
+
 # ---- 1 quality classifier --------------------------------------------------------
 
 
@@ -213,6 +232,15 @@ def test_plan_uses_every_length_and_few_sequences(seed):
     assert least <= sum(n for _, n in made) <= max(best, math.ceil(1.01 * least))
 
 
+@pytest.mark.parametrize("peaks", [((2100, 2601), (1300, 1901)), ((1100, 1701),), ((2040, 2056),), ((1, 4097),)])
+def test_plan_is_never_above_best_fit(peaks):
+    rng = np.random.default_rng(5)
+    counts = np.bincount(np.concatenate([rng.integers(*p, 4000) for p in peaks]), minlength=4097)
+    made = packing.plan(counts, 4096)
+    assert (sum(n * np.bincount(held, minlength=4097) for held, n in made) == counts).all()
+    assert sum(n for _, n in made) <= sum(n for _, n in packing.best_fit(counts, 4096))
+
+
 def test_patterns_carry_most_of_a_large_histogram():
     counts = np.bincount(np.clip(np.random.default_rng(1).lognormal(4, 1, 200_000).astype(int), 1, 255), minlength=257)
     made = packing.plan(counts, 256)
@@ -573,6 +601,22 @@ def test_content_groups(spark, odd, empty, keep):
     assert exact.content_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 2, 3, 50])
+def test_groups_over_batches(spark, rows):
+    rng = np.random.default_rng(rows)
+    many = [(k, str(rng.choice(["hot", "cold", f"t{k}", None]))) for k in range(200)]
+    docs = spark.createDataFrame(many, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact.content_groups(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for i, t in many:
+        own = [k for k, u in many if u == t]
+        assert got[i] == (min(own), len(own), i == min(own))
+
+
 def test_group_over_many_ranges(spark):
     many = [(k, "hot text" if k % 3 else f"text {k}") for k in range(3000)]
     docs = spark.createDataFrame(many, "doc_id long, text string").repartition(8)
