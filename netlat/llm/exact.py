@@ -27,58 +27,57 @@ _RUNS = "id long, keep_id long, group_size long, kept boolean, text_sha256 strin
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a sorted range with the group they stand in. edge: 1 for the range's
-    first group, 2 for its last, else 0."""
+    first group, 2 for its last, else 0. Of a group that goes on only the identifiers
+    are held, in the slices they came in, and go out slice by slice when it ends."""
     at = TaskContext.get().partitionId()
-    last_text, open_text, open_ids, open_hash, first = None, None, [], None, True
+    first, text, digest, held = True, None, None, []
 
-    def shown(ids: pa.Array, hashes: pa.Array, starts: np.ndarray, edges: np.ndarray, texts: list) -> pa.RecordBatch:
-        sizes = np.diff(np.append(starts, len(ids)))
+    def shown(ids: pa.Array, keep: pa.Array, sizes: np.ndarray, begins: np.ndarray, hashes: pa.Array, edge: int, edge_text: str | None = None) -> pa.RecordBatch:
         kept = np.zeros(len(ids), bool)
-        kept[starts] = True
-        edge_text = np.full(len(ids), None, object)
-        edge_text[starts] = texts
-        keep = ids.take(pa.array(np.repeat(starts, sizes)))
-        return pa.RecordBatch.from_arrays(
-            [
-                ids,
-                keep,
-                pa.array(np.repeat(sizes, sizes), pa.int64()),
-                pa.array(kept),
-                hashes,
-                pa.array(np.full(len(ids), at), pa.int32()),
-                pa.array(np.repeat(edges, sizes), pa.int32()),
-                pa.array(edge_text, pa.string()),
-            ],
-            names=["id", "keep_id", "group_size", "kept", "text_sha256", "range", "edge", "edge_text"],
-        )
+        kept[begins] = True
+        said = np.full(len(ids), None, object)
+        said[begins] = edge_text
+        columns = [ids, keep, pa.array(sizes, pa.int64()), pa.array(kept), hashes, pa.array(np.full(len(ids), at), pa.int32())]
+        columns += [pa.array(np.full(len(ids), edge), pa.int32()), pa.array(said, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "keep_id", "group_size", "kept", "text_sha256", "range", "edge", "edge_text"])
+
+    def ended(edge: int) -> Iterator[pa.RecordBatch]:
+        size, keep = sum(map(len, held)), held[0][:1]
+        for k, ids in enumerate(held):
+            same = lambda one: one.take(pa.array(np.zeros(len(ids), np.int64)))
+            begins = np.zeros(0 if k else 1, np.int64)
+            yield shown(ids, same(keep), np.full(len(ids), size), begins, same(pa.array([digest], pa.string())), edge, text if edge else None)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         ids, hashes, texts = batch.column("id"), batch.column("text_sha256"), batch.column("text")
-        same = np.zeros(batch.num_rows, bool)
-        same[1:] = pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False)
-        same[0] = last_text is not None and texts[0].as_py() == last_text
-        carried = sum(map(len, open_ids))
-        starts = np.flatnonzero(~same) + carried
-        if carried:
-            starts = np.append(0, starts)
-        all_ids = pa.concat_arrays([*open_ids, ids])
-        all_hashes = pa.concat_arrays([pa.array([open_hash] * carried, pa.string()), hashes])
-        done, begin = len(starts) - 1, int(starts[-1])
-        if done:
-            edges = np.zeros(done, int)
-            edges[0] = int(first)
-            said = [None] * done
-            if first:
-                said[0] = texts[0].as_py() if not carried else open_text
-            yield shown(all_ids.slice(0, begin), all_hashes.slice(0, begin), starts[:-1], edges, said)
+        other = np.ones(batch.num_rows, bool)
+        other[1:] = pc.not_equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False)
+        other[0] = not held or texts[0].as_py() != text
+        starts = np.flatnonzero(other)
+        begin = int(starts[0]) if len(starts) else batch.num_rows
+        if begin:
+            held.append(ids.slice(0, begin))
+        if not len(starts):
+            continue
+        if held:
+            yield from ended(int(first))
+            first = False
+        last = int(starts[-1])
+        if first and last > begin:
+            # The range's first group begins and ends in this batch.
+            held, text, digest, begin = [ids.slice(0, int(starts[1]))], texts[0].as_py(), hashes[0].as_py(), int(starts[1])
+            yield from ended(1)
             first = False
-        open_ids, open_hash = [all_ids.slice(begin)], all_hashes[begin].as_py()
-        last_text = open_text = texts[len(texts) - 1].as_py()
-    if open_ids:
-        ids = open_ids[0]
-        yield shown(ids, pa.array([open_hash] * len(ids), pa.string()), np.array([0]), np.array([1 if first else 2]), [last_text])
+        if last > begin:
+            inner = starts[(starts >= begin) & (starts < last)] - begin
+            sizes = np.diff(np.append(inner, last - begin))
+            keep = ids.slice(begin, last - begin).take(pa.array(np.repeat(inner, sizes)))
+            yield shown(ids.slice(begin, last - begin), keep, np.repeat(sizes, sizes), inner, hashes.slice(begin, last - begin), 0)
+        held, text, digest = [ids.slice(last)], texts[last].as_py(), hashes[last].as_py()
+    if held:
+        yield from ended(1 if first else 2)
 
 
 def content_groups(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, keep: str = "smallest") -> DataFrame:
