@@ -904,7 +904,7 @@ def gbt_importance(spark, sf):
 
 
 #: Files that a stream of events is read from, one in each micro-batch.
-SLICES, FEW_SLICES = 20, 8
+SLICES, FEW_SLICES = 10, 8
 #: The host that closes a stream: its file comes so late that all others are silent.
 END_HOST = -1
 HOUR_US = 3_600_000_000

@@ -23,12 +23,8 @@ from netlat.schemas import COUNTERS, FEATURES, GAUGES, LEVELS, SNAPSHOT_SCHEMA
 SLICE = 5_000
 
 _WHOLE = [*LEVELS, *COUNTERS]
-_OUTPUT = T.StructType(
-    [T.StructField("host", T.StringType()), T.StructField("time", T.TimestampType())]
-    + [T.StructField(c, T.DoubleType()) for c in FEATURES]
-    + [T.StructField("features", T.ArrayType(T.DoubleType())), T.StructField("dropped", T.LongType())]
-    + [T.StructField("late", SNAPSHOT_SCHEMA)]
-)
+# Numbers travel as arrays: each group's columns are made one by one in Python.
+_MADE = "host string, us bigint, made array<double>, features array<double>, dropped bigint, late boolean, gauges array<double>, whole array<bigint>"
 # Of a host: the time up to which rows are out and the latest time seen, the counters
 # of the last row out, the flat feature rows still in reach, how many rows came too
 # late, and the rows that wait for earlier ones: times, gauges, whole numbers, flat.
@@ -100,6 +96,9 @@ def stream_features(
     """
     width, hold = len(FEATURES), _microseconds(late)
     clocked = snapshots if "arrived" in snapshots.columns else snapshots.withColumn("arrived", F.current_timestamp())
+    zero = lambda cols, kind: F.array(*[F.coalesce(F.col(c), F.lit(0)).cast(kind) for c in cols])
+    came_us = F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us")
+    narrow = clocked.select("host", "arrived", came_us, zero(GAUGES, "double").alias("gauges"), zero(_WHOLE, "bigint").alias("whole"))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out_us, seen_us, counters, recent, dropped, us, gauges, whole = state.get if state.exists else (None, None, None, None, 0, [], [], [])
@@ -111,16 +110,17 @@ def stream_features(
             # Only numbers are gathered; a batch of the host is let go once read.
             came = 0
             for frame in batches:
-                micros = frame["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
-                came = max(came, int(frame["arrived"].astype("datetime64[ms]").astype("int64").max()))
+                micros, read, read_whole = frame["us"].to_numpy(), np.stack(frame["gauges"].to_list()), np.stack(frame["whole"].to_list())
+                came = max(came, int(frame["arrived"].to_numpy().astype("datetime64[ms]").astype(np.int64).max()))
                 behind = micros < out_us if out_us is not None else np.zeros(len(micros), bool)
                 if behind.any():
                     dropped += int(behind.sum())
                     if keep_late:
-                        yield _late(frame[behind], dropped)
-                times.append(micros[~behind])
-                numbers.append(frame[GAUGES].fillna(0).to_numpy(float)[~behind])
-                counts.append(frame[_WHOLE].fillna(0).to_numpy(np.int64)[~behind])
+                        yield _frame(key[0], micros[behind], None, None, dropped, read[behind], read_whole[behind])
+                    micros, read, read_whole = micros[~behind], read[~behind], read_whole[~behind]
+                times.append(micros)
+                numbers.append(read)
+                counts.append(read_whole)
             seen_us = max([int(t.max()) for t in times if len(t)] + ([seen_us] if seen_us is not None else []), default=None)
             limit = None if seen_us is None else seen_us - hold
         us, gauges, whole = np.concatenate(times), np.concatenate(numbers), np.concatenate(counts)
@@ -146,26 +146,29 @@ def stream_features(
             state.setTimeoutTimestamp(max(came, state.getCurrentWatermarkMs()) + 1)
         # A window is steps rows wide, so only some are held at a time.
         for at in range(0, len(made), SLICE):
-            out = pd.DataFrame(made[at : at + SLICE], columns=FEATURES)
-            out.insert(0, "host", key[0])
-            out.insert(1, "time", us[go[at : at + SLICE]].astype("datetime64[us]"))
-            out["features"] = [history[i : i + steps].ravel() for i in range(at, at + len(out))]
-            out["dropped"] = dropped
-            if keep_late:
-                out["late"] = None
-            yield out
-
-    return clocked.withWatermark("arrived", silent).groupBy("host").applyInPandasWithState(
-        update, _OUTPUT if keep_late else T.StructType(_OUTPUT.fields[:-1]), _STATE, "append", GroupStateTimeout.EventTimeTimeout
+            part = made[at : at + SLICE]
+            windows = [history[i : i + steps].ravel() for i in range(at, at + len(part))]
+            yield _frame(key[0], us[go[at : at + SLICE]], part, windows, dropped, None, None)
+
+    out = narrow.withWatermark("arrived", silent).groupBy("host").applyInPandasWithState(
+        update, _MADE, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    named = [F.get("made", F.lit(k)).alias(c) for k, c in enumerate(FEATURES)]
+    shown = out.select("host", F.timestamp_micros("us").alias("time"), *named, "features", "dropped", *([_as_it_was().alias("late")] if keep_late else []))
+    return shown
+
+
+def _frame(host, us: np.ndarray, made, windows, dropped: int, gauges, whole) -> pd.DataFrame:
+    rows = lambda values: [None] * len(us) if values is None else list(values)
+    columns = {"host": host, "us": us, "made": rows(made), "features": rows(windows), "dropped": dropped}
+    return pd.DataFrame(columns | {"late": made is None, "gauges": rows(gauges), "whole": rows(whole)})
 
 
-def _late(frame: pd.DataFrame, dropped: int) -> pd.DataFrame:
-    rows = frame[SNAPSHOT_SCHEMA.names]
-    out = pd.DataFrame({"host": rows["host"].to_numpy(), "time": rows["timestamp"].to_numpy()})
-    out = out.assign(**dict.fromkeys(FEATURES, np.nan), features=None, dropped=dropped)
-    out["late"] = [{k: None if v is None or v is pd.NaT or v != v else v for k, v in r.items()} for r in rows.to_dict("records")]
-    return out
+def _as_it_was() -> Column:
+    """A late row as a snapshot, null for others."""
+    at = {c: F.get("gauges", F.lit(k)) for k, c in enumerate(GAUGES)} | {c: F.get("whole", F.lit(k)) for k, c in enumerate(_WHOLE)}
+    at |= {"host": F.col("host"), "timestamp": F.timestamp_micros("us")}
+    return F.when(F.col("late"), F.struct(*[at[c].alias(c) for c in SNAPSHOT_SCHEMA.names]))
 
 
 def stream_score(features: DataFrame, model: Model, mm: DataFrame) -> DataFrame:
