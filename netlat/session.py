@@ -5,13 +5,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the cluster's shared checkpoint folder; where none is set,
-    under the warehouse folder, which all executors share as well."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path under the cluster's shared checkpoint folder; where none is set, under the
+    warehouse folder, which all executors share as well."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder."""
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
