@@ -41,6 +41,18 @@ def stamped(df: DataFrame, text: Column, name: str = "time") -> DataFrame:
     of a file fall by more than an hour, so a run may be of any length. The steps are
     columns of their own, since Spark would copy them into every place that uses them.
     """
+    here = clocked(df, text)
+    if {"file", "block", "line_no"} <= set(df.columns):
+        here = _days(here)
+    else:
+        here = here.withColumn("_days", before_start("_bare"))
+    moved = F.col("_here") + F.make_dt_interval(F.coalesce("_days", F.lit(0)).cast("int"))
+    return here.withColumn(name, moved).drop("_start", "_here", "_bare", "_days")
+
+
+def clocked(df: DataFrame, text: Column) -> DataFrame:
+    """Add `_start` (of the run), `_here` (the time a text names, on the run's first day
+    where it names none) and `_bare` (its seconds if it names no day)."""
     start = F.try_to_timestamp(F.nullif(F.regexp_extract("run_id", RUN_STAMP, 1), F.lit("")), F.lit("yyyyMMdd_HHmmss"))
     parts = df.withColumns(
         {
@@ -51,20 +63,15 @@ def stamped(df: DataFrame, text: Column, name: str = "time") -> DataFrame:
     )
     day = F.when(F.col("_day") == "", F.date_format("_start", "yyyy-MM-dd")).otherwise(F.col("_day"))
     here = parts.withColumn("_here", F.try_to_timestamp(F.concat(day, F.lit(" "), F.col("_clock"))))
-    here = here.withColumn("_bare", F.when(F.col("_day") == "", F.unix_seconds("_here")))
-    if {"file", "block", "line_no"} <= set(df.columns):
-        here = _days(here)
-    else:
-        here = here.withColumn("_days", _before_start("_bare"))
-    moved = F.col("_here") + F.make_dt_interval(F.coalesce("_days", F.lit(0)).cast("int"))
-    return here.withColumn(name, moved).drop("_day", "_clock", "_start", "_here", "_bare", "_days")
+    return here.withColumn("_bare", F.when(F.col("_day") == "", F.unix_seconds("_here"))).drop("_day", "_clock")
 
 
 #: Seconds by which a clock may fall without a new day.
 BACK = 3600
 
 
-def _before_start(c: str) -> Column:
+def before_start(c: str) -> Column:
+    """The day that a clock before the run's start is on."""
     return F.when(F.col(c) < F.unix_seconds("_start") - BACK, 1).otherwise(0)
 
 
@@ -85,7 +92,7 @@ def _days(df: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("run_id", "file").orderBy("block")
     across = F.col("_first") < F.lag("_last").over(order) - BACK
-    ends = ends.withColumn("_cross", F.coalesce(across.cast("int"), _before_start("_first")))
+    ends = ends.withColumn("_cross", F.coalesce(across.cast("int"), before_start("_first")))
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     earlier = F.sum(F.col("_cross") + F.coalesce("_n", F.lit(0))).over(upto) - F.coalesce("_n", F.lit(0))
     before = ends.select(*split, earlier.alias("_earlier"))

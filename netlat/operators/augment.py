@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netlat.operators.series import CHUNK_ROWS, names, over_series, with_position
+from netlat.operators.spread import spread_join
 
 
 def exempt(col: str) -> bool:
@@ -93,7 +94,7 @@ def _value(j: int) -> Column:
     return x + (F.get("_next", F.lit(j)) - x) * F.col("_f")
 
 
-def _deviations(smooth: DataFrame, run, num, noisy, factor: int, salts: int = 16) -> DataFrame:
+def _deviations(smooth: DataFrame, run, num, noisy, factor: int) -> DataFrame:
     """Population deviation of each noisy column over the grid points, one row
     per series, from sums over each old row's points instead of the points."""
     r = _ranges(smooth, factor)
@@ -104,10 +105,9 @@ def _deviations(smooth: DataFrame, run, num, noisy, factor: int, salts: int = 16
     t1, t2 = m * (m - 1) / 2, (m - 1) * m * (2 * m - 1) / 6
     r = r.withColumns({"_m": m, "_s1": m * f0 + d * t1, "_s2": m * f0 * f0 + 2 * f0 * d * t1 + d * d * t2})
     # Sums of squares lose a small spread of large values, so values are taken from
-    # the series' mean: one row per series, joined back by series and salt.
-    means = smooth.groupBy(*run).agg(F.array(*[F.avg(F.get("_here", F.lit(j))) for j in range(len(num))]).alias("_mean"))
-    salted = means.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    r = r.withColumn("_salt", F.pmod("_i", F.lit(salts)).cast("int")).join(salted, [*run, "_salt"])
+    # the series' mean: one row per series, joined back by series, a hot one in pieces.
+    means = smooth.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.avg(F.get("_here", F.lit(j))) for j in range(len(num))]).alias("_mean"))
+    r = spread_join(r, means.drop("_n"), run, F.col("_i"), sizes=means.select(*run, "_n"))
     sums = []
     for j, c in enumerate(num):
         if c in noisy:
@@ -223,18 +223,16 @@ def upsample(
 
 
 def add_noise(
-    df: DataFrame, run, cols, level: float = 0.02, seed: int = 0, salts: int = 16, key: str = "k"
+    df: DataFrame, run, cols, level: float = 0.02, seed: int = 0, key: str = "k"
 ) -> DataFrame:
     """Add normal noise of `level` times the column's deviation in its series, at
     least 0.0001. Columns with time or label in their name stay.
 
-    The deviations are one row per series. They are copied `salts` times and
-    joined on series and salt, so a hot series spreads over tasks.
+    The deviations are one row per series; a hot series is joined with its own in pieces.
     """
     run, cols = names(run), [c for c in names(cols) if not exempt(c)]
-    spread = df.groupBy(*run).agg(*[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])
-    salted = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    noisy = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(salted, [*run, "_salt"])
+    each = df.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"), *[F.stddev_pop(c).alias(f"_sd_{c}") for c in cols])
+    noisy = spread_join(df, each.drop("_n"), run, F.col(key), sizes=each.select(*run, "_n"))
 
     def value(c):
         sigma = F.col(f"_sd_{c}") * level
@@ -256,7 +254,6 @@ def augment_series(
     seed: int = 0,
     span: float = 3600,
     rows: int = CHUNK_ROWS,
-    salts: int = 16,
     store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Smooth, resample and vary each series.
@@ -275,11 +272,8 @@ def augment_series(
     smooth = store(smooth) if store else smooth
     old = replicate(_ranges(smooth, factor), variations)
     if level:
-        salted = _deviations(smooth, run, num, noisy, factor).withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        )
-        old = old.withColumn("_salt", F.pmod(F.xxhash64("_i"), F.lit(salts)).cast("int")).join(salted, [*run, "_salt"])
-        old = old.withColumn("_series", F.xxhash64(*[F.col(r) for r in run], F.col("variation"), F.lit(seed))).drop("_salt")
+        old = spread_join(old, _deviations(smooth, run, num, noisy, factor), run, F.col("_i"), sizes=smooth.groupBy(*run).agg(F.count(F.lit(1)).alias("_n")))
+        old = old.withColumn("_series", F.xxhash64(*[F.col(r) for r in run], F.col("variation"), F.lit(seed)))
     schema = T.StructType(
         [smooth.schema[r] for r in run]
         + [T.StructField("variation", T.IntegerType()), T.StructField("k", T.LongType())]

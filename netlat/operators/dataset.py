@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from netlat.session import settle
 from netlat.operators.series import names, with_position
+from netlat.operators.spread import spread_join
 
 
 def fit_minmax(df: DataFrame, cols) -> DataFrame:
@@ -77,17 +78,15 @@ def fit_steps(df: DataFrame, cols, features: str = "features", also: str | None
     )
 
 
-def long_enough(df: DataFrame, run, min_rows: int = 61, salts: int = 16) -> DataFrame:
+def long_enough(df: DataFrame, run, min_rows: int = 61) -> DataFrame:
     """Series of at least `min_rows` rows.
 
-    Lengths are one row per series; they are joined on series and salt so that a
-    hot series spreads over tasks.
+    Lengths are one row per series; a hot series is joined with its length in pieces.
     """
     run = names(run)
-    sizes = df.groupBy(*run).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).drop("_n")
-    salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    at = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    return at.join(salted, [*run, "_salt"], "left_semi").drop("_salt")
+    sizes = df.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"))
+    long = sizes.where(F.col("_n") >= min_rows).drop("_n")
+    return spread_join(df, long, run, F.struct(*df.columns), "left_semi", sizes)
 
 
 def position_split(

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlat.operators.series import cumulative, names
+from netlat.operators.spread import pieces, spread_join
 
 # Connections per stress hour, from_hour <= hour < to_hour. Two days
 # have their own ladder, all others the default.
@@ -93,18 +94,30 @@ def weighted_pick(
 ) -> DataFrame:
     """Category whose running weight first reaches the draw, else the default.
 
-    The categories of a group become one array, so the join is an equi-join on
-    the group whose small side has one row per group. A group may be hot, so the
-    small side is salted.
+    The running weights of a group are cut into pieces of equal width, about one a
+    category and at least as many as the group's rows call for; a category is listed in
+    each piece it reaches into. So the pick is an equi-join on group and piece, on
+    which a hot group spreads by its draws; at uniform draws a row meets two
+    categories on average, however many there are.
     """
-    salts = 16
-    summed = cumulative(weights, by, order, name="_hi")
-    arrays = summed.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_hi", F.col("name").alias("n")))).alias("_c"))
-    salted = arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    at = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    at = at.join(salted, [by, "_salt"], "left")
-    reached = F.filter("_c", lambda c: c["_hi"] >= F.col(draw))
-    return at.select(*df.columns, F.coalesce(F.get(reached, F.lit(0))["n"], F.lit(default)).alias(name))
+    summed = cumulative(weights, by, order, name="_hi").withColumn("_lo", F.col("_hi") - F.col("weight"))
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    many = pieces(sizes, by)
+    groups = summed.groupBy(by).agg(F.max("_hi").alias("_sum"), F.count(F.lit(1)).alias("_k")).join(many, by, "left")
+    width = F.ceil(F.col("_sum") / F.greatest("_k", F.coalesce("_pieces", F.lit(1))))
+    groups = groups.select(by, F.greatest(width, F.lit(1)).cast("bigint").alias("_width"))
+    index = summed.where("weight > 0").join(groups, by)
+    index = index.withColumn("_at", F.explode(F.sequence(F.expr("_lo div _width"), F.expr("(_hi - 1) div _width"))))
+    index = index.select(by, "_at", "_lo", "_hi", F.col("name").alias("_name"))
+    at = spread_join(df, groups, by, F.struct(*df.columns), "left", sizes)
+    # The first category takes draws below 1 too.
+    at = at.withColumn("_draw_at", F.when(F.col(draw).isNotNull(), F.greatest(F.ceil(F.col(draw)).cast("bigint"), F.lit(1))))
+    at = at.withColumn("_at", F.expr("(_draw_at - 1) div _width"))
+    x, y = at.alias("x"), index.alias("y")
+    met = (F.col(f"x.{by}") == F.col(f"y.{by}")) & (F.col("x._at") == F.col("y._at"))
+    met = met & (F.col("y._lo") < F.col("x._draw_at")) & (F.col("x._draw_at") <= F.col("y._hi"))
+    picked = x.join(y, met, "left")
+    return picked.select(*[F.col(f"x.{c}") for c in df.columns], F.coalesce("y._name", F.lit(default)).alias(name))
 
 
 def uniform_draw(n, *keys) -> Column:
@@ -131,11 +144,9 @@ def request_mix(
     the day, as closed_share gives it).
     """
     total = weights.groupBy(by).agg(F.sum("weight").alias("_sum"))
-    salts = 16
-    salted = total.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    at = requests.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(salted, [by, "_salt"])
+    at = spread_join(requests, total, by, F.col(key))
     at = at.withColumn("_draw", uniform_draw(F.col("_sum"), F.lit("host"), F.col(key), F.lit(seed)))
-    picked = weighted_pick(at.drop("_salt"), weights, "_draw", default, by, name="host")
+    picked = weighted_pick(at, weights, "_draw", default, by, name="host")
     closes = uniform_draw(100, F.lit("close"), F.col(key), F.lit(seed)) <= (F.col(close_pct) if isinstance(close_pct, str) else close_pct)
     kind_draw = uniform_draw(100, F.lit("kind"), F.col(key), F.lit(seed))
     kinds = [(special_pct, "upload")] if isinstance(special_pct, int) else list(special_pct)

@@ -20,7 +20,7 @@ from netlat.functions.text import (
     token,
     words,
 )
-from netlat.operators.sections import carry_section, line_class, skip_head
+from netlat.operators.sections import line_class, narrow_lines, skip_head, timed_logs, timed_rows
 from netlat.operators.series import counter_delta
 
 SECOND = ["run_id", "time"]
@@ -28,21 +28,6 @@ PLACE = ["block", "line_no"]
 RULER = "====="
 
 
-def _timed(lines: DataFrame, header, **values) -> DataFrame:
-    """Values of the lines with the `time` and `section` of the header above.
-
-    Each pattern is tried once per line, and values are taken out before the
-    lines are shuffled, so no text is. Other lines than headers and lines with a
-    value are dropped.
-    """
-    head = F.when(header, F.col("value")).alias("_head")
-    read = lines.select("run_id", "file", *PLACE, head, *[c.alias(n) for n, c in values.items()])
-    kept = read.where(" OR ".join(f"{c} IS NOT NULL" for c in ["_head", *values]))
-    timed = stamped(kept, F.col("_head"), "_stamp").drop("_head")
-    rows = carry_section(timed, F.col("_stamp").isNotNull(), text=F.col("_stamp"))
-    return rows.select("run_id", F.col("head").alias("time"), "section", *PLACE, *values)
-
-
 def _last(c: str):
     """Last value in file order."""
     return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*PLACE)))
@@ -52,38 +37,78 @@ def _zero(c):
     return F.coalesce(c, F.lit(0).cast("bigint"))
 
 
-def sum_per_second(lines: DataFrame, name: str, rule: str = "trailing") -> DataFrame:
-    """Sum of the counters of all processes in each second."""
-    rows = _timed(lines, has_clock("value"), n=counter_value("value", rule))
-    return rows.where("n IS NOT NULL").groupBy(*SECOND).agg(F.sum("n").alias(name))
+# What is read out of the lines of each log: the text of headers, and the values.
 
 
-def nic_usage(lines: DataFrame, bps: int = 10**9, rule: str = "trailing") -> DataFrame:
-    """Link use in percent: last sent and received bytes of each section, mean
-    over the sections of a second."""
+def counter_lines(lines: DataFrame, rule: str = "trailing") -> DataFrame:
+    return narrow_lines(lines, F.when(has_clock("value"), F.col("value")), {"n": counter_value("value", rule)})
+
+
+def traffic_lines(lines: DataFrame, rule: str = "trailing") -> DataFrame:
     n = counter_value("value", rule)
     tx, rx = F.col("value").contains("tx_bytes"), F.col("value").contains("rx_bytes")
-    rows = _timed(lines, has_clock("value"), tx=F.when(tx, n), rx=F.when(rx & ~tx, n))
-    used = rows.groupBy(*SECOND, "section").agg(link_pct(_zero(_last("tx")) + _zero(_last("rx")), bps).alias("pct"))
-    return used.groupBy(*SECOND).agg(F.avg("pct").alias("nic_usage_pct"))
+    return narrow_lines(lines, F.when(has_clock("value"), F.col("value")), {"tx": F.when(tx, n), "rx": F.when(rx & ~tx, n)})
 
 
-def socket_extremes(lines: DataFrame) -> DataFrame:
-    """Longest queues and smallest windows of the established sockets, 0 where a
-    section has none."""
+def socket_lines(lines: DataFrame) -> DataFrame:
     value = F.col("value")
     established = value.contains("ESTAB") & ~value.startswith(RULER)
     # A row counts only when both queue lengths are numbers.
     recv, send = token("value", 1, type="bigint"), token("value", 2, type="bigint")
     queues = F.when(established & recv.isNotNull() & send.isNotNull(), F.struct(recv.alias("recv"), send.alias("send")))
     window = value.contains("cwnd:")
-    rows = _timed(
-        lines,
-        value.startswith(RULER) & has_clock("value"),
-        queues=queues,
-        cwnd=F.when(window, kv("value", "cwnd")),
-        ssthresh=F.when(window, kv("value", "ssthresh")),
-    )
+    read = {"queues": queues, "cwnd": F.when(window, kv("value", "cwnd")), "ssthresh": F.when(window, kv("value", "ssthresh"))}
+    return narrow_lines(lines, F.when(value.startswith(RULER) & has_clock("value"), value), read)
+
+
+def softirq_lines(lines: DataFrame) -> DataFrame:
+    rx, tx = F.col("value").contains("NET_RX:"), F.col("value").contains("NET_TX:")
+    n = int_sum("value")
+    return narrow_lines(lines, F.when(_fraction_header(), F.col("value")), {"rx": F.when(rx, n), "tx": F.when(tx & ~rx, n)})
+
+
+def throttle_lines(lines: DataFrame) -> DataFrame:
+    n = F.when(F.col("value").contains("nr_throttled"), token("value", 1, type="bigint"))
+    return narrow_lines(lines, F.when(F.col("value").startswith(RULER) & has_clock("value"), F.col("value")), {"n": n})
+
+
+def rtt_lines(lines: DataFrame, header_lines: int = 2) -> DataFrame:
+    """Each line has its own clock; lines of five columns or fewer are left out."""
+    ms = token("value", -1)
+    rows = skip_head(lines, header_lines) if header_lines else lines
+    rows = rows.where((F.size(words("value")) > 5) & has_clock("value") & ms.isNotNull())
+    return narrow_lines(rows, F.col("value"), {"ms": ms})
+
+
+def number_lines(lines: DataFrame, at: int, need: int) -> DataFrame:
+    """Number `at` of the values after the fourth column; a line with fewer than `need`
+    values or a bad one is skipped. The clock stands in the second column."""
+    cells = words("value")
+    values = F.transform(F.slice(cells, F.lit(5), F.greatest(F.size(cells) - 4, F.lit(0))), lambda x: x.try_cast("bigint"))
+    when = F.concat_ws(" ", token("value", 0, type="string"), token("value", 1, type="string"))
+    rows = lines.select("run_id", "file", *PLACE, when.alias("_when"), values.alias("_v"))
+    rows = rows.where((F.size("_v") > need) & F.forall("_v", lambda x: x.isNotNull()))
+    return narrow_lines(rows, F.when(has_clock("_when"), F.col("_when")), {"n": F.element_at("_v", at + 1)})
+
+
+# What is made of those rows, one row per second.
+
+
+def own_clock(rows: DataFrame) -> DataFrame:
+    """Rows whose own line holds their time; one that cannot be read gives none."""
+    return rows.where("section.block = block AND section.line_no = line_no")
+
+
+def sums(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where("n IS NOT NULL").groupBy(*SECOND).agg(F.sum("n").alias(name))
+
+
+def link_use(rows: DataFrame, bps: int = 10**9) -> DataFrame:
+    used = rows.groupBy(*SECOND, "section").agg(link_pct(_zero(_last("tx")) + _zero(_last("rx")), bps).alias("pct"))
+    return used.groupBy(*SECOND).agg(F.avg("pct").alias("nic_usage_pct"))
+
+
+def extremes(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*SECOND).agg(
         _zero(F.max("queues.recv")).alias("Recv_Q_Bytes_max"),
         _zero(F.max("queues.send")).alias("Send_Q_Bytes_max"),
@@ -92,6 +117,67 @@ def socket_extremes(lines: DataFrame) -> DataFrame:
     )
 
 
+def interrupts(rows: DataFrame) -> DataFrame:
+    both = rows.groupBy(*SECOND).agg(_zero(_last("rx")).alias("rx"), _zero(_last("tx")).alias("tx"))
+    return both.where((F.col("rx") > 0) | (F.col("tx") > 0))
+
+
+def means(rows: DataFrame, name: str = "RTT_ms_mean") -> DataFrame:
+    return rows.where("ms IS NOT NULL").groupBy(*SECOND).agg(F.avg("ms").alias(name))
+
+
+def last_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """The last number of a second counts."""
+    return rows.where("n IS NOT NULL").groupBy(*SECOND).agg(_last("n").alias(name))
+
+
+def all_series(logs: dict[str, DataFrame], rule: str = "trailing", bps: int = 10**9, header_lines: int = 2, fail_index: int = 6, drop_index: int = 20) -> dict[str, DataFrame]:
+    """The series of all logs with a clock, their text read in one pass: one row per
+    second each, counters as they stand."""
+    snmp, netstat = connection_lines(logs["conn_fail"])
+    rows = timed_logs(
+        {
+            "throughput": traffic_lines(logs["throughput"], rule),
+            **{n: counter_lines(logs[n], rule) for n in ("packets", "retrans", "mem_events")},
+            "sockets": socket_lines(logs["sockets"]),
+            "fails": number_lines(snmp, fail_index, max(7, fail_index)),
+            "drops": number_lines(netstat, drop_index, max(20, drop_index)),
+            "softirqs": softirq_lines(logs["softirqs"]),
+            "rtt": rtt_lines(logs["rtt"], header_lines),
+            "throttle": throttle_lines(logs["throttle"]),
+        }
+    )
+    return {
+        "nic": link_use(rows["throughput"], bps),
+        "packets": sums(rows["packets"], "total_packets_per_sec"),
+        "retrans": sums(rows["retrans"], "retrans_count"),
+        "mem_events": sums(rows["mem_events"], "total_mem_events_per_sec"),
+        "sockets": extremes(rows["sockets"]),
+        "fails": last_numbers(own_clock(rows["fails"]), "fails"),
+        "drops": last_numbers(own_clock(rows["drops"]), "drops"),
+        "softirq": interrupts(rows["softirqs"]),
+        "rtt": means(own_clock(rows["rtt"])),
+        "throttle": last_numbers(rows["throttle"], "cpu_throttle"),
+    }
+
+
+def sum_per_second(lines: DataFrame, name: str, rule: str = "trailing") -> DataFrame:
+    """Sum of the counters of all processes in each second."""
+    return sums(timed_rows(counter_lines(lines, rule), ["n"]), name)
+
+
+def nic_usage(lines: DataFrame, bps: int = 10**9, rule: str = "trailing") -> DataFrame:
+    """Link use in percent: last sent and received bytes of each section, mean
+    over the sections of a second."""
+    return link_use(timed_rows(traffic_lines(lines, rule), ["tx", "rx"]), bps)
+
+
+def socket_extremes(lines: DataFrame) -> DataFrame:
+    """Longest queues and smallest windows of the established sockets, 0 where a
+    section has none."""
+    return extremes(timed_rows(socket_lines(lines), ["queues", "cwnd", "ssthresh"]))
+
+
 def mean_per_second(lines: DataFrame, name: str = "RTT_ms_mean", header_lines: int = 2) -> DataFrame:
     """Mean of the last column in each second, over lines of more than five
     columns that hold a clock."""
@@ -103,30 +189,22 @@ def mean_per_second(lines: DataFrame, name: str = "RTT_ms_mean", header_lines: i
     return rows.groupBy(*SECOND).agg(F.avg("_ms").alias(name))
 
 
-def _numbers(lines: DataFrame, at: int, need: int, name: str) -> DataFrame:
-    """Number `at` of the values after the fourth column; a line with fewer than
-    `need` values or a bad one is skipped. The last line of a second counts."""
-    cells = words("value")
-    values = F.transform(F.slice(cells, F.lit(5), F.greatest(F.size(cells) - 4, F.lit(0))), lambda x: x.try_cast("bigint"))
-    # The clock stands in the second column.
-    when = F.concat_ws(" ", token("value", 0, type="string"), token("value", 1, type="string"))
-    rows = lines.select("run_id", "file", *PLACE, when.alias("_when"), values.alias("v"))
-    rows = rows.where((F.size("v") > need) & F.forall("v", lambda x: x.isNotNull()))
-    rows = stamped(rows, F.col("_when")).where("time IS NOT NULL")
-    return rows.groupBy(*SECOND).agg(F.max_by(F.element_at("v", at + 1), F.struct(*PLACE)).alias(name))
+def connection_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines with failed attempts, and lines with listen drops."""
+    netstat = line_class(lines, "NETSTAT", "TcpExt:").where(
+        ~(F.col("value").contains("SNMP") & F.col("value").contains("Tcp:"))
+    )
+    return line_class(lines, "SNMP", "Tcp:"), netstat
 
 
 def connection_counters(lines: DataFrame, fail_index: int = 6, drop_index: int = 20) -> dict[str, DataFrame]:
     """Cumulative failed attempts and listen drops, each on its own seconds. The
     places depend on the kernel that wrote the log."""
-    snmp = line_class(lines, "SNMP", "Tcp:")
-    netstat = line_class(lines, "NETSTAT", "TcpExt:").where(
-        ~(F.col("value").contains("SNMP") & F.col("value").contains("Tcp:"))
-    )
-    return {
-        "fails": _numbers(snmp, fail_index, max(7, fail_index), "fails"),
-        "drops": _numbers(netstat, drop_index, max(20, drop_index), "drops"),
-    }
+    snmp, netstat = connection_lines(lines)
+    rows = timed_logs({
+        "fails": number_lines(snmp, fail_index, max(7, fail_index)), "drops": number_lines(netstat, drop_index, max(20, drop_index))
+    })
+    return {name: last_numbers(own_clock(rows[name]), name) for name in ("fails", "drops")}
 
 
 def pair_counters(a: DataFrame, b: DataFrame, keys=SECOND) -> DataFrame:
@@ -163,11 +241,7 @@ def _fraction_header():
 def softirq_sums(lines: DataFrame) -> DataFrame:
     """Receive and send interrupts over all processors, cumulative; samples where
     both are 0 are dropped."""
-    rx, tx = F.col("value").contains("NET_RX:"), F.col("value").contains("NET_TX:")
-    n = int_sum("value")
-    rows = _timed(lines, _fraction_header(), rx=F.when(rx, n), tx=F.when(tx & ~rx, n))
-    sums = rows.groupBy(*SECOND).agg(_zero(_last("rx")).alias("rx"), _zero(_last("tx")).alias("tx"))
-    return sums.where((F.col("rx") > 0) | (F.col("tx") > 0))
+    return interrupts(timed_rows(softirq_lines(lines), ["rx", "tx"]))
 
 
 def softirq_rates(sums: DataFrame) -> DataFrame:
@@ -182,10 +256,7 @@ def softirq_rates(sums: DataFrame) -> DataFrame:
 
 def throttle_totals(lines: DataFrame) -> DataFrame:
     """Throttled periods, cumulative."""
-    hit = F.col("value").contains("nr_throttled")
-    n = F.when(hit, token("value", 1, type="bigint"))
-    rows = _timed(lines, F.col("value").startswith(RULER) & has_clock("value"), n=n)
-    return rows.where("n IS NOT NULL").groupBy(*SECOND).agg(_last("n").alias("cpu_throttle"))
+    return last_numbers(timed_rows(throttle_lines(lines), ["n"]), "cpu_throttle")
 
 
 def throttle_rates(totals: DataFrame) -> DataFrame:

@@ -93,18 +93,7 @@ def second_series(
     logs: dict[str, DataFrame], rule: str = "trailing", link_bps: int = 10**9, header_lines: int = 2
 ) -> dict[str, DataFrame]:
     """The series with a clock, one row per second each; counters as they stand."""
-    return {
-        "nic": mt.nic_usage(logs["throughput"], link_bps, rule),
-        "packets": mt.sum_per_second(logs["packets"], "total_packets_per_sec", rule),
-        "retrans": mt.sum_per_second(logs["retrans"], "retrans_count", rule),
-        "mem_events": mt.sum_per_second(logs["mem_events"], "total_mem_events_per_sec", rule),
-        "sockets": mt.socket_extremes(logs["sockets"]),
-        **mt.connection_counters(logs["conn_fail"]),
-        "softirq": mt.softirq_sums(logs["softirqs"]),
-        "memory": logs["mem_usage"],
-        "rtt": mt.mean_per_second(logs["rtt"], header_lines=header_lines),
-        "throttle": mt.throttle_totals(logs["throttle"]),
-    }
+    return {**mt.all_series(logs, rule, link_bps, header_lines), "memory": logs["mem_usage"]}
 
 
 def second_rates(raw: DataFrame, fill_first: bool = False) -> dict[str, DataFrame]:

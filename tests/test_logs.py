@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netlat.operators import metrics as mt
+from netlat.operators import sections
 from netlat.operators.sections import carry_section, drop_containing, skip_head, states
 from netlat.operators.snapshots import text_values
 from netlat.plans import jobs
@@ -330,3 +331,20 @@ def test_snapshot_values_from_text(spark):
         "softirq_net_rx": 300, "softirq_net_tx": 30,
     }
     assert none == {"host": "e"} | dict.fromkeys([k for k in full if k != "host"], 0)
+
+
+def test_text_is_read_once_for_all_logs(spark, tmp_path):
+    """The tables of seconds are made from the narrow table, not from the text again."""
+    run = tmp_path / "R_20250101_120000"
+    run.mkdir()
+    for name in ("packets_count.log", "retrans_bpftrace.log"):
+        (run / name).write_text("".join(f"12:00:{k:02} @[a]: {k}\n@[b]: 1\n" for k in range(50)))
+    lines = read_lines(spark, str(run / "packets_count.log"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" in plan(lines)
+    made = mt.sum_per_second(lines, "n")
+    assert "FileScan text" not in plan(made)
+    assert made.agg(F.sum("n")).first()[0] == sum(range(50)) + 50
+    both = sections.timed_logs({n: mt.counter_lines(read_lines(spark, str(run / f))) for n, f in (("p", "packets_count.log"), ("r", "retrans_bpftrace.log"))})
+    assert all("FileScan text" not in plan(df) for df in both.values())
+    assert {n: mt.sums(df, "n").count() for n, df in both.items()} == {"p": 50, "r": 50}

@@ -18,6 +18,7 @@ from netlat.operators import load as ld
 from netlat.operators import metrics as mt
 from netlat.operators import scores as sc
 from netlat.operators import series as sr
+from netlat.operators import spread
 from netlat.operators import views as vw
 from netlat.plans import jobs
 from netlat.schemas import FEATURES
@@ -393,3 +394,44 @@ def test_no_task_gets_a_whole_hot_run(spark):
     largest = sr.over_series(hot, "run_id", "time", seen, back=3, rows=1000).agg(F.max("size")).first()[0]
     assert largest == 1003
     assert sr.rolling_mean(hot, "x", "run_id", "time", 3, rows=1000).count() == 40000
+
+
+def test_hot_series_are_joined_in_pieces(spark, monkeypatch):
+    """One series with a third of all rows, and others."""
+    monkeypatch.setattr(spread, "LEAST", 10)
+    rows = [("hot" if k % 3 == 0 else f"s{k % 40}", k) for k in range(3000)] + [(None, 7)]
+    df = spark.createDataFrame(rows, "run string, k long")
+    small = df.groupBy("run").agg(F.count("*").alias("n"))
+    sizes = small.withColumnRenamed("n", "_n")
+    hot = {r["run"]: r["_pieces"] for r in spread.pieces(sizes, "run", share=20).collect()}
+    assert hot == {"hot": 7}
+    for how in ("inner", "left", "left_semi"):
+        got = spread.spread_join(df, small.where("run != 's1'"), "run", F.col("k"), how, share=20)
+        want = df.join(small.where("run != 's1'"), "run", how)
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    joined = spread.spread_join(df.where("run = 'hot'").repartition(4), small, "run", F.col("k"), share=20)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_piece" in plan
+
+
+def test_pick_among_many_categories(spark, monkeypatch):
+    monkeypatch.setattr(spread, "LEAST", 5)
+    rng = np.random.default_rng(4)
+    weight = np.where(rng.random(100_000) < 0.001, 5000, rng.integers(0, 4, 100_000))
+    groups = [("big", f"c{k:06}", int(w), k) for k, w in enumerate(weight)] + [("few", "a", 3, 1), ("few", "b", 0, 2), ("few", "c", 2, 3)]
+    weights = spark.createDataFrame(groups, "day string, name string, weight long, place long")
+    total = int(weight.sum())
+    draws = [("big", int(d)) for d in rng.integers(-2, total + 3, 3000)] + [("few", d) for d in range(-1, 8)] + [("none", 1), (None, 1), ("few", None)]
+    at = spark.createDataFrame(draws, "day string, draw long")
+    got = ld.weighted_pick(at, weights, "draw", "other", "day")
+    reach = {"big": np.cumsum(weight), "few": np.cumsum([3, 0, 2])}
+    names = {"big": [g[1] for g in groups if g[0] == "big"], "few": ["a", "b", "c"]}
+
+    def pick(day, d):
+        if day not in reach or d is None:
+            return "other"
+        # The first category with a weight whose running sum reaches the draw.
+        k = int(np.searchsorted(reach[day], max(d, 1)))
+        return names[day][k] if k < len(reach[day]) else "other"
+
+    assert sorted(map(str, ((r.day, r.draw, r.name) for r in got.collect()))) == sorted(str((g, d, pick(g, d))) for g, d in draws)
