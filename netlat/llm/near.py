@@ -91,12 +91,13 @@ def shingles(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 
 def _signature(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four bits of each register, and the bands, of sketches."""
-    four = (_mix(registers) & np.uint64(15)).astype(np.uint8)
+    """Four bits of each register, plane by plane of 64 registers, and the bands, of sketches."""
+    four = (_mix(registers) & np.uint64(15)).astype(np.uint8).reshape(len(registers), registers.shape[1] // 64, 1, 64)
+    planes = np.packbits(four >> np.arange(4, dtype=np.uint8)[:, None] & 1, axis=3, bitorder="little")
     bands = np.zeros((len(registers), BANDS), np.uint64)
     for r in range(ROWS):
         bands = _mix(bands * _GOLDEN + registers[:, r : BANDS * ROWS : ROWS])
-    return (four[:, ::2] | four[:, 1::2] << 4).view("<i8"), _mix(bands + np.arange(BANDS, dtype=np.uint64)).view("<i8")
+    return planes.reshape(len(registers), registers.shape[1] // 2).view("<i8"), _mix(bands + np.arange(BANDS, dtype=np.uint64)).view("<i8")
 
 
 def sketches(h: np.ndarray, times: np.ndarray, owner: np.ndarray, texts: int, m: int = M) -> np.ndarray:
@@ -184,25 +185,39 @@ def sign(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return settle(rows.mapInArrow(run, _SIGNED), "signatures")
 
 
-def _differ(a: Column, b: Column) -> Column:
-    """In how many registers two sketches differ."""
-    differ = F.lit(0)
-    for k in range(M // 16):
-        x = a[k].bitwiseXOR(b[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(x)
-    return differ
+#: Columns of a sketch: four bits of each register, a plane of 64 registers each.
+WORDS = M // 16
+
+
+def _spread(nodes: DataFrame) -> DataFrame:
+    """Nodes with their sketches as columns s0, s1, .. (with weights) and t0, t1, ..
+    (without): Spark compiles a comparison of columns, one of arrays grows too large."""
+    plain = F.coalesce("plain", "bits")
+    words = [F.get(c, F.lit(k)).alias(f"{name}{k}") for name, c in (("s", F.col("bits")), ("t", plain)) for k in range(WORDS)]
+    return nodes.select("node", "bands", "row", F.col("plain").isNotNull().alias("again"), *words)
+
+
+def _sketch(name: str = "") -> list[Column]:
+    """The columns of a sketch, of a table of that alias."""
+    at = f"{name}." if name else ""
+    return [F.col(f"{at}{c}") for c in ["again", *(f"{s}{k}" for s in "st" for k in range(WORDS))]]
+
+
+def _differ(a: str, b: str, kind: str) -> Column:
+    """In how many registers two sketches differ: the planes of 64 registers are four
+    words in a row."""
+    total = F.lit(0)
+    for k in range(0, WORDS, 4):
+        words = [F.col(f"{a}.{kind}{j}").bitwiseXOR(F.col(f"{b}.{kind}{j}")) for j in range(k, k + 4)]
+        total = total + F.bit_count(words[0].bitwiseOR(words[1]).bitwiseOR(words[2].bitwiseOR(words[3])))
+    return total
 
 
 def _may_link(a: str, b: str) -> Column:
-    """Whether the sketches of two nodes are near enough, those with weights or those
-    without."""
-    one = _differ(F.col(f"{a}.bits"), F.col(f"{b}.bits")) <= FAR
-    # Where neither text repeats a shingle, both comparisons are the same.
-    again = F.col(f"{a}.plain").isNotNull() | F.col(f"{b}.plain").isNotNull()
-    plain = lambda t: F.coalesce(F.col(f"{t}.plain"), F.col(f"{t}.bits"))
-    return one | (again & (_differ(plain(a), plain(b)) <= FAR))
+    """Whether the sketches of two nodes are near enough, those with weights or, where
+    a text repeats a shingle, those without."""
+    again = F.col(f"{a}.again") | F.col(f"{b}.again")
+    return (_differ(a, b, "s") <= FAR) | (again & (_differ(a, b, "t") <= FAR))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -261,20 +276,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", similar: float = SIMILAR) -
     empty table gives an empty table.
     """
     signed = sign(docs, id_col)
-    sketch = ["bits", "plain"]
     # A node's row is the same in all its copies, so the first of each task will do.
-    nodes = settle(signed.groupBy("node").agg(*[F.first(c).alias(c) for c in (*sketch, "bands")], F.min(F.struct("id", "row_hash")).alias("row")), "nodes")
+    each = signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bits", "plain", "bands")], F.min(F.struct("id", "row_hash")).alias("row"))
+    nodes = settle(_spread(each), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     shared = settle(buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = settle(buckets.join(shared.select("band", "pivot"), "band"), "members")
     star = members.where("node != pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
-    sketched = lambda pairs: (
-        pairs.join(nodes.select(F.col("node").alias("a"), F.struct(*sketch).alias("of_a")), "a")
-        .join(nodes.select(F.col("node").alias("b"), F.struct(*sketch).alias("of_b")), "b")
-        .where(_may_link("of_a", "of_b"))
-        .drop("of_a", "of_b")
-    )
-    star = settle(sketched(star), "pairs")
+    of = lambda name: nodes.select(F.col("node").alias(name), *_sketch()).alias(f"of_{name}")
+    with_a = star.alias("p").join(of("a"), F.col("p.a") == F.col("of_a.a")).select("p.*", *_sketch("of_a")).alias("x")
+    near = (F.col("x.b") == F.col("of_b.b")) & _may_link("x", "of_b")
+    star = settle(with_a.join(of("b"), near).select("x.a", "x.b", "x.n"), "pairs")
 
     # Whole texts of the nodes that may have a link, of one row each.
     wanted = members.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", F.col("row.id").alias("_id"), F.col("row.row_hash").alias("_hash"))
@@ -295,7 +307,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", similar: float = SIMILAR) -
     # sketches are near, but those that were tried.
     rooted = _rooted(members, roots, "node", "root")
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    some = settle(rooted.join(mixed, "band").join(nodes.select("node", "bands", *sketch), "node").select("band", "node", "root", "bands", *sketch), "mixed")
+    some = settle(rooted.join(mixed, "band").join(nodes.select("node", "bands", *_sketch()), "node").select("band", "node", "root", "bands", *_sketch()), "mixed")
     a, b = some.alias("x"), some.alias("y")
     # A pair that shares several buckets is made in one of them.
     here = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
