@@ -45,6 +45,18 @@ def chart_history(df: DataFrame, by, order: str, back: int = 991) -> DataFrame:
     return last_n(df, by, order, back)
 
 
+def chart_points(df: DataFrame, by, order: str, actual: str, forecast: str, back: int = 991, horizon: int = 10) -> DataFrame:
+    """The chart of each series: its newest `back` samples with the value measured and the
+    one forecast for it `horizon` samples before, and `horizon` points to come, with a
+    forecast only. `ago` counts samples back from the newest; points to come are below 0."""
+    by = names(by)
+    rows = last_n(df.select(*by, order, actual, forecast), by, order, back + horizon)
+    none = F.lit(None).cast("double")
+    now = rows.where(F.col("ago") < back).select(*by, "ago", F.col(actual).cast("double").alias("actual"), none.alias("forecast"))
+    due = rows.select(*by, F.col("ago") - horizon, none, F.col(forecast).cast("double"))
+    return now.unionAll(due).groupBy(*by, "ago").agg(F.max("actual").alias("actual"), F.max("forecast").alias("forecast"))
+
+
 def alerts(predictions: DataFrame, threshold: float | DataFrame = 800.0) -> DataFrame:
     """Predictions above the threshold, a number or a one-row table."""
     limit = threshold.scalar() if isinstance(threshold, DataFrame) else F.lit(float(threshold))

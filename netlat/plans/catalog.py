@@ -798,6 +798,15 @@ def chart_history(spark, sf):
     return bigs(vw.chart_history(rows, "event_type", "ts").drop("ts"))
 
 
+@query("""WITH r AS (SELECT event_type, value, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS nth FROM events),
+  p AS (SELECT event_type, nth - 1 AS ago, value AS actual, CAST(NULL AS DOUBLE) AS forecast FROM r WHERE nth <= 991
+    UNION ALL SELECT event_type, nth - 11, NULL, CAST(event_id % 1000 AS DOUBLE) FROM r WHERE nth <= 1001)
+SELECT event_type, ago, max(actual) AS actual, max(forecast) AS forecast FROM p GROUP BY 1, 2""")
+def chart_points(spark, sf):
+    rows = events(spark, sf).withColumn("guess", F.col("event_id") % 1000)
+    return bigs(vw.chart_points(rows, "event_type", "ts", "value", "guess"))
+
+
 @query("""SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY 1""")
 def latest_row(spark, sf):
     return vw.latest_row(events(spark, sf).select("user_id", "event_id", "value", "ts"), "user_id", "ts").drop("ts")

@@ -186,14 +186,20 @@ def training_set(
     return scaled.select(run, order, "last_value", "features", "y_target", "pos", "split", "fold"), mm
 
 
-def train(df: DataFrame, grid: dict = md.GRID, parallelism: int = 1, **params):
-    """Tune the boosted trees on the training rows."""
-    return md.tune(df.where("split = 'train'"), grid, "fold", parallelism, **params)
+def train(df: DataFrame, grid: dict = md.GRID, parallelism: int = 1, store: str | None = None, **params):
+    """Tune the boosted trees on the training rows; the winner is kept in the folder
+    `store`, where evaluate and the live job find it again."""
+    tuned = md.tune(df.where("split = 'train'"), grid, "fold", parallelism, **params)
+    if store:
+        md.save_model(tuned.bestModel, store)
+    return tuned
 
 
 def evaluate(df: DataFrame, models: dict, mm: DataFrame, every: int = 50) -> dict[str, DataFrame]:
     """Metrics and best model, every n-th row of the test set with all predictions
-    (`samples`) and, of several models, which of the first two is better (`gap`)."""
+    (`samples`) and, of several models, which of the first two is better (`gap`). A model
+    may be given as the folder it was kept in."""
+    models = {name: md.load_model(df.sparkSession, m) if isinstance(m, str) else m for name, m in models.items()}
     train, test = df.where("split = 'train'"), df.where("split = 'test'")
     fitted = md.fit_models(train, models)
     metrics = md.compare(train, test, fitted, mm, persistence="last_value")

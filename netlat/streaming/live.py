@@ -13,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netlat.operators.align import merge_counters
-from netlat.operators.model import score_window
+from netlat.operators.model import load_model, score_window
 from netlat.operators.rates import features_of
 from netlat.operators.series import names
 from netlat.operators.views import alerts
@@ -218,7 +218,7 @@ def live_tables(features: DataFrame, model: Model, mm: DataFrame, threshold: flo
 def live_job(
     spark: SparkSession,
     source: str,
-    model: Model,
+    model: Model | str,
     mm: DataFrame,
     out: str,
     checkpoint: str,
@@ -232,7 +232,8 @@ def live_job(
 ) -> list[StreamingQuery]:
     """Score a folder of snapshots: predictions, alerts and late rows become three tables
     below `out`, all from one stream. Started again with its checkpoint, it goes on
-    where it ended."""
+    where it ended. `model` may be the folder that a training job kept it in."""
+    model = load_model(spark, model) if isinstance(model, str) else model
     snapshots = snapshot_stream(spark, source, files_per_trigger)
     features = stream_features(snapshots, steps, link_bps, late=late, silent=silent, keep_late=True)
     return [start_tables(features, lambda rows: live_tables(rows, model, mm, threshold), out, checkpoint, available_now)]

@@ -148,10 +148,12 @@ def test_a_stored_model_predicts_the_same(spark, trained, tmp_path):
     assert show(model) == show(again)
 
 
-def test_grid_search_uses_the_given_folds(spark, trained):
+def test_grid_search_uses_the_given_folds(spark, trained, tmp_path):
     data, _ = trained
-    tuned = jobs.train(data, {"maxIter": [1, 5], "maxDepth": [2]})
+    tuned = jobs.train(data, {"maxIter": [1, 5], "maxDepth": [2]}, store=str(tmp_path / "winner"))
     table = md.grid_table(spark, tuned).toPandas()
+    kept, own = (jobs.evaluate(data, {"gbt": m}, trained[1])["metrics"].collect() for m in (str(tmp_path / "winner"), tuned.bestModel))
+    assert sorted(kept) == sorted(own)
     assert len(table) == 2 and tuned.bestModel.getNumTrees == 5
     assert table.mse[1] < table.mse[0]
     folded = jobs.importance(spark, tuned.bestModel, ["RTT_ms_mean", "phase", "flat"])
@@ -273,7 +275,7 @@ def test_live_job_goes_on_after_a_stop_and_repeats_no_row(spark, tmp_path):
     md.save_model(model, str(tmp_path / "model"))
 
     def go():
-        for q in live.live_job(spark, str(tmp_path / "in"), md.load_model(spark, str(tmp_path / "model")), mm, str(tmp_path / "out"), str(tmp_path / "state"), threshold=20.0, steps=3, available_now=True):
+        for q in live.live_job(spark, str(tmp_path / "in"), str(tmp_path / "model"), mm, str(tmp_path / "out"), str(tmp_path / "state"), threshold=20.0, steps=3, available_now=True):
             q.awaitTermination()
 
     go()
