@@ -24,6 +24,7 @@ from netlat.plans import jobs
 from netlat.plans.standins import (
     EVENT_TYPES,
     as_snapshots,
+    connection_files,
     events,
     hourly,
     hourly_by_type,
@@ -34,7 +35,7 @@ from netlat.plans.standins import (
 )
 from netlat.schemas import COUNTERS, FEATURES
 from netlat.session import scratch_path
-from netlat.sources.tables import read_dataset, write_dataset
+from netlat.sources.tables import read_dataset, write_dataset, write_report
 from netlat.streaming import live
 
 QUERIES = {}
@@ -174,6 +175,33 @@ def conn_daily_topk(spark, sf):
     return bigs(cl.top_counts(rows, "user_id", 10, by="day"))
 
 
+_LOGGED = """SELECT CAST(year(o_orderdate) AS VARCHAR) AS day, o_orderpriority AS proto, o_custkey % 50 AS id_resp_p FROM orders"""
+
+
+@query(f"""SELECT day, proto, CAST(id_resp_p AS BIGINT) AS id_resp_p, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY day
+  ORDER BY count DESC, proto DESC, CAST(id_resp_p AS VARCHAR) DESC) AS rank
+  FROM (SELECT day, proto, id_resp_p, count(*) AS count FROM ({_LOGGED}) GROUP BY 1, 2, 3)) WHERE rank <= 10""")
+def report_increments(spark, sf):
+    """The report of log files written from the orders, a day after the other."""
+    orders = table(spark, sf, "orders")
+    rows = orders.select(
+        F.year("o_orderdate").cast("string").alias("day"),
+        F.unix_seconds("o_orderdate").cast("double").alias("ts"),
+        F.col("o_custkey").cast("string").alias("id.resp_h"),
+        (F.col("o_custkey") % 50).cast("int").alias("id.resp_p"),
+        F.col("o_orderpriority").alias("proto"),
+        F.lit(None).cast("double").alias("duration"),
+        F.col("o_orderkey").alias("orig_bytes"),
+        F.col("o_custkey").alias("resp_bytes"),
+        F.col("o_orderstatus").alias("conn_state"),
+    )
+    logs, out = scratch_path(spark, "conn-logs"), scratch_path(spark, "report")
+    connection_files(rows, logs)
+    for days in ("*[02468]", "*[13579]"):
+        write_report(jobs.connection_report(spark, logs, days), out)
+    return bigs(spark.read.parquet(f"{out}/proto_port").withColumn("day", F.col("day").cast("string")))
+
+
 # ---- parsing ---------------------------------------------------------------------
 
 CLOCKED = "yyyy-MM-dd HH:mm:ss"

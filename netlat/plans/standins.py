@@ -114,3 +114,23 @@ def log_lines(df: DataFrame, file: str, values: list, header: str) -> DataFrame:
         F.date_format("hour", header).alias("value"),
     )
     return heads.unionAll(lines)
+
+
+def connection_files(rows: DataFrame, folder: str) -> None:
+    """Rows (day, values) as tab-separated logs with a header, `folder/<day>/conn.log`."""
+    spark, columns = rows.sparkSession, [c for c in rows.columns if c != "day"]
+    head = F.concat_ws("\t", F.lit("#fields"), *[F.lit(c) for c in columns])
+    lines = rows.select("day", F.lit(1).alias("at"), F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")) for c in columns]).alias("value"))
+    lines = rows.select("day").distinct().select("day", F.lit(0).alias("at"), head.alias("value")).unionAll(lines)
+    placed = lines.repartition("day").sortWithinPartitions("day", "at").select("day", "value")
+    placed.write.partitionBy("day").text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    for part in fs.listStatus(path):
+        name = part.getPath().getName()
+        if name.startswith("day="):
+            day = f"{folder}/{name.removeprefix('day=')}"
+            fs.mkdirs(at(day))
+            for file in fs.listStatus(part.getPath()):
+                fs.rename(file.getPath(), at(f"{day}/conn.log"))

@@ -67,18 +67,29 @@ def mem_usage(rows: DataFrame) -> DataFrame:
     )
 
 
+def _replacing(df: DataFrame, *by: str):
+    """A writer that replaces the partitions it has rows for and leaves the others."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+
+
 def write_features(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """One partition per run. Rows of a run are not gathered in one task: a task
-    writes a file for each run it holds, after the rows are spread by run and
-    hour."""
+    """One partition per run; runs that are written again are replaced, others stay.
+    Rows of a run are not gathered in one task: rows are spread by run and hour, so a run
+    has at most one file for each of its hours."""
     placed = df.repartition("run_id", F.date_trunc("hour", F.col("time").cast("timestamp")))
-    writer = placed.sortWithinPartitions("run_id", "time").write.mode("overwrite").partitionBy("run_id")
+    writer = _replacing(placed.sortWithinPartitions("run_id", "time"), "run_id")
     writer.option("header", True).format(format).save(path)
 
 
-def write_augmented(df: DataFrame, path: str) -> None:
-    """One partition per source series and variation."""
-    df.write.mode("overwrite").partitionBy("run_id", "variation").parquet(path)
+#: Points of an augmented series in one file.
+FILE_POINTS = 1_000_000
+
+
+def write_augmented(df: DataFrame, path: str, points: int = FILE_POINTS) -> None:
+    """One partition per source series and variation, those written again replaced; each
+    with a file for every so many points."""
+    placed = df.repartition("run_id", "variation", F.floor(F.col("k") / points))
+    _replacing(placed.sortWithinPartitions("run_id", "variation", "k"), "run_id", "variation").parquet(path)
 
 
 def write_dataset(df: DataFrame, scaler: DataFrame, path: str) -> None:
@@ -92,7 +103,11 @@ def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_report(sections: dict[str, DataFrame], path: str) -> None:
-    """One table per report section, partitioned by day where it has one."""
+    """One table per report section. Those by day are partitioned by it, and the days of
+    this report replace theirs: a report grows by its new days, without a look at the
+    old ones."""
     for name, df in sections.items():
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy("day") if "day" in df.columns else writer).parquet(f"{path}/{name}")
+        if "day" in df.columns:
+            _replacing(df, "day").parquet(f"{path}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -11,7 +11,7 @@ from netlat.plans import jobs
 from netlat.schemas import CONN_SCHEMA, FEATURES, SSL_SCHEMA
 from netlat.session import settle
 from netlat.sources.logs import optional, read_lines, read_optional_lines, read_zeek, require
-from netlat.sources.tables import parse_mem_usage, read_feature_csv, write_features
+from netlat.sources.tables import parse_mem_usage, read_feature_csv, write_augmented, write_features, write_report
 
 RUN = "AI_TRAINING_DATA_20251122_115950"
 DAY = "2025-11-22"
@@ -348,3 +348,39 @@ def test_text_is_read_once_for_all_logs(spark, tmp_path):
     both = sections.timed_logs({n: mt.counter_lines(read_lines(spark, str(run / f))) for n, f in (("p", "packets_count.log"), ("r", "retrans_bpftrace.log"))})
     assert all("FileScan text" not in plan(df) for df in both.values())
     assert {n: mt.sums(df, "n").count() for n, df in both.items()} == {"p": 50, "r": 50}
+
+
+def files_of(folder):
+    return {str(f): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def test_a_run_written_again_leaves_the_others(spark, tmp_path):
+    times = F.timestamp_seconds(F.col("id") * 600 + 1_700_000_000)
+    rows = spark.range(60).select(F.concat(F.lit("r"), F.col("id") % 3).alias("run_id"), times.alias("time"), (F.col("id") * 1.0).alias("x"))
+    out = tmp_path / "features"
+    write_features(rows, str(out))
+    before = files_of(out)
+    write_features(rows.where("run_id = 'r1'").withColumn("x", F.col("x") + 100), str(out))
+    after = files_of(out)
+    assert {f: t for f, t in before.items() if "run_id=r1" not in f} == {f: t for f, t in after.items() if "run_id=r1" not in f}
+    back = spark.read.parquet(str(out))
+    assert back.count() == 60 and back.where("x >= 100").select("run_id").distinct().collect()[0][0] == "r1"
+    # A run has at most a file for each hour.
+    for run in ("r0", "r1", "r2"):
+        hours = rows.where(f"run_id = '{run}'").select(F.date_trunc("hour", "time")).distinct().count()
+        assert sum(f"run_id={run}" in f for f in after) <= hours
+    varied = rows.select("run_id", F.lit(1).alias("variation"), F.col("x").cast("bigint").alias("k"), "x")
+    write_augmented(varied, str(tmp_path / "aug"), points=30)
+    write_augmented(varied.where("run_id = 'r0'"), str(tmp_path / "aug"), points=30)
+    assert len(files_of(tmp_path / "aug")) <= 6 and spark.read.parquet(str(tmp_path / "aug")).count() == 60
+
+
+def test_report_of_new_days_adds_to_the_old(spark, tmp_path):
+    conn = lambda days: spark.createDataFrame([(d, float(k), "h", k % 3, "tcp", 1.0, k, k, "SF") for d in days for k in range(20)],
+        "day string, ts double, id_resp_h string, id_resp_p int, proto string, duration double, orig_bytes long, resp_bytes long, conn_state string")
+    for days in (["0801"], ["0802", "0803"], ["0802"]):
+        write_report(jobs.report_sections(conn(days), None), str(tmp_path / "parts"))
+    write_report(jobs.report_sections(conn(["0801", "0802", "0803"]), None), str(tmp_path / "whole"))
+    for name in ("proto_port", "hours", "transfers", "mean_duration"):
+        show = lambda root: sorted(map(str, spark.read.parquet(str(tmp_path / root / name)).collect()))
+        assert show("parts") == show("whole") and show("whole")
