@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -84,12 +84,13 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
-#: The column in which measured() adds the ledger to a table.
-ENTRY = "_netlat_ledger"
+#: The columns in which measured() adds the measurements and the bits to a table.
+ENTRY, FAILED = "_netlat_ledger", "_netlat_failed"
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with the ledger's entry of each row, a struct, as one more column."""
+    """docs with the ledger's entry of each row as two more columns: the measurements, a
+    struct, and the bits of the rules that it fails. Each rule is evaluated once."""
     kind = pa.struct([(m, pa.int64()) for m in MEASURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,36 +101,45 @@ def measured(docs: DataFrame) -> DataFrame:
 
     entry = StructType([StructField(m, LongType()) for m in MEASURES])
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(ENTRY, entry)]))
+    made = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(ENTRY, entry)]))
+    failed = F.lit(0).cast("long")
+    for k, (_, fails) in enumerate(RULES):
+        for m in sorted(MEASURES, key=len, reverse=True):
+            fails = re.sub(rf"\b{m}\b", f"{ENTRY}.{m}", fails)
+        failed = failed.bitwiseOR(F.when(F.expr(fails), F.lit(1 << k)).otherwise(0).cast("long"))
+    return made.withColumn(FAILED, failed)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a row: the identifier, the measurements and failed, the bits.
 
     Words are runs of other than ASCII white space. A null text has no words and
-    fails what an empty one fails. Other columns are ignored.
+    fails what an empty one fails. Rows that repeat are measured each. Other columns are
+    ignored; an empty table gives an empty table.
     """
     rows = measured(docs.select(F.col(id_col).cast("long").alias("id"), text_of().alias("text")))
-    entries = rows.select(F.col("id").alias(id_col), f"{ENTRY}.*")
-    failed = F.lit(0).cast("long")
-    for k, (_, fails) in enumerate(RULES):
-        failed = failed.bitwiseOR(F.when(F.expr(fails), F.lit(1 << k)).otherwise(0).cast("long"))
-    return entries.withColumn("failed", failed)
+    return rows.select(F.col("id").alias(id_col), f"{ENTRY}.*", F.col(FAILED).alias("failed"))
+
+
+def _holds(failed: str, names) -> Column:
+    """Whether any of some rules is among the bits."""
+    return F.col(failed).bitwiseAND(F.lit(mask(names)).cast("long")) != 0
 
 
 def keep(docs: DataFrame, version: int = CURRENT) -> DataFrame:
-    """The documents that pass a policy, with their columns as they were; rows are
-    judged where they are read, so nothing is shuffled."""
-    tests = dict(RULES)
-    fails = " OR ".join(f"({tests[n]})" for n in POLICIES[version])
-    for m in sorted(MEASURES, key=len, reverse=True):
-        fails = re.sub(rf"\b{m}\b", f"{ENTRY}.{m}", fails)
-    return measured(docs).where(~F.expr(fails)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents that pass a policy, with their columns as they were: the ledger's bits
+    under the policy's mask. Rows are judged where they are read, so nothing is shuffled.
+
+    A null or empty text fails, having too few words; rows that repeat are judged alike
+    and all stay or go; other columns may have any names but the two of the ledger; an
+    empty table gives an empty table.
+    """
+    return measured(docs).where(~_holds(FAILED, (*BASE, *POLICIES[version]))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def apply_policy(entries: DataFrame, version: int = CURRENT) -> DataFrame:
     """The ledger with policy (its version), base_failed and kept."""
-    held = lambda names: F.col("failed").bitwiseAND(F.lit(mask(names)).cast("long")) != 0
+    held = lambda names: _holds("failed", names)
     return entries.withColumns({"policy": F.lit(version), "base_failed": held(BASE), "kept": ~held((*BASE, *POLICIES[version]))})
 
 
