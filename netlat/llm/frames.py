@@ -134,9 +134,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     return settle(ordered.mapInArrow(write, _MANIFEST), "token-manifest")
 
 
-def shards(manifest: DataFrame) -> list[tuple[int, str, int]]:
-    """(shard, file, ids before it) of each file: as many rows as files."""
-    totals = manifest.groupBy("shard", "file").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
+def shards(manifest: DataFrame, base: str) -> list[tuple[int, str, int]]:
+    """(shard, file, ids before it) of each file, as many rows as files; the ids are
+    summed up from the files' own seek tables."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(base)
+        for batch in batches:
+            sums = []
+            for name in batch.column("file").to_pylist():
+                with fs.open_input_file(f"{path}/{name}") as source:
+                    sums.append(int(FrameReader(source, fs.get_file_info(f"{path}/{name}").size).counts().sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("file"), pa.array(sums, pa.int64())], names=["shard", "file", "n"])
+
+    files = manifest.select("shard", "file").distinct()
+    totals = files.mapInArrow(count, "shard int, file string, n long").orderBy("shard").collect()
     starts = np.append(0, np.cumsum([r["n"] for r in totals], dtype=np.int64))
     return [(r["shard"], r["file"], int(s)) for r, s in zip(totals, starts[:-1], strict=True)]
 
@@ -147,7 +159,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, doc_
     frames alone are unpacked."""
     base = qualified(spark, folder)
     wanted = None if doc_ids is None else set(doc_ids)
-    files = shards(manifest)
+    files = shards(manifest, base)
     table = spark.createDataFrame(files, "shard int, file string, start long").repartition(max(1, len(files)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
