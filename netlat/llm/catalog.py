@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlat.llm import bpe, exact, frames, language, lexical, licenses, near, negatives, packing, quality_lm, rules, token_cache, urls
-from netlat.session import scratch_path
+from netlat.session import scratch_path, shared_path
 
 QUERIES = {}
 ORACLE = {}
@@ -58,7 +58,7 @@ def op5_rule_ledger(spark, sf):
 
 @query()
 def op6_token_counts(spark, sf):
-    counts = token_cache.count_tokens(table(spark, sf, "documents"), scratch_path(spark, "token-counts"), public_tokenizers.path(BYTES_50K))
+    counts = token_cache.count_tokens(table(spark, sf, "documents"), shared_path(spark, "token-counts"), public_tokenizers.path(BYTES_50K))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
