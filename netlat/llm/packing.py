@@ -40,7 +40,7 @@ CHANGE, STEPS = 1e-3, 400
 EMPTY = 4.0
 
 #: Bytes of pieces a worker keeps; other stages run in the same workers later.
-KEPT = 120_000_000
+KEPT = 70_000_000
 
 _PIECES = "chunk int, nth long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
