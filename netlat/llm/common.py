@@ -47,6 +47,13 @@ def worker_state() -> dict:
     return sys.modules[name].state
 
 
+def free_worker() -> None:
+    """Drops what other operators' tasks kept in this worker (tables of token pieces), for
+    a task that needs the memory itself; they fill them again."""
+    worker_state().clear()
+    pa.default_memory_pool().release_unused()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, as executors see it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlat.llm.common import parts, rows_that_stay, text_of
+from netlat.llm.common import free_worker, parts, rows_that_stay, text_of
 from netlat.llm.licenses import LOWER_WORDS
 from netlat.session import settle
 
 SHINGLE, SIMILAR = 5, 0.8
+#: Bytes of texts that are signed together: registers take M * 16 bytes a text.
+SIGNED_BYTES = 1_000_000
 #: Registers; bands, and registers in a band: half of them. Texts of similarity 0.8
 #: agree in no band with a probability of (1 - 0.8^6)^42, about 0.000003.
 M, BANDS, ROWS = 512, 42, 6
@@ -150,8 +152,9 @@ def sign(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     of the sketch without weights, null if it is the same), bands of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for batch in batches:
-            for part in parts(batch, ["text"]):
+            for part in parts(batch, ["text"], SIGNED_BYTES):
                 # Copies in a batch are signed once.
                 texts = [normal(t.as_py()) for t in part.column("text")]
                 place: dict[bytes, int] = {}

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlat.llm.common import file_system, qualified, rows_that_stay, text_of
+from netlat.llm.common import file_system, free_worker, qualified, rows_that_stay, text_of
 from netlat.session import scratch_path, settle
 
 #: Characters in an n-gram.
@@ -120,6 +120,7 @@ def block_grams(rows: DataFrame, trusted: DataFrame, n: int) -> DataFrame:
     base = qualified(spark, notes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         fs, path = file_system(base)
         at, good, found = None, None, None
         for block, texts, langs, places in _by_block(batches, "row"):
@@ -226,6 +227,7 @@ def score(rows: DataFrame, grams: DataFrame, probs: DataFrame, n: int) -> DataFr
     base = qualified(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         fs, folder = file_system(base)
         at, index, values, have = None, None, None, set()
         for block, texts, langs, ids, marks in _by_block(batches, "id", "row_hash"):
