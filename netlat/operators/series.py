@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 50_000
+# Rows of a series in one stored chunk.
+STORED_ROWS = 512
 # Column types whose values are bucketed as seconds.
 _TIME_TYPES = {"timestamp", "timestamp_ntz", "date"}
 
@@ -200,6 +202,45 @@ def sequences(
     return made.drop("_steps", "_more")
 
 
+def sequence_chunks(
+    df, cols, run, steps: int, keep, ends: Column, pos: str = "pos", rows: int = STORED_ROWS
+) -> DataFrame:
+    """Series cut into chunks, each with all windows of `steps` rows that end in it.
+
+    One row a chunk: the series, `chunk`, `held` (`cols` of the chunk's rows in their
+    order, after those of the steps - 1 rows before it) and `ends` (of each row for which
+    the condition `ends` holds its place in `held` and the columns `keep`). A row is stored
+    1 + (steps - 1) / rows times instead of the `steps` times of `sequences`. `pos` numbers
+    the rows of a series from 0. Chunks without an end are left out.
+    """
+    run = names(run)
+    step = F.array(*[F.col(c).cast("double") for c in names(cols)])
+    kept = F.when(ends, F.struct(*keep))
+    upto = F.sequence(F.expr(f"{pos} div {rows}"), F.expr(f"({pos} + {steps - 1}) div {rows}"))
+    copies = df.select(*run, F.col(pos).alias("_pos"), step.alias("_step"), kept.alias("_kept"), F.explode(upto).alias("chunk"))
+    own = F.when(F.expr(f"_pos div {rows}") == F.col("chunk"), F.col("_kept"))
+    # A chunk has at most rows + steps - 1 rows.
+    held = F.array_sort(F.collect_list(F.struct("_pos", "_step", own.alias("_kept"))))
+    chunks = copies.groupBy(*run, "chunk").agg(held.alias("_rows"))
+    placed = F.transform("_rows", lambda x, i: F.struct(i.alias("at"), x["_kept"].alias("kept")))
+    return chunks.select(
+        *run,
+        "chunk",
+        F.transform("_rows", lambda x: x["_step"]).alias("held"),
+        F.filter(placed, lambda x: x["kept"].isNotNull()).alias("ends"),
+    ).where(F.size("ends") > 0)
+
+
+def chunk_windows(chunks: DataFrame, run, steps: int, name: str = "features") -> DataFrame:
+    """The windows of sequence_chunks: the series, the columns that were kept, and the
+    window as one flat array, oldest step first. They are made as chunks are read, so
+    call this late."""
+    run = names(run)
+    window = lambda e: F.flatten(F.slice("held", e["at"] - (steps - 2), steps))
+    made = F.transform("ends", lambda e: F.struct(e["kept"].alias("kept"), window(e).alias(name)))
+    return chunks.select(*run, F.explode(made).alias("_w")).select(*run, "_w.kept.*", f"_w.{name}")
+
+
 def interval_ends(phases: DataFrame, by, start: str, end: str = "end", last: Column | None = None) -> DataFrame:
     """End of each interval: the next start of the same series, else `last`.
 

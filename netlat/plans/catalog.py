@@ -34,7 +34,7 @@ from netlat.plans.standins import (
     table,
 )
 from netlat.schemas import COUNTERS, FEATURES
-from netlat.session import scratch_path
+from netlat.session import scratch_path, settle
 from netlat.sources.tables import read_dataset, write_dataset, write_report
 from netlat.streaming import live
 
@@ -585,6 +585,15 @@ def sequence_windows(spark, sf):
     return _flat(sr.sequences(usable, EVENT_TYPES, "run_id", "time", _STEPS), "run_id", epoch("time"))
 
 
+@query(f"""{_steps_sql(False)} SELECT run_id, {SECONDS}, {", ".join(_F)} FROM s WHERE i >= {_STEPS} AND following IS NOT NULL""")
+def chunked_windows(spark, sf):
+    """Windows made of a stored table of chunks, which holds each row about once."""
+    rows = sr.with_position(hourly_by_type(spark, sf), "run_id", "time", size="_size")
+    ends = F.col("pos").between(_STEPS - 1, F.col("_size") - 2)
+    chunks = settle(sr.sequence_chunks(rows, EVENT_TYPES, "run_id", _STEPS, ["time"], ends, rows=50), "chunks")
+    return _flat(sr.chunk_windows(chunks, "run_id", _STEPS), "run_id", epoch("time"))
+
+
 @query(f"""{_steps_sql(True)} SELECT run_id, {SECONDS}, {", ".join(_F)} FROM s""")
 def padded_buffer(spark, sf):
     return _flat(sr.sequences(hourly_by_type(spark, sf), EVENT_TYPES, "run_id", "time", _STEPS, pad=True), "run_id", epoch("time"))

@@ -12,7 +12,7 @@ from netlat.operators import load as ld
 from netlat.operators import metrics as mt
 from netlat.operators import model as md
 from netlat.operators import scores as sc
-from netlat.operators.series import CHUNK_ROWS, future_max, sequences, with_position
+from netlat.operators.series import CHUNK_ROWS, STORED_ROWS, chunk_windows, future_max, sequence_chunks, sequences, with_position
 from netlat.session import settle
 from netlat.schemas import CONN_SCHEMA, FEATURES, LABEL, SSL_SCHEMA, TARGET
 from netlat.sources.logs import exists, optional, read_lines, read_optional_lines, read_zeek
@@ -146,6 +146,60 @@ def augment_files(spark: SparkSession, path: str, **options) -> DataFrame:
     return augment(read_feature_csv(spark, path), ["block", "line_no"], span=1, **options)
 
 
+def _usable(df: DataFrame, run: str, order: str, cols: list[str], target: str, steps: int, horizon: int, span: float, rows: int) -> DataFrame:
+    """Rows with a target, of series that give a window, numbered by `_at` of `_size`;
+    stored once for all that follows."""
+    with_target = future_max(df.select(run, order, *cols), target, run, order, horizon, span=span, rows=rows).dropna()
+    placed = with_position(with_target, run, order, name="_at", span=span, size="_size")
+    return settle(placed.where(F.col("_size") > steps), "usable")
+
+
+def _ends(steps: int, keep_last: bool):
+    """Whether a window ends at a row of _usable."""
+    return F.col("_at") >= steps - 1 if keep_last else F.col("_at").between(steps - 1, F.col("_size") - 2)
+
+
+def training_chunks(
+    df: DataFrame,
+    run: str = "run_id",
+    order: str = "time",
+    cols: list[str] = FEATURES,
+    target: str = TARGET,
+    steps: int = 60,
+    horizon: int = 10,
+    train: float = 0.8,
+    folds: int = 3,
+    gap: int = 0,
+    fit_on: str = "all",
+    keep_last: bool = False,
+    span: float = 3600,
+    rows: int = CHUNK_ROWS,
+    stored: int = STORED_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """What training_set gives, as chunks of `stored` rows that hold each row about once,
+    and the scaler. windows_of makes the windows."""
+    usable = _usable(df, run, order, cols, target, steps, horizon, span, rows)
+    ends = _ends(steps, keep_last)
+    # Rows that end no window are numbered too, but not kept as ends.
+    numbered = usable.withColumn("_nth", F.col("_at") - (steps - 1))
+    split = ds.position_split(numbered, run, order, train, folds, gap, in_run="_nth", counted=usable.where(ends))
+    keep = [F.col(order), F.col(target).alias("last_value"), "y_target", "pos", "split", "fold"]
+    chunks = settle(sequence_chunks(split, cols, run, steps, keep, ends, "_at", stored), "chunks")
+    if fit_on == "all":
+        mm = ds.fit_minmax(usable, [*cols, "y_target"])
+    else:
+        mm = ds.fit_steps(chunk_windows(chunks, run, steps).where("split = 'train'"), cols, also="y_target")
+    return chunks, settle(mm, "scaler")
+
+
+def windows_of(
+    chunks: DataFrame, mm: DataFrame, run: str = "run_id", order: str = "time", cols: list[str] = FEATURES, steps: int = 60
+) -> DataFrame:
+    """The scaled windows of training_chunks, made as the chunks are read."""
+    scaled = ds.scale_steps(chunk_windows(chunks, run, steps), mm, cols, also="y_target")
+    return scaled.select(run, order, "last_value", "features", "y_target", "pos", "split", "fold")
+
+
 def training_set(
     df: DataFrame,
     run: str = "run_id",
@@ -169,14 +223,10 @@ def training_set(
     training windows only; together with a gap of steps + horizon - 1 rows the
     test rows then stay unseen.
     """
-    with_target = future_max(df.select(run, order, *cols), target, run, order, horizon, span=span, rows=rows).dropna()
-    placed = with_position(with_target, run, order, name="_at", span=span, size="_size")
-    # Short series give no window; the narrow rows are stored once for all that follows.
-    usable = settle(placed.where(F.col("_size") > steps), "usable")
+    usable = _usable(df, run, order, cols, target, steps, horizon, span, rows)
     windows = sequences(usable, cols, run, order, steps, keep_last=keep_last, pos="_at", rows=rows)
     windows = windows.withColumn("_at", F.col("_at") - (steps - 1))
-    counted = usable.where(F.col("_at") >= steps - 1 if keep_last else F.col("_at").between(steps - 1, F.col("_size") - 2))
-    split = ds.position_split(windows, run, order, train, folds, gap, in_run="_at", counted=counted)
+    split = ds.position_split(windows, run, order, train, folds, gap, in_run="_at", counted=usable.where(_ends(steps, keep_last)))
     if fit_on == "all":
         mm = ds.fit_minmax(usable, [*cols, "y_target"])
     else:

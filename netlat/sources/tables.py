@@ -102,6 +102,17 @@ def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/sequences"), spark.read.parquet(f"{path}/scaler")
 
 
+def write_chunks(chunks: DataFrame, scaler: DataFrame, path: str) -> None:
+    """A training set as chunks of rows, which a reader makes its windows of, and the
+    one-row scaler."""
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    scaler.coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
+
+
+def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/scaler")
+
+
 def write_report(sections: dict[str, DataFrame], path: str) -> None:
     """One table per report section. Those by day are partitioned by it, and the days of
     this report replace theirs: a report grows by its new days, without a look at the

@@ -22,6 +22,7 @@ from netlat.operators import spread
 from netlat.operators import views as vw
 from netlat.plans import jobs
 from netlat.schemas import FEATURES
+from netlat.sources.tables import read_chunks, write_chunks
 
 START = dt.datetime(2025, 11, 22, 12, 0, 0)
 
@@ -235,6 +236,39 @@ def test_training_set(spark):
     assert seen.first()["max_i"] <= row["max_i"]
 
 
+@pytest.mark.parametrize("options", [{}, {"fit_on": "train", "gap": 5}, {"keep_last": True}])
+def test_chunks_give_the_same_windows(spark, options):
+    df = series(spark, [200, 90, 70, 20])
+    what = {"cols": ["x", "i"], "target": "x", "steps": 60, "horizon": 10, **options}
+    windows, mm = jobs.training_set(df, rows=100, **what)
+    chunks, scaler = jobs.training_chunks(df, rows=100, stored=32, **what)
+    assert scaler.first().asDict() == mm.first().asDict()
+    got = jobs.windows_of(chunks, scaler, cols=["x", "i"], steps=60)
+    assert got.columns == windows.columns
+    key = lambda rows: sorted(map(tuple, ((r.run_id, r.time, r.last_value, tuple(r.features), r.y_target, r.pos, r.split, r.fold) for r in rows)))
+    assert key(got.collect()) == key(windows.collect())
+
+
+def test_chunks_hold_rows_about_once(spark, tmp_path):
+    df = series(spark, [3000])
+    chunks, mm = jobs.training_chunks(df, cols=["x", "i"], target="x", rows=1000, steps=60)
+    write_chunks(chunks, mm, str(tmp_path))
+    back, scaler = read_chunks(spark, str(tmp_path))
+    assert back.agg(F.sum(F.size("held"))).first()[0] < 1.15 * 3000
+    assert jobs.windows_of(back, scaler, cols=["x", "i"]).count() == 3000 - 10 - 60
+
+
+def test_chunks_of_odd_tables(spark):
+    kind = "run_id string, pos bigint, v double, extra string"
+    empty = spark.createDataFrame([], kind)
+    some = spark.createDataFrame([(None, 0, 1.0, "a"), (None, 1, None, "b"), (None, 2, 3.0, "c"), ("s", 0, 4.0, None)], kind)
+    ends = F.col("pos") >= 1
+    for rows in (1, 2, 10):
+        assert sr.chunk_windows(sr.sequence_chunks(empty, "v", "run_id", 2, ["extra"], ends, rows=rows), "run_id", 2).count() == 0
+        got = sr.chunk_windows(sr.sequence_chunks(some, "v", "run_id", 2, ["extra"], ends, rows=rows), "run_id", 2).collect()
+        assert sorted((r.run_id, r.extra, r.features) for r in got) == [(None, "b", [1.0, None]), (None, "c", [None, 3.0])]
+
+
 def test_labels_follow_the_phase(spark):
     at = lambda s: START + dt.timedelta(seconds=s)
     rows = spark.createDataFrame([("a", at(s)) for s in range(10)] + [("b", at(3)), ("a", START.replace(hour=23, minute=59, second=59))], "run_id string, time timestamp")
