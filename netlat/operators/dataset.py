@@ -49,16 +49,15 @@ def scale_steps(df: DataFrame, mm: DataFrame, cols, features: str = "features",
     index falls on, and one more column besides."""
     cols = names(cols)
     n = len(cols)
-    at = _attach(df, mm)
-    at = at.withColumns(
-        {
-            "_low": F.array(*[F.col(f"_mm.min_{c}") for c in cols]),
-            "_width": F.array(*[_width(c) for c in cols]),
-        }
-    )
-    made = {features: F.transform(features, lambda x, i: (x - F.get("_low", i % n)) / F.get("_width", i % n))}
+    low, width = (lambda c: F.col(f"_mm.min_{c}")), _width
+    # The arrays are made in the scaler's own row, once, not anew for each value of a window.
+    row = mm.select(F.struct(*mm.columns).alias("_mm"))
+    ends = {"low": F.array(*[low(c) for c in cols]), "width": F.array(*[width(c) for c in cols])}
+    ends |= {"low_also": low(also), "width_also": width(also)} if also else {}
+    at = df.withColumn("_ends", row.select(F.struct(*[c.alias(k) for k, c in ends.items()])).scalar())
+    made = {features: F.transform(features, lambda x, i: (x - F.get("_ends.low", i % n)) / F.get("_ends.width", i % n))}
     if also:
-        made[also] = (F.col(also) - F.col(f"_mm.min_{also}")) / _width(also)
+        made[also] = (F.col(also) - F.col("_ends.low_also")) / F.col("_ends.width_also")
     return at.select(*[made[c].alias(c) if c in made else F.col(c) for c in df.columns])
 
 

@@ -224,15 +224,18 @@ def training_set(
     test rows then stay unseen.
     """
     usable = _usable(df, run, order, cols, target, steps, horizon, span, rows)
-    windows = sequences(usable, cols, run, order, steps, keep_last=keep_last, pos="_at", rows=rows)
+    placed = usable.withColumn("last_value", F.col(target))
+    if fit_on == "all":
+        # Each row is scaled once, before it stands in many windows.
+        mm = settle(ds.fit_minmax(usable, [*cols, "y_target"]), "scaler")
+        placed = ds.scale(placed, mm, [*cols, "y_target"])
+    windows = sequences(placed, cols, run, order, steps, keep_last=keep_last, pos="_at", rows=rows)
     windows = windows.withColumn("_at", F.col("_at") - (steps - 1))
     split = ds.position_split(windows, run, order, train, folds, gap, in_run="_at", counted=usable.where(_ends(steps, keep_last)))
-    if fit_on == "all":
-        mm = ds.fit_minmax(usable, [*cols, "y_target"])
-    else:
-        mm = ds.fit_steps(split.where("split = 'train'"), cols, also="y_target")
-    mm = settle(mm, "scaler")
-    scaled = ds.scale_steps(split.withColumn("last_value", F.col(target)), mm, cols, also="y_target")
+    scaled = split
+    if fit_on != "all":
+        mm = settle(ds.fit_steps(split.where("split = 'train'"), cols, also="y_target"), "scaler")
+        scaled = ds.scale_steps(split, mm, cols, also="y_target")
     return scaled.select(run, order, "last_value", "features", "y_target", "pos", "split", "fold"), mm
 
 

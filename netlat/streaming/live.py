@@ -25,21 +25,17 @@ SLICE = 5_000
 _WHOLE = [*LEVELS, *COUNTERS]
 # Numbers travel as arrays: each group's columns are made one by one in Python.
 _MADE = "host string, us bigint, made array<double>, features array<double>, dropped bigint, late boolean, gauges array<double>, whole array<bigint>"
-# Of a host: the time up to which rows are out and the latest time seen, the counters
-# of the last row out, the flat feature rows still in reach, how many rows came too
-# late, and the rows that wait for earlier ones: times, gauges, whole numbers, flat.
-_STATE = T.StructType(
-    [
-        T.StructField("out_us", T.LongType()),
-        T.StructField("seen_us", T.LongType()),
-        T.StructField("counters", T.ArrayType(T.LongType())),
-        T.StructField("recent", T.ArrayType(T.DoubleType())),
-        T.StructField("dropped", T.LongType()),
-        T.StructField("waiting_us", T.ArrayType(T.LongType())),
-        T.StructField("waiting_gauges", T.ArrayType(T.DoubleType())),
-        T.StructField("waiting_whole", T.ArrayType(T.LongType())),
-    ]
-)
+# Hosts are dealt by hash into so many groups, since Spark hands the groups of a batch to
+# Python one by one, which takes milliseconds each however few its rows are.
+BUCKETS = 1024
+# Of the hosts of a group: the time up to which rows are out (NONE: no row yet), the latest
+# time seen, when something last came, how many rows came too late, the counters of the
+# last row out and the feature rows still in reach; then the rows that wait for earlier
+# ones: the place of their host, times, gauges, whole numbers. Numbers are kept as bytes.
+_KEPT = {"out_us": "<i8", "seen_us": "<i8", "due_ms": "<i8", "dropped": "<i8", "counters": "<i8", "recent": "<f8"}
+_WAITING = {"of": "<i8", "us": "<i8", "gauges": "<f8", "whole": "<i8"}
+_STATE = T.StructType([T.StructField("hosts", T.ArrayType(T.StringType()))] + [T.StructField(c, T.BinaryType()) for c in (*_KEPT, *(f"waiting_{c}" for c in _WAITING))])
+NONE = np.iinfo(np.int64).min
 
 
 def arrived() -> Column:
@@ -55,8 +51,9 @@ def snapshot_stream(spark: SparkSession, path: str, files_per_trigger: int = 100
 
 
 def _rates(gauges: np.ndarray, whole: np.ndarray, before: np.ndarray, seconds: np.ndarray, first: np.ndarray, link_bps: float, clip: bool) -> np.ndarray:
-    """Feature matrix of sorted snapshots, by the formulas of the batch form."""
-    growth = np.diff(whole[:, len(LEVELS) :], axis=0, prepend=before[None, :])
+    """Feature matrix of snapshots, by the formulas of the batch form; `before` has the
+    counters of the snapshot before each."""
+    growth = whole[:, len(LEVELS) :] - before
     growth = np.maximum(growth, 0) if clip else growth
     now = {c: gauges[:, k] for k, c in enumerate(GAUGES)} | {c: whole[:, k] for k, c in enumerate(_WHOLE)}
     grown = {c: growth[:, k] for k, c in enumerate(COUNTERS)}
@@ -87,8 +84,8 @@ def stream_features(
     they come as they were in the column `late`, without features. The first row of a host fills the front of its first
     windows. Equal times count as one second, missing numbers as 0.
 
-    The state is the last row's counters, at most steps - 1 feature rows and the rows
-    that wait. A host from which nothing has arrived while others sent for as long as
+    The state of a host is the last row's counters, at most steps - 1 feature rows and the
+    rows that wait; hosts are worked on by the group of BUCKETS they fall in. A host from which nothing has arrived while others sent for as long as
     `silent` gives its waiting rows and is forgotten; if it comes back it is new. Time
     for this is the column `arrived` if there is one, else that of the batch: no
     host's own clock, so no host can make another's rows late. Files more than
@@ -98,59 +95,95 @@ def stream_features(
     clocked = snapshots if "arrived" in snapshots.columns else snapshots.withColumn("arrived", F.current_timestamp())
     zero = lambda cols, kind: F.array(*[F.coalesce(F.col(c), F.lit(0)).cast(kind) for c in cols])
     came_us = F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us")
-    narrow = clocked.select("host", "arrived", came_us, zero(GAUGES, "double").alias("gauges"), zero(_WHOLE, "bigint").alias("whole"))
+    numbers = [zero(GAUGES, "double").alias("gauges"), zero(_WHOLE, "bigint").alias("whole")]
+    bucket = F.pmod(F.xxhash64("host"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    narrow = clocked.select(bucket, "host", "arrived", F.coalesce(F.unix_millis("arrived"), F.lit(0)).alias("came"), came_us, *numbers)
+    shapes = {"counters": (len(COUNTERS),), "recent": (steps - 1, width), "gauges": (len(GAUGES),), "whole": (len(_WHOLE),)}
+
+    def read(kinds: dict[str, str], values, n: int) -> dict[str, np.ndarray]:
+        return {c: np.frombuffer(v, kind).reshape(n, *shapes.get(c, ())) for (c, kind), v in zip(kinds.items(), values)}
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out_us, seen_us, counters, recent, dropped, us, gauges, whole = state.get if state.exists else (None, None, None, None, 0, [], [], [])
-        times, numbers, counts = [np.asarray(us, np.int64)], [np.asarray(gauges, float).reshape(-1, len(GAUGES))], [np.asarray(whole, np.int64).reshape(-1, len(_WHOLE))]
-        if state.hasTimedOut:
-            state.remove()
-            limit = seen_us
-        else:
-            # Only numbers are gathered; a batch of the host is let go once read.
-            came = 0
-            for frame in batches:
-                micros, read, read_whole = frame["us"].to_numpy(), np.stack(frame["gauges"].to_list()), np.stack(frame["whole"].to_list())
-                came = max(came, int(frame["arrived"].to_numpy().astype("datetime64[ms]").astype(np.int64).max()))
-                behind = micros < out_us if out_us is not None else np.zeros(len(micros), bool)
-                if behind.any():
-                    dropped += int(behind.sum())
-                    if keep_late:
-                        yield _frame(key[0], micros[behind], None, None, dropped, read[behind], read_whole[behind])
-                    micros, read, read_whole = micros[~behind], read[~behind], read_whole[~behind]
-                times.append(micros)
-                numbers.append(read)
-                counts.append(read_whole)
-            seen_us = max([int(t.max()) for t in times if len(t)] + ([seen_us] if seen_us is not None else []), default=None)
-            limit = None if seen_us is None else seen_us - hold
-        us, gauges, whole = np.concatenate(times), np.concatenate(numbers), np.concatenate(counts)
-        order = np.argsort(us, kind="stable")
-        go = order[: np.searchsorted(us[order], limit, "right")] if limit is not None else order[:0]
-        stay = order[len(go) :]
-        recent = None if recent is None else np.asarray(recent, float).reshape(-1, width)
+        stored = state.get if state.exists else ([], *[b""] * (len(_KEPT) + len(_WAITING)))
+        at = {h: i for i, h in enumerate(stored[0])}
+        old, held = len(at), stored[1 + len(_KEPT) :]
+        kept, parts = read(_KEPT, stored[1:], old), [read(_WAITING, held, len(held[0]) // 8)]
+        # Only numbers are gathered; a batch of the hosts is let go once read.
+        for frame in () if state.hasTimedOut else batches:
+            if frame["us"].isna().any():
+                raise ValueError("a snapshot has no time")
+            of = np.array([at.setdefault(None if pd.isna(h) else h, len(at)) for h in frame["host"]], np.int64)
+            got = {"of": of, "us": frame["us"].to_numpy().astype(np.int64), "came": frame["came"].to_numpy().astype(np.int64)}
+            parts.append(got | {"gauges": np.stack(frame["gauges"].to_list()), "whole": np.stack(frame["whole"].to_list())})
+        hosts, n = np.array([*at, None], object)[:-1], len(at)
+        fill = {"out_us": NONE, "seen_us": NONE}
+        kept = {c: np.concatenate([v, np.full((n - old, *v.shape[1:]), fill.get(c, 0), v.dtype)]) for c, v in kept.items()}
+        out_us, watermark = kept["out_us"], state.getCurrentWatermarkMs()
+
+        heard, came = np.zeros(n, bool), np.zeros(n, np.int64)
+        for k, part in enumerate(parts[1:], 1):
+            heard[part["of"]] = True
+            np.maximum.at(came, part["of"], part["came"])
+            behind = part["us"] < out_us[part["of"]]
+            if behind.any():
+                np.add.at(kept["dropped"], part["of"][behind], 1)
+                if keep_late:
+                    of = part["of"][behind]
+                    yield _frame(hosts[of], part["us"][behind], None, None, kept["dropped"][of], part["gauges"][behind], part["whole"][behind])
+                part = {c: v[~behind] for c, v in part.items()}
+            np.maximum.at(kept["seen_us"], part["of"], part["us"])
+            parts[k] = part
+        kept["due_ms"] = np.where(heard, np.maximum(came, watermark) + 1, kept["due_ms"])
+        rows = {c: np.concatenate([p[c] for p in parts]) for c in _WAITING}
+        order = np.lexsort((rows["us"], rows["of"]))
+        silent_now = ~heard & (kept["due_ms"] < watermark)
+        limit = np.where(silent_now, kept["seen_us"], kept["seen_us"] - hold)
+        goes = rows["us"][order] <= limit[rows["of"][order]]
+        go, stay = order[goes], order[~goes]
+        of, us, whole = rows["of"][go], rows["us"][go], rows["whole"][go]
         made = np.zeros((0, width))
         if len(go):
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            mine, sizes = of[starts], np.diff(starts, append=len(go))
+            new = out_us[mine] == NONE
             first = np.zeros(len(go), bool)
-            first[0] = counters is None
-            before = whole[go[0], len(LEVELS) :] if counters is None else np.asarray(counters, np.int64)
-            seconds = np.diff(us[go], prepend=us[go[0]] - 1_000_000 if out_us is None else out_us) / 1e6
+            first[starts] = new
+            counters = whole[:, len(LEVELS) :]
+            before, since = np.roll(counters, 1, axis=0), np.roll(us, 1)
+            before[starts] = np.where(new[:, None], counters[starts], kept["counters"][mine])
+            since[starts] = np.where(new, us[starts] - 1_000_000, out_us[mine])
+            seconds = (us - since) / 1e6
             seconds[seconds == 0] = 1.0
-            made = _rates(gauges[go], whole[go], before, seconds, first, link_bps, clip)
-            if recent is None:
-                recent = np.repeat(made[:1], steps - 1, axis=0)
-            out_us, counters = int(us[go[-1]]), whole[go[-1], len(LEVELS) :].tolist()
-        history = made if recent is None else np.vstack([recent, made])
-        if not state.hasTimedOut:
-            keep = None if recent is None else history[len(history) - (steps - 1) :].ravel().tolist()
-            state.update((out_us, seen_us, counters, keep, dropped, us[stay].tolist(), gauges[stay].ravel().tolist(), whole[stay].ravel().tolist()))
-            state.setTimeoutTimestamp(max(came, state.getCurrentWatermarkMs()) + 1)
+            made = _rates(rows["gauges"][go], whole, before, seconds, first, link_bps, clip)
+            # Each host's feature rows still in reach stand before its new ones.
+            recent = np.where(new[:, None, None], made[starts][:, None, :], kept["recent"][mine])
+            place = np.arange(len(go)) + np.repeat((steps - 1) * np.arange(1, len(starts) + 1), sizes)
+            history = np.empty((len(go) + (steps - 1) * len(starts), width))
+            history[place] = made
+            reach = np.arange(steps - 1)
+            history[(place[starts] - (steps - 1))[:, None] + reach] = recent
+            ends = starts + sizes - 1
+            kept["recent"][mine] = history[(place[ends] - (steps - 2))[:, None] + reach]
+            kept["out_us"][mine], kept["counters"][mine] = us[ends], counters[ends]
+        dropped = kept["dropped"]
+        # A host that fell silent is forgotten.
+        left = np.flatnonzero(~silent_now)
+        if len(left):
+            to = np.cumsum(~silent_now) - 1
+            later = {c: v[stay] for c, v in rows.items()}
+            later["of"] = to[later["of"]]
+            values = [kept[c][left].astype(kind).tobytes() for c, kind in _KEPT.items()] + [later[c].astype(kind).tobytes() for c, kind in _WAITING.items()]
+            state.update((hosts[left].tolist(), *values))
+            state.setTimeoutTimestamp(max(int(kept["due_ms"][left].min()), watermark, 1))
+        else:
+            state.remove()
         # A window is steps rows wide, so only some are held at a time.
-        for at in range(0, len(made), SLICE):
-            part = made[at : at + SLICE]
-            windows = [history[i : i + steps].ravel() for i in range(at, at + len(part))]
-            yield _frame(key[0], us[go[at : at + SLICE]], part, windows, dropped, None, None)
+        for i in range(0, len(made), SLICE):
+            windows = [history[p - (steps - 1) : p + 1].ravel() for p in place[i : i + SLICE]]
+            some = of[i : i + SLICE]
+            yield _frame(hosts[some], us[i : i + SLICE], made[i : i + SLICE], windows, dropped[some], None, None)
 
-    out = narrow.withWatermark("arrived", silent).groupBy("host").applyInPandasWithState(
+    out = narrow.withWatermark("arrived", silent).groupBy("bucket").applyInPandasWithState(
         update, _MADE, _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     named = [F.get("made", F.lit(k)).alias(c) for k, c in enumerate(FEATURES)]
@@ -158,7 +191,7 @@ def stream_features(
     return shown
 
 
-def _frame(host, us: np.ndarray, made, windows, dropped: int, gauges, whole) -> pd.DataFrame:
+def _frame(host: np.ndarray, us: np.ndarray, made, windows, dropped: np.ndarray, gauges, whole) -> pd.DataFrame:
     rows = lambda values: [None] * len(us) if values is None else list(values)
     columns = {"host": host, "us": us, "made": rows(made), "features": rows(windows), "dropped": dropped}
     return pd.DataFrame(columns | {"late": made is None, "gauges": rows(gauges), "whole": rows(whole)})

@@ -253,6 +253,45 @@ def test_silent_hosts_are_forgotten(spark, tmp_path):
     assert len(got) == 8 and got.total_packets_per_sec[4] == 0 and (got.total_packets_per_sec[[1, 2, 3, 5, 6, 7]] > 0).all()
 
 
+def test_many_hosts_share_a_group_and_one_of_them_falls_silent(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "BUCKETS", 2, raising=False)
+    rows = snapshots(hosts=[f"h{i}" for i in range(12)], n=8)
+    gone = [r for r in snapshots(hosts=("gone",), n=8, reset=False)]
+    at = lambda r: (dt.datetime.fromisoformat(r["timestamp"]) - START).total_seconds()
+    part = lambda some, i: [r for r in some if 3 * i <= at(r) < 3 * (i + 1)]
+    for i in range(4):
+        put(tmp_path / "in", f"{i}.json", part(rows, i)[::-1] + (part(gone, 0) + part(gone, 1) if i == 0 else gone[4:] if i == 3 else []))
+    source = live.snapshot_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    query = live.start_predictions(live.stream_features(source, steps=3, silent="5 seconds"), str(tmp_path / "out"), str(tmp_path / "state"), available_now=True)
+    query.awaitTermination()
+    # Python is called once for each group of a batch, however many hosts there are.
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress) <= 2
+    got = by_time(spark.read.parquet(str(tmp_path / "out")))
+    batch = by_time(snapshot_rates(spark.createDataFrame(rows).withColumn("timestamp", F.col("timestamp").cast("timestamp"))))
+    pd.testing.assert_frame_equal(got[got.host != "gone"][["host", "time", *FEATURES]].reset_index(drop=True), batch[["host", "time", *FEATURES]])
+    one = got[got.host == "gone"].total_packets_per_sec.to_numpy()
+    # Silent in the batches between, the host is new with its fifth row.
+    assert len(one) == 8 and one[4] == 0 and (one[[1, 2, 3, 5, 6, 7]] > 0).all()
+
+
+def test_a_window_of_one_step_is_the_row(spark, tmp_path):
+    put(tmp_path / "in", "0.json", snapshots(n=3))
+    put(tmp_path / "in", "1.json", snapshots(n=6)[3:6])
+    source = live.snapshot_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    got = by_time(run(live.stream_features(source, steps=1), tmp_path / "out", tmp_path / "state"))
+    assert len(got) == 9 and (np.stack(got.features) == got[FEATURES].to_numpy()).all()
+
+
+def test_the_scaler_is_read_once_and_not_for_each_value(spark):
+    cols = ["a", "b", "c"]
+    mm = spark.createDataFrame([(0.0, 4.0, 1.0, 1.0, -2.0, 2.0)], "min_a double, max_a double, min_b double, max_b double, min_c double, max_c double")
+    df = spark.createDataFrame([([1.0, 3.0, 0.0, 2.0, None, 2.0],), (None,)], "features array<double>")
+    scaled = md.scale_steps(df, mm, cols)
+    assert scaled.collect() == [([0.25, 2.0, 0.5, 0.5, None, 1.0],), (None,)]
+    steps = next(x for x in scaled._jdf.queryExecution().optimizedPlan().toString().split("\n") if "transform(" in x)
+    assert "array(" not in steps
+
+
 def test_late_rows_come_as_they_were(spark, tmp_path):
     rows = snapshots(hosts=("h",), n=20)
     put(tmp_path / "in", "0.json", rows[:3] + rows[4:10])
