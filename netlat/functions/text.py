@@ -15,6 +15,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are worked out once a row, whatever uses them: Spark copies
+    no expression through a generator, neither into later columns nor into filters."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def found(c, pattern: str, group: int = 1) -> Column:
     """First match of a pattern, null when there is none."""
     return F.nullif(F.regexp_extract(_col(c), pattern, group), F.lit(""))

@@ -16,6 +16,7 @@ from netlat.functions.text import (
     has_clock,
     int_sum,
     kv,
+    once,
     stamped,
     token,
     words,
@@ -53,8 +54,9 @@ def traffic_lines(lines: DataFrame, rule: str = "trailing") -> DataFrame:
 def socket_lines(lines: DataFrame) -> DataFrame:
     value = F.col("value")
     established = value.contains("ESTAB") & ~value.startswith(RULER)
+    lines = once(lines, {"_w": F.when(established, words("value"))})
     # A row counts only when both queue lengths are numbers.
-    recv, send = token("value", 1, type="bigint"), token("value", 2, type="bigint")
+    recv, send = (F.try_element_at("_w", F.lit(i + 1)).try_cast("bigint") for i in (1, 2))
     queues = F.when(established & recv.isNotNull() & send.isNotNull(), F.struct(recv.alias("recv"), send.alias("send")))
     window = value.contains("cwnd:")
     read = {"queues": queues, "cwnd": F.when(window, kv("value", "cwnd")), "ssthresh": F.when(window, kv("value", "ssthresh"))}
@@ -74,19 +76,19 @@ def throttle_lines(lines: DataFrame) -> DataFrame:
 
 def rtt_lines(lines: DataFrame, header_lines: int = 2) -> DataFrame:
     """Each line has its own clock; lines of five columns or fewer are left out."""
-    ms = token("value", -1)
-    rows = skip_head(lines, header_lines) if header_lines else lines
-    rows = rows.where((F.size(words("value")) > 5) & has_clock("value") & ms.isNotNull())
+    rows = once(skip_head(lines, header_lines) if header_lines else lines, {"_w": words("value")})
+    ms = F.try_element_at("_w", F.lit(-1)).try_cast("double")
+    rows = rows.where((F.size("_w") > 5) & has_clock("value") & ms.isNotNull())
     return narrow_lines(rows, F.col("value"), {"ms": ms})
 
 
 def number_lines(lines: DataFrame, at: int, need: int) -> DataFrame:
     """Number `at` of the values after the fourth column; a line with fewer than `need`
     values or a bad one is skipped. The clock stands in the second column."""
-    cells = words("value")
-    values = F.transform(F.slice(cells, F.lit(5), F.greatest(F.size(cells) - 4, F.lit(0))), lambda x: x.try_cast("bigint"))
-    when = F.concat_ws(" ", token("value", 0, type="string"), token("value", 1, type="string"))
-    rows = lines.select("run_id", "file", *PLACE, when.alias("_when"), values.alias("_v"))
+    cells = once(lines, {"_w": words("value")})
+    values = F.transform(F.slice("_w", F.lit(5), F.greatest(F.size("_w") - 4, F.lit(0))), lambda x: x.try_cast("bigint"))
+    when = F.concat_ws(" ", F.try_element_at("_w", F.lit(1)), F.try_element_at("_w", F.lit(2)))
+    rows = once(cells, {"_when": when, "_v": values}).select("run_id", "file", *PLACE, "_when", "_v")
     rows = rows.where((F.size("_v") > need) & F.forall("_v", lambda x: x.isNotNull()))
     return narrow_lines(rows, F.when(has_clock("_when"), F.col("_when")), {"n": F.element_at("_v", at + 1)})
 

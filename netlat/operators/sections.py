@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlat.functions.text import BACK, before_start, clock, clocked
+from netlat.functions.text import BACK, before_start, clock, clocked, once
 from netlat.session import settle
 
 FILE = ["run_id", "file"]
@@ -46,7 +46,8 @@ def carry_section(lines: DataFrame, header: Column | str | None = None, text: Co
 def narrow_lines(lines: DataFrame, head: Column, values: dict[str, Column]) -> DataFrame:
     """What is read out of lines: their place, `_head` (text with a clock, null on lines
     that are no headers) and values; lines with none of them are left out."""
-    read = lines.select(*FILE, "block", "line_no", head.alias("_head"), *[c.alias(n) for n, c in values.items()])
+    read = once(lines, {"_head": head, **{f"_of_{n}": c for n, c in values.items()}})
+    read = read.select(*FILE, "block", "line_no", "_head", *[F.col(f"_of_{n}").alias(n) for n in values])
     return read.where(" OR ".join(f"{c} IS NOT NULL" for c in ["_head", *values]))
 
 

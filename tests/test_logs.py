@@ -384,3 +384,14 @@ def test_report_of_new_days_adds_to_the_old(spark, tmp_path):
     for name in ("proto_port", "hours", "transfers", "mean_duration"):
         show = lambda root: sorted(map(str, spark.read.parquet(str(tmp_path / root / name)).collect()))
         assert show("parts") == show("whole") and show("whole")
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_is_read_out_of_a_line_is_worked_out_once(spark):
+    lines = spark.createDataFrame([("r", "f", 0, 1, "x")], "run_id string, file string, block long, line_no long, value string")
+    assert optimized(mt.socket_lines(lines)).count("ssthresh:(") == 1
+    plan = optimized(mt.number_lines(lines, 6, 7))
+    assert plan.count("try_cast") + plan.count("tryeval") <= 1 and plan.count("transform(") == 1
