@@ -395,3 +395,16 @@ def test_what_is_read_out_of_a_line_is_worked_out_once(spark):
     assert optimized(mt.socket_lines(lines)).count("ssthresh:(") == 1
     plan = optimized(mt.number_lines(lines, 6, 7))
     assert plan.count("try_cast") + plan.count("tryeval") <= 1 and plan.count("transform(") == 1
+
+
+def test_a_snapshot_s_texts_are_taken_apart_once(spark):
+    schema = "k int, sockets string, snmp string, netstat string, softirqs string"
+    sockets = "ESTAB 9 9 a b\nESTAB 3 4 a b\n\t cubic rtt:1.5/2 cwnd:4 ssthresh:6\n  LISTEN 7 x a b\nSYN-SENT 50 50 a b\nESTABLISHED 60 60 a b"
+    odd = [(1, sockets, "Tcp: a b\nTcp: 1 2 3 4 5 6 7 8 9 10 11 12 13", None, "h\n NET_RX: 1 2"), (2, "head only", "", "", ""), (3, None, None, None, None), (4, "\nESTAB 1 2 a b", None, None, None)]
+    made = text_values(spark.createDataFrame(odd, schema))
+    got = {r.k: r for r in made.collect()}
+    assert [got[1][c] for c in ("tcp_rtt_sum", "tcp_rtt_count", "tcp_recv_q_max", "tcp_send_q_max", "tcp_cwnd_min", "tcp_ssthresh_min")] == [1.5, 1, 7, 4, 4, 6]
+    assert (got[1].snmp_ActiveOpens, got[1].snmp_RetransSegs, got[1].softirq_net_rx) == (5, 12, 3)
+    assert set(list(got[2])[1:]) == set(list(got[3])[1:]) == {0} and got[4].tcp_send_q_max == 2
+    plan = optimized(made)
+    assert plan.count("rtt:(") == 1 and plan.count("Tcp:") == 1
