@@ -54,7 +54,8 @@ def report_sections(conn: DataFrame, ssl: DataFrame | None, tz: str = "UTC", n:
 
 def connection_report(spark: SparkSession, root: str, days: str = "*", tz: str = "UTC", n: int = 10) -> dict[str, DataFrame]:
     """Report over `root/<day>/conn.log` and, where present, `ssl.log`."""
-    conn = read_zeek(spark, f"{root}/{days}/conn.log", CONN_FIELDS, CONN_SCHEMA)
+    # Six sections read the rows, so the text is taken apart once.
+    conn = settle(read_zeek(spark, f"{root}/{days}/conn.log", CONN_FIELDS, CONN_SCHEMA), "conn")
     ssl = optional(
         spark, f"{root}/{days}/ssl.log", _server_schema(), lambda p: read_zeek(spark, p, ["server_name"], SSL_SCHEMA)
     )

@@ -408,3 +408,13 @@ def test_a_snapshot_s_texts_are_taken_apart_once(spark):
     assert set(list(got[2])[1:]) == set(list(got[3])[1:]) == {0} and got[4].tcp_send_q_max == 2
     plan = optimized(made)
     assert plan.count("rtt:(") == 1 and plan.count("Tcp:") == 1
+
+
+def test_a_report_takes_its_text_apart_once(spark, tmp_path):
+    for day in ("d1", "d2"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "conn.log").write_text("#fields\tts\tid.resp_h\tid.resp_p\tproto\tduration\torig_bytes\tresp_bytes\tconn_state\n1.0\th\t80\ttcp\t-\t1\t2\tSF\n")
+    sections = jobs.connection_report(spark, str(tmp_path))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in sections.values() if df.columns != ["day", "server_name"]]
+    assert not any("FileScan text" in p for p in plans)
+    assert sorted(r.day for r in sections["proto_port"].collect()) == ["d1", "d2"]
